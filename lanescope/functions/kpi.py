@@ -55,26 +55,37 @@ def _status_is(value: str) -> Column:
     return F.col("status") == F.lit(value)
 
 
-MEASURES: dict[str, Column] = {
-    "n": F.count(F.lit(1)),
-    "n_cost": F.count("cost"),
-    "sum_cost": F.sum("cost").cast(SUM_COST),
-    "n_kg": F.count("weight_kg"),
-    "sum_kg": F.sum("weight_kg").cast(SUM_QTY),
-    "n_miles": F.count("distance_miles"),
-    "sum_miles": F.sum("distance_miles").cast(SUM_QTY),
-    "n_transit": F.count("transit_days"),
-    "sum_transit": F.sum(F.col("transit_days").cast("bigint")),
-    "n_delivered": F.count_if(_status_is(DELIVERED)),
-    "n_delayed": F.count_if(_status_is(DELAYED)),
-    "n_lost": F.count_if(_status_is(LOST)),
-    "n_returned": F.count_if(_status_is(RETURNED)),
-}
+MEASURE_NAMES = ("n", "n_cost", "sum_cost", "n_kg", "sum_kg", "n_miles", "sum_miles",
+                 "n_transit", "sum_transit", "n_delivered", "n_delayed", "n_lost", "n_returned")
+
+_STATUS_COUNT = {"n_delivered": DELIVERED, "n_delayed": DELAYED, "n_lost": LOST, "n_returned": RETURNED}
+_COUNT_OF = {"n_cost": "cost", "n_kg": "weight_kg", "n_miles": "distance_miles", "n_transit": "transit_days"}
+_SUM_OF = {"sum_cost": ("cost", SUM_COST), "sum_kg": ("weight_kg", SUM_QTY),
+           "sum_miles": ("distance_miles", SUM_QTY)}
+
+
+def measure(name: str) -> Column:
+    """Aggregate expression of an additive measure over shipment rows."""
+    if name == "n":
+        return F.count(F.lit(1))
+    if name in _COUNT_OF:
+        return F.count(_COUNT_OF[name])
+    if name in _SUM_OF:
+        src, t = _SUM_OF[name]
+        return F.sum(src).cast(t)
+    if name == "sum_transit":
+        return F.sum(F.col("transit_days").cast("bigint"))
+    if name in _STATUS_COUNT:
+        return F.count_if(_status_is(_STATUS_COUNT[name]))
+    raise KeyError(name)
+
+
+def rollup_measure(name: str) -> Column:
+    """How a measure rolls up from segment rows to a coarser level (sums of sums / counts)."""
+    if name in _SUM_OF:
+        return F.sum(name).cast(_SUM_OF[name][1])
+    return F.sum(name)
 
-# How each measure rolls up from segment level to a coarser level.
-_PINNED = {"sum_cost": SUM_COST, "sum_kg": SUM_QTY, "sum_miles": SUM_QTY}
-ROLLUP = {name: (F.sum(name).cast(_PINNED[name]) if name in _PINNED else F.sum(name))
-          for name in MEASURES}
 
 # Which measures each KPI needs (so segments aggregate only what they output).
 KPI_NEEDS: dict[str, tuple[str, ...]] = {

@@ -3,16 +3,16 @@
 A benchmark is either one row (overall KPIs, medians, averages over segments) or one row per
 coarser key (a warehouse as benchmark for its carriers).
 
-* One-row benchmarks are read as scalar subqueries (``DataFrame.scalar()``). Catalyst merges
-  the subqueries over the same plan into one, computes it once and inlines the values into
-  the projection: no join and no pairing of rows at all.
+* One-row benchmarks are bound as ONE scalar subquery returning a struct
+  (``DataFrame.scalar()``): Spark runs it once, ships a single value to the tasks and the
+  projection reads its fields. No join is planned and no rows are paired.
 * Keyed benchmarks are an equi-join on the benchmark keys; Spark broadcasts the benchmark side
   only when its statistics are under the broadcast threshold, else it shuffle-joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,9 +20,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.kpi import ratio
 
 
-def scalars(one_row: DataFrame, names: Sequence[str] | None = None) -> dict[str, Column]:
-    """Columns of a one-row frame as scalar-subquery expressions."""
-    return {n: one_row.select(n).scalar() for n in (names or one_row.columns)}
+def attach(df: DataFrame, one_row: DataFrame, alias: str = "_bench") -> tuple[DataFrame, dict[str, Column]]:
+    """Bind a one-row frame (a global aggregate) to every row of ``df`` as a struct column.
+
+    Returns the widened frame and a mapping column name -> field expression. The value is a
+    single scalar subquery, evaluated once per query (callers select the fields they need,
+    so the struct column itself never reaches the output).
+    """
+    value = one_row.select(F.struct(*one_row.columns).alias(alias)).scalar()
+    return df.withColumn(alias, value), {c: F.col(alias).getField(c) for c in one_row.columns}
 
 
 def delta_pp(seg: Column, bench: Column) -> Column:
@@ -65,22 +71,20 @@ class Rule:
         return flag(diff <= t if self.direction == "le" else diff >= t)
 
 
-def versus(seg: DataFrame, bench: Mapping[str, Column] | DataFrame, rules: Sequence[Rule], *,
+def versus(seg: DataFrame, bench: DataFrame, rules: Sequence[Rule], *,
            on: Sequence[str] = (), bench_prefix: str = "b_") -> DataFrame:
-    """Append delta and flag columns of ``seg`` against ``bench``.
+    """Append delta and flag columns of ``seg`` against the benchmark KPIs in ``bench``.
 
-    ``bench`` is a mapping KPI -> Column (one-row benchmark via ``scalars``) or, with ``on``,
-    a DataFrame keyed by ``on`` holding the benchmark KPIs.
+    Without ``on``, ``bench`` is one row (bound with ``attach``). With ``on``, it holds one row
+    per key of ``on`` and is equi-joined to the segments.
     """
+    kp = sorted({r.kpi for r in rules})
     if on:
-        assert isinstance(bench, DataFrame)
-        kp = sorted({r.kpi for r in rules})
         b = bench.select(*on, *[F.col(k).alias(bench_prefix + k) for k in kp])
         joined = seg.join(b, list(on))
         bcol = {k: F.col(bench_prefix + k) for k in kp}
     else:
-        joined = seg
-        bcol = dict(bench) if not isinstance(bench, DataFrame) else scalars(bench)
+        joined, bcol = attach(seg, bench.select(*kp))
     cols = [F.col(c) for c in seg.columns]
     for r in rules:
         s, b = F.col(r.kpi), bcol[r.kpi]

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.kpi import MEASURES, ROLLUP, kpi, needed_measures
+from ..functions.kpi import MEASURE_NAMES, kpi, measure, needed_measures, rollup_measure
 
 KpiSpec = str | tuple[str, str]   # KPI name, or (KPI name, output column name)
 
@@ -43,14 +43,14 @@ def measures(df: DataFrame, keys: Sequence[str | Column] = (), kpis: Sequence[Kp
             names.append(e)
     if "n" not in names:
         names.insert(0, "n")
-    aggs = [MEASURES[m].alias(m) for m in names]
+    aggs = [measure(m).alias(m) for m in names]
     return df.groupBy(*_key_cols(keys)).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def rollup(m: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Re-aggregate measure rows to coarser keys (``()`` = overall). Exact: only sums and
     counts are added, never rounded KPIs."""
-    aggs = [ROLLUP[c].alias(c) for c in m.columns if c in ROLLUP]
+    aggs = [rollup_measure(c).alias(c) for c in m.columns if c in MEASURE_NAMES]
     return m.groupBy(*keys).agg(*aggs) if keys else m.agg(*aggs)
 
 

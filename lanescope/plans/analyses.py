@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.benchmark import (Rule, averages, flag_sum, medians, position_2x2, ratio_score,
-                                   scalars, versus)
+from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, position_2x2,
+                                   ratio_score, versus)
 from ..operators.segment import finalize, measures, rollup, segment
 
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
@@ -32,7 +32,8 @@ def overview(log: DataFrame) -> DataFrame:
                        F.count_distinct(CARRIER).alias("total_carriers"),
                        F.min("shipment_date").alias("start_ship_date"),
                        F.max("shipment_date").alias("end_ship_date"))
-    k = scalars(finalize(m, (), ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"], "total_rows"))
+    distinct, k = attach(distinct, finalize(m, (), ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"],
+                                            "total_rows"))
     return distinct.select(k["total_rows"].alias("total_rows"), "total_warehouses", "total_destinations",
                            "total_carriers", "start_ship_date", "end_ship_date",
                            k["total_cost"].alias("total_cost"), k["avg_cost"].alias("avg_cost"),
@@ -128,7 +129,7 @@ def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,
     seg = finalize(m, keys, kp, count_name)
     overall = finalize(rollup(m), (), kp, None)
     rules = scorecard_rules(with_cost_per_mile_flag)
-    out = versus(seg, scalars(overall), rules)
+    out = versus(seg, overall, rules)
     flags = [r.flag for r in rules if r.flag]
     return (out.withColumn("flag_count", flag_sum(flags))
             .withColumn("priority_score", (F.col(count_name) * F.col("flag_count")).cast("bigint")))
@@ -162,10 +163,10 @@ CARRIER_KPIS = ("cost_per_unit", "avg_transit_days", "delay_rate", "returned_rat
 
 def carrier_positioning(log: DataFrame, min_volume: int = 30) -> DataFrame:
     ck = segment(log, [CARRIER], CARRIER_KPIS, min_volume=min_volume, count_name="shipments")
-    med = scalars(medians(ck, ["cost_per_unit", "avg_transit_days"]))
+    ck_b, med = attach(ck, medians(ck, ["cost_per_unit", "avg_transit_days"]))
     label = position_2x2(F.col("cost_per_unit"), F.col("avg_transit_days"),
                          med["med_cost_per_unit"], med["med_avg_transit_days"])
-    return ck.select("*", label.alias("carrier_position")).orderBy(F.desc("shipments"))
+    return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(F.desc("shipments"))
 
 
 def carrier_tradeoff(log: DataFrame, min_volume: int = 30) -> DataFrame:
@@ -189,7 +190,7 @@ def worst_lanes(log: DataFrame, min_volume: int = 20, with_lost_rate: bool = Fal
     and return rate, each divided by its unweighted average over the gated lanes (A19, A19b)."""
     kp = list(LANE_KPIS) + (["lost_rate"] if with_lost_rate else [])
     rk = segment(log, [WH, DEST], kp, min_volume=min_volume, count_name="shipments")
-    avg = scalars(averages(rk, SCORE_KPIS))
+    rk_b, avg = attach(rk, averages(rk, SCORE_KPIS))
     score = ratio_score([(F.col(k), avg[f"avg_{k}"]) for k in SCORE_KPIS])
-    return (rk.select("*", score.alias("badness_score"))
+    return (rk_b.select(*rk.columns, score.alias("badness_score"))
             .orderBy(F.col("badness_score").desc_nulls_first(), F.desc("shipments")))
