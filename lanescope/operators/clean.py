@@ -27,27 +27,37 @@ LABELS = ("shipment_id", "origin_warehouse", "destination", "carrier", "status")
 _NUMERIC = {"weight_kg": WEIGHT_TYPE, "cost": COST_TYPE, "distance_miles": DISTANCE_TYPE}
 
 
-def _typed(staging: DataFrame, strict: bool) -> dict[str, Column]:
+def _normalised(staging: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Projection 1: labels normalised, other fields trimmed (numbers without thousands
+    separators), blank -> NULL. Still text, so a later check can tell blank from malformed.
+    ``keep`` columns are passed through unchanged."""
     c = F.col
-    out: dict[str, Column] = {name: text_or_unknown(c(name)) for name in LABELS}
-    out["shipment_date"] = parse_date(c("shipment_date"), strict)
-    out["delivery_date"] = parse_date(c("delivery_date"), strict)
-    for name, t in _NUMERIC.items():
-        out[name] = parse_decimal(c(name), t, strict)
+    cols = [*keep] + [text_or_unknown(c(n)).alias(n) for n in LABELS]
+    cols += [blank_to_null(c(n)).alias(n) for n in ("shipment_date", "delivery_date", "transit_days")]
+    cols += [F.nullif(F.replace(F.trim(c(n)), F.lit(","), F.lit("")), F.lit("")).alias(n) for n in _NUMERIC]
+    return staging.select(*cols)
+
+
+def _typed(norm: DataFrame, strict: bool) -> dict[str, Column]:
+    """Projection 2: casts of the normalised text (strict: a malformed value fails the job)."""
+    c = F.col
+    out: dict[str, Column] = {n: c(n) for n in LABELS}
+    for n in ("shipment_date", "delivery_date"):
+        out[n] = parse_date(c(n), strict)
+    for n, t in _NUMERIC.items():
+        out[n] = parse_decimal(c(n), t, strict)
     out["transit_days"] = parse_int(c("transit_days"), strict)
     return out
 
 
-def _reject_reason(typed: dict[str, Column]) -> Column:
+_CHECKED = ("shipment_date", "delivery_date", "weight_kg", "cost", "distance_miles", "transit_days")
+
+
+def _reject_reason(raw: dict[str, Column], typed: dict[str, Column]) -> Column:
     """First failed check of a row, NULL when the row is accepted."""
-    c = F.col
-    checks = [(typed["shipment_date"].isNull() & blank_to_null(c("shipment_date")).isNull(),
-               "shipment_date missing")]
-    for name in ("shipment_date", "delivery_date", "weight_kg", "cost", "distance_miles", "transit_days"):
-        raw = blank_to_null(c(name))
-        if name in _NUMERIC:
-            raw = F.nullif(F.replace(F.trim(c(name)), F.lit(","), F.lit("")), F.lit(""))
-        checks.append((raw.isNotNull() & typed[name].isNull(), f"{name} unparseable"))
+    checks = [(raw["shipment_date"].isNull(), "shipment_date missing")]
+    for n in _CHECKED:
+        checks.append((raw[n].isNotNull() & typed[n].isNull(), f"{n} unparseable"))
     reason = F.lit(None).cast("string")
     for cond, text in reversed(checks):
         reason = F.when(cond, F.lit(text)).otherwise(reason)
@@ -58,31 +68,61 @@ def _recompute_transit(c_ship: Column, c_del: Column, c_transit: Column) -> Colu
     return F.when(c_del.isNotNull(), F.datediff(c_del, c_ship)).otherwise(c_transit).cast("int")
 
 
-def parse_staging(staging: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """Typed rows plus ``reject_reason`` (NULL for accepted rows). Transit days recomputed."""
+def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool = False) -> DataFrame:
+    """Typed rows plus ``reject_reason`` (NULL for accepted rows); transit days recomputed.
+
+    With ``keep_raw`` the original text of every field is kept in ``raw_<field>`` for rejected
+    rows only (NULL otherwise, which costs nothing in Parquet), so the parsed table can serve
+    the quarantine report without a second pass over the source.
+    """
     strict = mode == "strict"
-    typed = _typed(staging, strict)
-    reason = _reject_reason(typed) if not strict else F.lit(None).cast("string")
-    ship = typed["shipment_date"]
+    src = staging.columns
+    keep = tuple(F.col(n).alias(f"raw_{n}") for n in src) if keep_raw else ()
+    norm = _normalised(staging, keep)
+    typed = _typed(norm, strict)
     if strict:
         # a missing ship date violates NOT NULL: fail the job like the typed insert does
-        ship = F.when(ship.isNull(), F.raise_error(F.lit("shipment_date is NULL"))).otherwise(ship)
-        typed["shipment_date"] = ship
-    typed["transit_days"] = _recompute_transit(typed["shipment_date"], typed["delivery_date"],
-                                               typed["transit_days"])
-    return staging.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], reason.alias("reject_reason"))
+        typed["shipment_date"] = F.when(typed["shipment_date"].isNull(),
+                                        F.raise_error(F.lit("shipment_date is NULL"))
+                                        ).otherwise(typed["shipment_date"])
+        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS],
+                             F.lit(None).cast("string").alias("reject_reason"),
+                             *[F.col(k) for k in (f"raw_{n}" for n in src) if keep_raw])
+    else:
+        # cast once into attributes, then check them (keeps each expression small)
+        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS],
+                             *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
+                             *[F.col(f"raw_{n}") for n in src if keep_raw])
+        reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED})
+        parsed = parsed.select(*CLEAN_COLUMNS, reason.alias("reject_reason"),
+                               *[F.col(f"raw_{n}") for n in src if keep_raw])
+        if keep_raw:
+            parsed = parsed.select(*CLEAN_COLUMNS, "reject_reason", *[
+                F.when(F.col("reject_reason").isNotNull(), F.col(f"raw_{n}")).alias(f"raw_{n}") for n in src])
+    return parsed.withColumn("transit_days", _recompute_transit(
+        F.col("shipment_date"), F.col("delivery_date"), F.col("transit_days")))
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    """Rows of a parsed frame that passed every check (the typed insert would take them)."""
+    return parsed.where(F.col("reject_reason").isNull()).select(*CLEAN_COLUMNS)
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    """Rejected rows of a parsed frame (``keep_raw=True``): original text and the reason."""
+    raw = [c for c in parsed.columns if c.startswith("raw_")]
+    return (parsed.where(F.col("reject_reason").isNotNull())
+            .select(*[F.col(c).alias(c[4:]) for c in raw], "reject_reason"))
 
 
 def clean_shipments(staging: DataFrame, mode: str = "quarantine") -> DataFrame:
     """Accepted typed rows, before cost imputation (CL-1..CL-5, CL-7)."""
-    parsed = parse_staging(staging, mode)
-    return parsed.where(F.col("reject_reason").isNull()).select(*CLEAN_COLUMNS)
+    return accepted(parse_staging(staging, mode))
 
 
 def quarantine_rows(staging: DataFrame) -> DataFrame:
-    """Rows a typed insert would reject, with the reason (CL-7)."""
-    parsed = parse_staging(staging, "quarantine")
-    return parsed.where(F.col("reject_reason").isNotNull())
+    """Rows a typed insert would reject: the raw staging text plus the reason (CL-7)."""
+    return rejected(parse_staging(staging, "quarantine", keep_raw=True))
 
 
 def mean_cost(clean: DataFrame) -> DataFrame:

@@ -194,3 +194,317 @@ def worst_lanes(log: DataFrame, min_volume: int = 20, with_lost_rate: bool = Fal
     score = ratio_score([(F.col(k), avg[f"avg_{k}"]) for k in SCORE_KPIS])
     return (rk_b.select(*rk.columns, score.alias("badness_score"))
             .orderBy(F.col("badness_score").desc_nulls_first(), F.desc("shipments")))
+
+
+# --------------------------------------------------------------------------------------
+# Ordering helpers: the analysed SQL sorts ASC with NULLs last and DESC with NULLs first.
+# --------------------------------------------------------------------------------------
+
+def asc(c: str) -> Column:
+    return F.col(c).asc_nulls_last()
+
+
+def desc(c: str) -> Column:
+    return F.col(c).desc_nulls_first()
+
+
+def month_of(c: str = "shipment_date") -> Column:
+    """First day of the month, as DATE."""
+    return F.trunc(F.col(c), "month")
+
+
+# --------------------------------------------------------------------------------------
+# A04 - A09 time trends
+# --------------------------------------------------------------------------------------
+
+def avg_daily_shipments(log: DataFrame) -> DataFrame:
+    """Average shipments per *active* day for each warehouse (days without shipments do not
+    count). Two aggregation levels; both combine map-side before their shuffle (A04)."""
+    from ..functions.kpi import DAYS, ratio, round2
+    per_day = log.groupBy(WH, "shipment_date").agg(F.count(F.lit(1)).alias("per_day_shipment"))
+    return (per_day.groupBy(WH)
+            .agg(round2(ratio(F.sum("per_day_shipment").cast("decimal(20,0)"), F.count("per_day_shipment")),
+                        DAYS).alias("avg_daily_shipment"))
+            .orderBy(desc("avg_daily_shipment")))
+
+
+def _monthly(log: DataFrame, key: str, kpis) -> DataFrame:
+    return segment(log, [month_of().alias(key)], kpis, count_name=None, order=[asc(key)])
+
+
+def monthly_volume(log: DataFrame) -> DataFrame:
+    """Shipments per month."""
+    return segment(log, [month_of().alias("ship_month")], [("shipments", "per_month_shipment")],
+                   count_name=None, order=[asc("ship_month")])
+
+
+def monthly_delivered(log: DataFrame) -> DataFrame:
+    """Delivered share and average transit days per month."""
+    return _monthly(log, "monthly_shipment", [("delivered_rate", "otd_percentage"), "avg_transit_days"])
+
+
+def monthly_returned(log: DataFrame) -> DataFrame:
+    """Returned rate per month."""
+    return _monthly(log, "monthly_ship", ["returned_rate"])
+
+
+def monthly_cost(log: DataFrame) -> DataFrame:
+    """Total cost per month."""
+    return _monthly(log, "monthly", [("total_cost", "cost_per_month")])
+
+
+def monthly_transit(log: DataFrame) -> DataFrame:
+    """Average transit days per month."""
+    return _monthly(log, "monthly_transit", ["avg_transit_days"])
+
+
+# --------------------------------------------------------------------------------------
+# A10 warehouse KPI table, A12 / A17 focus drill-downs, A13 carrier vs its warehouse
+# --------------------------------------------------------------------------------------
+
+def warehouse_kpi(log: DataFrame) -> DataFrame:
+    """Warehouse segment KPIs ordered by cost per kg (A10). ``avg_kg`` here is
+    SUM(weight_kg) / COUNT(shipment_id), as in the analysed query."""
+    kp = ["avg_transit_days", "cost_per_kg", "cost_per_unit", ("avg_kg_per_shipment", "avg_kg"),
+          "cost_per_mile", "delay_rate", "lost_rate", "returned_rate", ("delivered_rate", "otd_percentage")]
+    return segment(log, [WH], kp, count_name="shipment_count", order=[desc("cost_per_kg")])
+
+
+def top_priority_warehouses(log: DataFrame, k: int = 3) -> DataFrame:
+    """The k warehouses first in the priority scorecard order (ties: volume, then name)."""
+    sc = warehouse_scorecard_full(log)
+    return sc.orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k).select(WH)
+
+
+def _focus(log: DataFrame, warehouses) -> DataFrame:
+    """Rows of the focus warehouses: a literal list (pushed down to the Parquet scan) or a small
+    frame of names from a top-k report (bounded by k rows, broadcast semi-join)."""
+    if isinstance(warehouses, DataFrame):
+        return log.join(F.broadcast(warehouses.select(WH)), WH, "left_semi")
+    return log.where(F.col(WH).isin(list(warehouses)))
+
+
+# Focus list and drill pair used by the analysed project (fixed values); they name warehouses
+# of its own data, so the registry derives them from the priority scorecard instead.
+REFERENCE_FOCUS = ("Warehouse_HOU", "Warehouse_SF", "Warehouse_MIA")
+REFERENCE_COST_DRILL = ("Warehouse_HOU", "UPS")
+REFERENCE_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")
+
+
+def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 20) -> DataFrame:
+    """Warehouse x carrier KPIs for the focus warehouses."""
+    kp = ["avg_transit_days", "cost_per_unit", "cost_per_kg", "delay_rate", "returned_rate", "delivered_rate"]
+    return segment(_focus(log, warehouses), [WH, CARRIER], kp, min_volume=min_volume,
+                   count_name="shipments", order=[asc(WH), desc("shipments")])
+
+
+def focus_lanes(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 15) -> DataFrame:
+    """Lanes of the focus warehouses."""
+    kp = ["cost_per_unit", "cost_per_kg", "avg_kg", "avg_transit_days", "delay_rate", "returned_rate"]
+    return segment(_focus(log, warehouses), [WH, DEST], kp, min_volume=min_volume,
+                   count_name="shipments", order=[asc(WH), desc("shipments")])
+
+
+def carrier_vs_warehouse(log: DataFrame, warehouses=None) -> DataFrame:
+    """Each carrier inside a warehouse against that warehouse's own KPIs (A13, repaired).
+
+    Carrier rows (not the benchmark rows) are emitted; priority = shipments x flag_count with
+    all five flags. Generalised from one benchmark warehouse to every warehouse: the benchmark
+    is the roll-up of the same (warehouse, carrier) measures, equi-joined on the warehouse.
+    """
+    src = log if warehouses is None else _focus(log, warehouses)
+    kp = ["avg_transit_days", "cost_per_unit", "cost_per_kg", "delay_rate", "returned_rate", "delivered_rate"]
+    m = measures(src, [WH, CARRIER], kp)
+    carriers = finalize(m, [WH, CARRIER], kp, "shipments")
+    wh = finalize(rollup(m, [WH]), [WH], kp, None)
+    rules = [
+        Rule("delay_rate", "pp", "d_delay_pp", "flag_delay", DELAY_RISE_PP),
+        Rule("returned_rate", "pp", "d_return_pp", "flag_return", RETURN_RISE_PP),
+        Rule("delivered_rate", "pp", "d_delivered_rate_pp", "flag_delivered", DELIVERED_DROP_PP, "le"),
+        Rule("cost_per_kg", "pct", "d_cost_per_kg_pct", "flag_cost_per_kg", COST_RISE_RATIO),
+        Rule("cost_per_unit", "pct", "d_cost_per_unit_pct", "flag_cost_per_unit", COST_RISE_RATIO),
+        Rule("avg_transit_days", "pp", "d_avg_transit_days"),
+    ]
+    out = versus(carriers, wh, rules, on=[WH])
+    flags = flag_sum(["flag_cost_per_kg", "flag_cost_per_unit", "flag_delay", "flag_return", "flag_delivered"])
+    return (out.select(WH, CARRIER, "shipments", "d_delay_pp", "d_return_pp", "d_delivered_rate_pp",
+                       "d_cost_per_kg_pct", "d_cost_per_unit_pct", "d_avg_transit_days",
+                       flags.alias("flag_count"))
+            .withColumn("priority_score", (F.col("shipments") * F.col("flag_count")).cast("bigint"))
+            .orderBy(desc("priority_score"), desc("shipments")))
+
+
+def drill_pair(log: DataFrame, kpi_name: str, min_volume: int = 20) -> DataFrame:
+    """(warehouse, carrier): the top-priority warehouse and, inside it, the carrier with the
+    highest ``kpi_name`` among carriers with at least ``min_volume`` shipments. One row."""
+    top = top_priority_warehouses(log, 1)
+    ck = focus_warehouse_carrier(log, top, min_volume)
+    return ck.orderBy(desc(kpi_name), desc("shipments"), asc(CARRIER)).limit(1).select(WH, CARRIER)
+
+
+def _pair(log: DataFrame, pair) -> DataFrame:
+    if isinstance(pair, DataFrame):
+        return log.join(F.broadcast(pair.select(WH, CARRIER)), [WH, CARRIER], "left_semi")
+    wh, carrier = pair
+    return log.where((F.col(WH) == wh) & (F.col(CARRIER) == carrier))
+
+
+def destination_cost_drill(log: DataFrame, pair=REFERENCE_COST_DRILL, min_volume: int = 5) -> DataFrame:
+    """Destinations of one (warehouse, carrier): volume, average kg and miles, cost per unit."""
+    return segment(_pair(log, pair), [DEST], ["avg_kg", "avg_miles", "cost_per_unit"],
+                   min_volume=min_volume, count_name="shipments", order=[desc("cost_per_unit")])
+
+
+def destination_delay_drill(log: DataFrame, pair=REFERENCE_DELAY_DRILL, min_volume: int = 10) -> DataFrame:
+    """Destinations of one (warehouse, carrier): transit days and delay rate."""
+    return segment(_pair(log, pair), [DEST], ["avg_transit_days", "delay_rate"],
+                   min_volume=min_volume, count_name="shipments",
+                   order=[desc("delay_rate"), desc("shipments")])
+
+
+def lane_delivered(log: DataFrame, min_volume: int = 20) -> DataFrame:
+    """Delivered share per lane, best first."""
+    return segment(log, [WH, DEST], [("delivered_rate", "otd_percentage"), "avg_transit_days"],
+                   min_volume=min_volume, count_name="shipment_count", order=[desc("otd_percentage")])
+
+
+# --------------------------------------------------------------------------------------
+# A20 - A22 buckets
+# --------------------------------------------------------------------------------------
+
+# Bucket labels and edges (fixed values of the analysed project). Edges are lower-inclusive;
+# there is no NULL arm, so a NULL value falls into the last bucket.
+WEIGHT_BUCKETS = ((10, "Light (< 10kg)"), (50, "Medium (10-50kg)"), (100, "Heavy (50-100kg)"),
+                  (None, "Very Heavy (100kg+)"))
+COST_BUCKETS = ((50, "Budget (< $50)"), (100, "Standard ($50-100)"), (200, "Premium ($100-200)"),
+                (None, "Expensive (200+)"))
+DISTANCE_BUCKETS = ((100, "Short (< 100mi)"), (500, "Medium (100-500mi)"), (1000, "Long (500-1000mi)"),
+                    (None, "Very Long (1000mi+)"))
+
+
+def bucket(c: str, edges) -> Column:
+    expr = None
+    for upper, label in edges:
+        if upper is None:
+            return expr.otherwise(F.lit(label))
+        cond = F.col(c) < F.lit(upper)
+        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+    return expr
+
+
+def weight_buckets(log: DataFrame) -> DataFrame:
+    """Does weight drive delays?"""
+    return segment(log, [bucket("weight_kg", WEIGHT_BUCKETS).alias("weight_category")],
+                   ["avg_transit_days", "delay_rate", "delivered_rate"],
+                   count_name="shipment_count", order=[desc("avg_transit_days")])
+
+
+def cost_buckets(log: DataFrame) -> DataFrame:
+    """Are cheap shipments delayed more?"""
+    return segment(log, [bucket("cost", COST_BUCKETS).alias("cost_category")],
+                   ["avg_transit_days", "delay_rate", "delivered_rate", "lost_rate"],
+                   count_name="shipment_count", order=[desc("delay_rate")])
+
+
+def distance_buckets(log: DataFrame) -> DataFrame:
+    """How does cost change with distance?"""
+    return segment(log, [bucket("distance_miles", DISTANCE_BUCKETS).alias("distance_category")],
+                   ["avg_cost", "avg_transit_days", "cost_per_mile", "delivered_rate"],
+                   count_name="shipment_count", order=[desc("shipment_count")])
+
+
+# --------------------------------------------------------------------------------------
+# A23 / A24 monthly trends by segment, A25 variability, A26 decision scorecard
+# --------------------------------------------------------------------------------------
+
+def warehouse_monthly(log: DataFrame, warehouses=REFERENCE_FOCUS) -> DataFrame:
+    """Monthly delay / delivered share / transit for the focus warehouses."""
+    return segment(_focus(log, warehouses), [month_of().alias("month"), WH],
+                   ["delay_rate", "delivered_rate", "avg_transit_days"], count_name="shipment_count",
+                   order=[asc(WH), asc("month")])
+
+
+def carrier_monthly(log: DataFrame, min_volume: int = 5) -> DataFrame:
+    """Monthly transit / delivered share / delay per carrier."""
+    return segment(log.where(F.col(CARRIER).isNotNull()), [month_of().alias("month"), CARRIER],
+                   ["avg_transit_days", "delivered_rate", "delay_rate"], min_volume=min_volume,
+                   count_name="shipment_count", order=[asc(CARRIER), asc("month")])
+
+
+def stddev_exact(x: Column, scale: int = 0) -> Column:
+    """Sample standard deviation from exact integer sums: sqrt((n·Σx² − (Σx)²) / (n(n−1))).
+
+    ``x`` must be integral after multiplying by ``10**scale`` (cents for money). The sums are
+    DECIMAL(38,0), so the variance numerator is exact; if a huge group overflowed it (``try_*``
+    give NULL), the numerically stable built-in ``stddev_samp`` is used for that group instead.
+    """
+    xi = (x * F.lit(10 ** scale)).cast("decimal(38,0)") if scale else x.cast("decimal(38,0)")
+    n = F.count(xi).cast("decimal(38,0)")
+    s1, s2 = F.try_sum(xi), F.try_sum(xi * xi)
+    num = F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s1, s1))
+    den = (n * (n - 1)).cast("double")
+    exact = F.sqrt(num.cast("double") / F.nullif(den, F.lit(0.0)))
+    if scale:
+        exact = exact / F.lit(float(10 ** scale))
+    return F.coalesce(exact, F.stddev_samp(x.cast("double")))
+
+
+def variability(log: DataFrame, min_volume: int = 10) -> DataFrame:
+    """Which warehouse x carrier is erratic? Cost / transit spread and problem rate."""
+    src = log.where(F.col(CARRIER).isNotNull())
+    kp = ["avg_cost", "avg_transit_days", "problem_rate"]
+    m = measures(src, [WH, CARRIER], kp)
+    spread = src.groupBy(WH, CARRIER).agg(stddev_exact(F.col("cost"), 2).alias("cost_stddev"),
+                                          stddev_exact(F.col("transit_days")).alias("transit_stddev"))
+    m = m.where(F.col("n") >= min_volume)
+    out = finalize(m, [WH, CARRIER], kp, "shipment_count").join(spread, [WH, CARRIER])
+    return out.select(WH, CARRIER, "shipment_count", "avg_cost", "avg_transit_days", "cost_stddev",
+                      "transit_stddev", "problem_rate").orderBy(desc("problem_rate"), desc("cost_stddev"))
+
+
+# Decision labels, cut-offs and recommendations (fixed values of the analysed project).
+CRITICAL, HIGH_RISK, EXPENSIVE, GOOD = "🔴 CRITICAL", "🟠 HIGH RISK", "🟡 EXPENSIVE", "🟢 GOOD"
+DELIVERED_FLOOR, PROBLEM_CEILING, COST_PER_KG_CEILING = 85, 2, 10
+RECOMMENDATION = {
+    CRITICAL: "URGENT: Optimize performance + reduce cost",
+    HIGH_RISK: "PRIORITY: Improve quality control",
+    EXPENSIVE: "FOCUS: Negotiate better rates",
+    GOOD: "MAINTAIN: Current performance is good",
+}
+SEVERITY = {CRITICAL: 1, HIGH_RISK: 2, EXPENSIVE: 3, GOOD: 4}
+
+
+def decision_scorecard(log: DataFrame) -> DataFrame:
+    """Status label and recommendation per warehouse; first matching rule wins."""
+    kp = ["avg_cost", "cost_per_kg", ("delivered_rate", "otd_pct"), "problem_rate", "avg_transit_days"]
+    seg = segment(log, [WH], kp, count_name="total_shipments")
+    label = (F.when(F.col("otd_pct") < DELIVERED_FLOOR, F.lit(CRITICAL))
+             .when(F.col("problem_rate") > PROBLEM_CEILING, F.lit(HIGH_RISK))
+             .when(F.col("cost_per_kg") > COST_PER_KG_CEILING, F.lit(EXPENSIVE))
+             .otherwise(F.lit(GOOD)))
+    out = seg.withColumn("status_flag", label)
+    rec = F.lit(RECOMMENDATION[GOOD])
+    sev = F.lit(SEVERITY[GOOD])
+    for lab in (EXPENSIVE, HIGH_RISK, CRITICAL):
+        rec = F.when(F.col("status_flag") == lab, F.lit(RECOMMENDATION[lab])).otherwise(rec)
+        sev = F.when(F.col("status_flag") == lab, F.lit(SEVERITY[lab])).otherwise(sev)
+    return (out.withColumn("recommendation", rec)
+            .orderBy(sev.asc(), desc("problem_rate"), desc("cost_per_kg")))
+
+
+# --------------------------------------------------------------------------------------
+# A27 / A28 top-k reports
+# --------------------------------------------------------------------------------------
+
+def top_warehouses(log: DataFrame, k: int = 10) -> DataFrame:
+    """Top-k of the priority scorecard (ties broken by volume, then name)."""
+    return warehouse_scorecard(log).orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k)
+
+
+def top_lanes(log: DataFrame, k: int = 10) -> DataFrame:
+    """Top-k worst lanes with the label ``origin → destination`` (A28). Lanes without a score
+    sort last, as in a descending sort of a chart feed."""
+    from ..operators.rank import lane_label
+    wl = worst_lanes(log)
+    return (wl.orderBy(F.col("badness_score").desc_nulls_last(), desc("shipments"), asc(WH), asc(DEST))
+            .limit(k).select(lane_label().alias("lane"), *wl.columns))

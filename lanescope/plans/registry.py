@@ -3,6 +3,11 @@
 Every query reads the driver tables of ``sf_dir`` through the adapter, or the clean table that
 Spark derives from them once (``log_data_for``). Decimal results are cast to DOUBLE at the edge
 only (all arithmetic before that is exact decimal).
+
+Parameters that name entities of the analysed project's own data (focus warehouses, drill
+pairs) are derived from the data instead, the way the analysis chose them: the focus is the
+top three of the priority scorecard, the cost / delay drill pairs are the top warehouse with its
+most expensive / most delayed carrier.
 """
 
 from __future__ import annotations
@@ -12,20 +17,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import clean as C
+from ..operators import quality as Q
 from ..sources import store
 from ..sources.tpch_adapter import DRIVER_TABLES, staging_from_tpch
 from . import analyses as A
 
+# Variants of the staging adapter that reach the reject and duplicate paths.
+QUARANTINE_VARIANT = {"blank_ship_every": 500}
+DUPLICATE_VARIANT = {"short_ids": True}
+FOCUS_K = 3
+HIGH_VOLUME_GATE = 20
+
 
 def staging_for(spark: SparkSession, sf_dir: str, **variant) -> DataFrame:
     return staging_from_tpch(spark, sf_dir, **variant)
 
 
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES]
+
+
+def parsed_for(spark: SparkSession, sf_dir: str, **variant) -> DataFrame:
+    """Parsed staging rows (typed columns, reject reason, raw text of rejected rows),
+    materialised once per input and adapter variant: the first, lineage-cutting step."""
+    tag = "".join(f"-{k}{v}" for k, v in sorted(variant.items()))
+    key = store.fingerprint(spark, _inputs(sf_dir), "parsed" + tag)
+    return store.materialize(
+        spark, lambda: C.parse_staging(staging_for(spark, sf_dir, **variant), keep_raw=True),
+        "parsed" + tag, key)
+
+
 def log_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean, imputed shipment table for ``sf_dir``, materialised once in the shared folder."""
-    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES]
-    key = store.fingerprint(spark, paths, "log_data")
-    return store.materialize(spark, lambda: C.log_data(staging_for(spark, sf_dir)), "log_data", key)
+    """The clean, imputed shipment table for ``sf_dir`` (accepted parsed rows, cost imputed),
+    materialised once in the shared folder; every analysis reads it."""
+    key = store.fingerprint(spark, _inputs(sf_dir), "log_data")
+    return store.materialize(spark, lambda: C.impute_cost(C.accepted(parsed_for(spark, sf_dir))),
+                             "log_data", key)
 
 
 def edge(df: DataFrame) -> DataFrame:
@@ -42,15 +69,96 @@ def _on_log(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str
     return run
 
 
+def _on_staging(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return edge(fn(staging_for(spark, sf_dir, **variant)))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _on_parsed(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return edge(fn(parsed_for(spark, sf_dir, **variant)))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _focus(log: DataFrame) -> DataFrame:
+    return A.top_priority_warehouses(log, FOCUS_K)
+
+
+def delay_pareto(log: DataFrame) -> DataFrame:
+    """Per carrier: delayed shipments by lane, largest first, with the cumulative share."""
+    delayed = (log.where(F.col("status") == "Delayed")
+               .groupBy(A.CARRIER, A.WH, A.DEST).agg(F.count(F.lit(1)).alias("delayed")))
+    return Q.pareto(delayed, [A.CARRIER], [A.WH, A.DEST], "delayed")
+
+
+def monthly_delay_change(log: DataFrame) -> DataFrame:
+    """Per warehouse and month: delay / delivered share and the change from the previous month."""
+    seg = A.segment(log, [A.month_of().alias("month"), A.WH], ["delay_rate", "delivered_rate"],
+                    count_name="shipment_count")
+    return Q.change_over_previous(seg, [A.WH], "month", ["delay_rate", "delivered_rate"])
+
+
+def flagged_warehouses(log: DataFrame) -> DataFrame:
+    """Warehouses with at least one flag and enough volume."""
+    return (A.warehouse_scorecard(log)
+            .where((F.col("flag_count") > 0) & (F.col("shipment_count") >= HIGH_VOLUME_GATE)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    # cleaning and data quality
+    "clean_shipments": _on_parsed(C.accepted),
+    "impute_cost": _on_log(lambda log: log),
+    "quarantine_rows": _on_parsed(C.rejected, **QUARANTINE_VARIANT),
+    "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p)), **DUPLICATE_VARIANT),
+    "missing_profile": _on_staging(Q.missing_profile),
+    "data_issues": _on_log(C.data_issues),
+    "preview": _on_log(lambda log: log.orderBy("shipment_id").limit(5)),
+    "iqr_outliers": _on_log(Q.iqr_outliers),
+    "outlier_sources": _on_log(Q.outlier_sources),
+    # overview and benchmark
     "overview": _on_log(A.overview),
     "overview_wide": _on_log(A.overview_wide),
     "overall_kpi": _on_log(A.overall_kpi),
     "overall_kpi_wide": _on_log(A.overall_kpi_wide),
+    # time trends
+    "avg_daily_shipments": _on_log(A.avg_daily_shipments),
+    "monthly_volume": _on_log(A.monthly_volume),
+    "monthly_delivered": _on_log(A.monthly_delivered),
+    "monthly_returned": _on_log(A.monthly_returned),
+    "monthly_cost": _on_log(A.monthly_cost),
+    "monthly_transit": _on_log(A.monthly_transit),
+    "warehouse_monthly": _on_log(lambda log: A.warehouse_monthly(log, _focus(log))),
+    "carrier_monthly": _on_log(A.carrier_monthly),
+    "monthly_delay_change": _on_log(monthly_delay_change),
+    # warehouses
+    "warehouse_kpi": _on_log(A.warehouse_kpi),
     "warehouse_scorecard": _on_log(A.warehouse_scorecard),
     "warehouse_scorecard_wide": _on_log(A.warehouse_scorecard_wide),
+    "flagged_warehouses": _on_log(flagged_warehouses),
+    "decision_scorecard": _on_log(A.decision_scorecard),
+    "top_warehouses": _on_log(A.top_warehouses),
+    # carriers
+    "focus_warehouse_carrier": _on_log(lambda log: A.focus_warehouse_carrier(log, _focus(log))),
+    "carrier_vs_warehouse": _on_log(A.carrier_vs_warehouse),
     "carrier_positioning": _on_log(A.carrier_positioning),
     "carrier_tradeoff": _on_log(A.carrier_tradeoff),
+    "variability": _on_log(A.variability),
+    "delay_pareto": _on_log(delay_pareto),
+    # destinations and lanes
+    "destination_cost_drill": _on_log(
+        lambda log: A.destination_cost_drill(log, A.drill_pair(log, "cost_per_unit"))),
+    "destination_delay_drill": _on_log(
+        lambda log: A.destination_delay_drill(log, A.drill_pair(log, "delay_rate"))),
+    "focus_lanes": _on_log(lambda log: A.focus_lanes(log, _focus(log))),
+    "lane_delivered": _on_log(A.lane_delivered),
     "worst_lanes": _on_log(A.worst_lanes),
     "worst_lanes_wide": _on_log(lambda log: A.worst_lanes(log, with_lost_rate=True)),
+    "top_lanes": _on_log(A.top_lanes),
+    # shipment profile buckets
+    "weight_buckets": _on_log(A.weight_buckets),
+    "cost_buckets": _on_log(A.cost_buckets),
+    "distance_buckets": _on_log(A.distance_buckets),
 }

@@ -42,9 +42,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
-    """Stable key of input files (size + modification time) and extra parameters."""
+def _code_digest() -> str:
+    """Digest of the modules that decide the table content (adapter, parsing, cleaning)."""
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parents[1]
     h = hashlib.sha1()
+    for rel in ("sources/tpch_adapter.py", "sources/schema.py", "sources/store.py",
+                "functions/parse.py", "functions/kpi.py", "operators/clean.py"):
+        h.update((root / rel).read_bytes())
+    return h.hexdigest()
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
+    """Stable key of input files (size + modification time), code and extra parameters."""
+    h = hashlib.sha1(_code_digest().encode())
     for path in paths:
         p, fs = _fs(spark, path)
         h.update(path.encode())

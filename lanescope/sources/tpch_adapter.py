@@ -113,7 +113,7 @@ def staging_from_facts(f: DataFrame, *, short_ids: bool = False,
               .when(m < ret_end + c("delay_w"), F.lit("Delayed"))
               .when(m % 250 == 17, F.lit(" delivered "))
               .otherwise(F.lit("Delivered")))
-    delivery = (F.when((m < lost_t) | (m % 200 == 7), F.lit(""))
+    delivery = (F.when((m < lost_t) | (m % 200 == 7) | (m % 250 == 17), F.lit(""))
                 .otherwise(_txt(F.date_add(c("ship_d"), _int((m + c("l_linenumber")) % 5 + 2).cast("int")))))
     origin = (F.when(m == 999, F.lit("  "))
               .when(m % 2 == 0, F.concat(F.lit("  "), c("s_nation"), F.lit(" ")))
