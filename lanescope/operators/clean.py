@@ -30,9 +30,13 @@ _NUMERIC = {"weight_kg": WEIGHT_TYPE, "cost": COST_TYPE, "distance_miles": DISTA
 def _normalised(staging: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Projection 1: labels normalised, other fields trimmed (numbers without thousands
     separators), blank -> NULL. Still text, so a later check can tell blank from malformed.
-    ``keep`` columns are passed through unchanged."""
+    ``keep`` columns are passed through unchanged. ``blank_mask`` has bit i set when staging
+    column i was NULL or blank (the raw-data missing-value profile, kept as one small int)."""
     c = F.col
-    cols = [*keep] + [text_or_unknown(c(n)).alias(n) for n in LABELS]
+    mask = F.lit(0)
+    for i, n in enumerate(staging.columns):
+        mask = mask + F.when(blank_to_null(c(n)).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    cols = [*keep, mask.alias("blank_mask")] + [text_or_unknown(c(n)).alias(n) for n in LABELS]
     cols += [blank_to_null(c(n)).alias(n) for n in ("shipment_date", "delivery_date", "transit_days")]
     cols += [F.nullif(F.replace(F.trim(c(n)), F.lit(","), F.lit("")), F.lit("")).alias(n) for n in _NUMERIC]
     return staging.select(*cols)
@@ -86,18 +90,18 @@ def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool =
                                         F.raise_error(F.lit("shipment_date is NULL"))
                                         ).otherwise(typed["shipment_date"])
         parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS],
-                             F.lit(None).cast("string").alias("reject_reason"),
+                             F.lit(None).cast("string").alias("reject_reason"), "blank_mask",
                              *[F.col(k) for k in (f"raw_{n}" for n in src) if keep_raw])
     else:
         # cast once into attributes, then check them (keeps each expression small)
-        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS],
+        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], "blank_mask",
                              *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
                              *[F.col(f"raw_{n}") for n in src if keep_raw])
         reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED})
-        parsed = parsed.select(*CLEAN_COLUMNS, reason.alias("reject_reason"),
+        parsed = parsed.select(*CLEAN_COLUMNS, reason.alias("reject_reason"), "blank_mask",
                                *[F.col(f"raw_{n}") for n in src if keep_raw])
         if keep_raw:
-            parsed = parsed.select(*CLEAN_COLUMNS, "reject_reason", *[
+            parsed = parsed.select(*CLEAN_COLUMNS, "reject_reason", "blank_mask", *[
                 F.when(F.col("reject_reason").isNotNull(), F.col(f"raw_{n}")).alias(f"raw_{n}") for n in src])
     return parsed.withColumn("transit_days", _recompute_transit(
         F.col("shipment_date"), F.col("delivery_date"), F.col("transit_days")))

@@ -71,7 +71,8 @@ def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
     return h.hexdigest()[:16]
 
 
-def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False) -> None:
+def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False,
+                      sort_keys: tuple[str, ...] = SORT_KEYS) -> None:
     """Write a clean shipment frame with the skipping-friendly layout.
 
     ``partition_by_month`` adds a ``ship_month`` directory level (partition pruning for date
@@ -84,7 +85,8 @@ def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False
     if partition_by_month:
         w = w.withColumn("ship_month", F.trunc("shipment_date", "month"))
         parts = ["ship_month"]
-    w = w.sortWithinPartitions(*parts, *SORT_KEYS)
+    if parts or sort_keys:
+        w = w.sortWithinPartitions(*parts, *sort_keys)
     writer = w.write.mode("overwrite")
     if parts:
         writer = writer.partitionBy(*parts)

@@ -83,11 +83,12 @@ def shipment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staging_from_facts(f: DataFrame, *, short_ids: bool = False,
-                       blank_ship_every: int | None = None) -> DataFrame:
+                       blank_ship_every: int | None = 500) -> DataFrame:
     """Staging text columns (all STRING) from ``shipment_facts``.
 
     ``short_ids`` uses ``orderkey-linenumber`` as id (not unique: exercises the duplicate check);
-    ``blank_ship_every=k`` blanks the ship date when ``m % k == 11`` (exercises the quarantine).
+    ``blank_ship_every=k`` blanks the ship date when ``m % k == 11``: such rows violate NOT NULL
+    and are quarantined by the cleaning step (``None`` turns it off).
     """
     c = F.col
     m = c("m")
