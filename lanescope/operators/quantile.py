@@ -11,7 +11,9 @@ different formula. Here instead:
 1. ``hist``: distinct values with their counts (``groupBy`` with map-side combine; a value held
    by a third of all rows is one row per task before the shuffle);
 2. a bracket around each wanted rank from ``percentile_approx``: its rank error is at most
-   ``n / accuracy``, so ``[q(p - k/acc), q(p + k/acc)]`` contains the exact order statistics;
+   ``eps·n`` (``eps = 1/accuracy``), so ``[q(p - k·eps), q(p + k·eps)]`` contains the order
+   statistics ``floor(p(n-1))`` and ``ceil(p(n-1))`` as soon as ``(k-1)·eps·n >= 2``; for smaller
+   inputs the bracket is the whole range (then fewer than ``2·accuracy/(k-1)`` values exist);
 3. ``base``: how many values lie below the bracket (a distributed count over ``hist``);
 4. inside the bracket only (at most about ``2k·n/accuracy`` rows, collapsed to distinct values)
    a running sum ordered by value locates ranks ``lo`` and ``hi``.
@@ -35,7 +37,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
     """One row with a DOUBLE column per entry of ``probs`` (name -> probability)."""
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     hist = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    eps = _MARGIN / accuracy
+    eps = _MARGIN / accuracy           # bracket half-width in probability
     names = list(probs)
 
     lows = [max(0.0, probs[k] - eps) for k in names]
@@ -49,8 +51,11 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
         F.array(*[F.lit(float(probs[k])) for k in names]).alias("p"),
         F.slice("qs", 1, len(names)).alias("b_lo"),
         F.slice("qs", len(names) + 1, len(names)).alias("b_hi"))).alias("t"), "n")
-    spec = spec.select("t.name", "t.p", "t.b_lo", "t.b_hi", "n",
-                       (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
+    small = F.col("n") * ((_MARGIN - 1) / accuracy) < 2
+    spec = spec.select("t.name", "t.p",
+                       F.when(small, F.lit(float("-inf"))).otherwise(F.col("t.b_lo")).alias("b_lo"),
+                       F.when(small, F.lit(float("inf"))).otherwise(F.col("t.b_hi")).alias("b_hi"),
+                       "n", (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
     spec = spec.select("*", F.floor("pos").alias("r_lo"), F.ceil("pos").alias("r_hi"))
 
     # candidate values inside each bracket (the spec side has one row per probability)
