@@ -35,15 +35,16 @@ def key_names(df: DataFrame, keys: Sequence[str | Column]) -> list[str]:
 
 
 def measures(df: DataFrame, keys: Sequence[str | Column] = (), kpis: Sequence[KpiSpec] = (),
-             extra: Sequence[str] = ()) -> DataFrame:
-    """One row per key combination with the additive measures the KPIs need."""
+             extra: Sequence[str] = (), extra_aggs: Sequence[Column] = ()) -> DataFrame:
+    """One row per key combination with the additive measures the KPIs need (plus any
+    ``extra_aggs`` computed in the same aggregation)."""
     names = needed_measures([_split(s)[0] for s in kpis])
     for e in extra:
         if e not in names:
             names.append(e)
     if "n" not in names:
         names.insert(0, "n")
-    aggs = [measure(m).alias(m) for m in names]
+    aggs = [measure(m).alias(m) for m in names] + list(extra_aggs)
     return df.groupBy(*_key_cols(keys)).agg(*aggs) if keys else df.agg(*aggs)
 
 
@@ -55,8 +56,8 @@ def rollup(m: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def finalize(m: DataFrame, keys: Sequence[str], kpis: Sequence[KpiSpec],
-             count_name: str | None = "shipments") -> DataFrame:
-    cols: list[Column] = [F.col(k) for k in keys]
+             count_name: str | None = "shipments", keep: Sequence[str] = ()) -> DataFrame:
+    cols: list[Column] = [F.col(k) for k in keys] + [F.col(k) for k in keep]
     if count_name:
         cols.append(F.col("n").alias(count_name))
     for spec in kpis:

@@ -450,14 +450,15 @@ def stddev_exact(x: Column, scale: int = 0) -> Column:
 
 
 def variability(log: DataFrame, min_volume: int = 10) -> DataFrame:
-    """Which warehouse x carrier is erratic? Cost / transit spread and problem rate."""
+    """Which warehouse x carrier is erratic? Cost / transit spread and problem rate.
+    One aggregation computes the KPI measures and the exact spread sums together."""
     src = log.where(F.col(CARRIER).isNotNull())
     kp = ["avg_cost", "avg_transit_days", "problem_rate"]
-    m = measures(src, [WH, CARRIER], kp)
-    spread = src.groupBy(WH, CARRIER).agg(stddev_exact(F.col("cost"), 2).alias("cost_stddev"),
-                                          stddev_exact(F.col("transit_days")).alias("transit_stddev"))
+    m = measures(src, [WH, CARRIER], kp, extra_aggs=[
+        stddev_exact(F.col("cost"), 2).alias("cost_stddev"),
+        stddev_exact(F.col("transit_days")).alias("transit_stddev")])
     m = m.where(F.col("n") >= min_volume)
-    out = finalize(m, [WH, CARRIER], kp, "shipment_count").join(spread, [WH, CARRIER])
+    out = finalize(m, [WH, CARRIER], kp, "shipment_count", keep=["cost_stddev", "transit_stddev"])
     return out.select(WH, CARRIER, "shipment_count", "avg_cost", "avg_transit_days", "cost_stddev",
                       "transit_stddev", "problem_rate").orderBy(desc("problem_rate"), desc("cost_stddev"))
 
