@@ -94,6 +94,27 @@ def _focus(log: DataFrame) -> DataFrame:
     return A.top_priority_warehouses(log, FOCUS_K)
 
 
+STREAM_KPIS = ("cost_per_unit", "cost_per_kg", "avg_transit_days", "delivered_rate", "delay_rate",
+               "lost_rate", "returned_rate")
+
+
+def stream_warehouse_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse KPIs maintained by Structured Streaming from staging CSV files.
+
+    Spark writes the adapter's staging rows as CSV files into the shared folder (the input
+    "arriving" in a landing folder); a stateful streaming aggregation keeps the measures per
+    warehouse across micro-batches (one file per trigger); KPIs are read from its snapshot."""
+    from ..streaming import ingest
+
+    key = store.fingerprint(spark, _inputs(sf_dir), "stream", ingest.__file__)
+    root = f"{store.checkpoint_root(spark)}/lanescope/stream-{key}"
+    src = f"{root}/landing"
+    if not store.path_exists(spark, f"{src}/_SUCCESS"):
+        ingest.write_staging_files(staging_for(spark, sf_dir), src)
+    run = f"{root}/run-{store.run_id()}"
+    return edge(ingest.stream_segment_kpis(spark, src, run, [A.WH], STREAM_KPIS, "shipment_count"))
+
+
 def delay_pareto(log: DataFrame) -> DataFrame:
     """Per carrier: delayed shipments by lane, largest first, with the cumulative share."""
     delayed = (log.where(F.col("status") == "Delayed")
@@ -154,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "carrier_tradeoff": _on_log(A.carrier_tradeoff),
     "variability": _on_log(A.variability),
     "delay_pareto": _on_log(delay_pareto),
+    "stream_warehouse_kpi": stream_warehouse_kpi,
     # destinations and lanes
     "destination_cost_drill": _on_log(
         lambda log: A.destination_cost_drill(log, A.drill_pair(log, "cost_per_unit"))),

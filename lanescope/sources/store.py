@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import __version__
-from ..session import checkpoint_root
+from ..session import checkpoint_root  # noqa: F401  (re-exported for callers)
 
 SORT_KEYS = ("origin_warehouse", "carrier", "shipment_date")
 LAYOUT_VERSION = "1"
@@ -71,6 +71,12 @@ def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
     return h.hexdigest()[:16]
 
 
+def run_id() -> str:
+    """A fresh folder name component (each streaming run gets its own checkpoint)."""
+    import uuid
+    return uuid.uuid4().hex[:12]
+
+
 def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False,
                       sort_keys: tuple[str, ...] = SORT_KEYS) -> None:
     """Write a clean shipment frame with the skipping-friendly layout.
