@@ -84,7 +84,9 @@ def versus(seg: DataFrame, bench: DataFrame, rules: Sequence[Rule], *,
         joined = seg.join(b, list(on))
         bcol = {k: F.col(bench_prefix + k) for k in kp}
     else:
-        joined, bcol = attach(seg, bench.select(*kp))
+        # bind the whole benchmark row: when it is a roll-up of the segment aggregate, both
+        # then need the same measures and Spark reuses the segment shuffle for the subquery
+        joined, bcol = attach(seg, bench)
     cols = [F.col(c) for c in seg.columns]
     for r in rules:
         s, b = F.col(r.kpi), bcol[r.kpi]

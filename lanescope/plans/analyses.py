@@ -118,17 +118,22 @@ def scorecard_rules(with_cost_per_mile_flag: bool = False) -> list[Rule]:
 def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,
                              extra_kpis: Sequence[str] = (),
                              with_cost_per_mile_flag: bool = False,
+                             with_secondary_deltas: bool = True,
                              count_name: str = "shipment_count") -> DataFrame:
     """Every segment KPI, delta and flag against the overall benchmark.
 
-    One scan: segment measures are aggregated once; the overall benchmark is their roll-up
-    (sums of sums), read as merged scalar subqueries over the same aggregate.
+    Segment measures are aggregated once; the overall benchmark is their roll-up (sums of
+    sums) bound as one scalar subquery over the same aggregate, so Spark reuses the segment
+    shuffle for it. ``with_secondary_deltas=False`` drops the transit and cost-per-mile deltas
+    (no flag uses them), so the aggregate carries only the measures of the final scorecard.
     """
-    kp = list(SCORECARD_KPIS) + [k for k in extra_kpis if k not in SCORECARD_KPIS]
+    rules = scorecard_rules(with_cost_per_mile_flag)
+    if not (with_secondary_deltas or with_cost_per_mile_flag):
+        rules = [r for r in rules if r.flag]
+    kp = [r.kpi for r in rules] + [k for k in extra_kpis if k not in {r.kpi for r in rules}]
     m = measures(log, keys, kp)
     seg = finalize(m, keys, kp, count_name)
     overall = finalize(rollup(m), (), kp, None)
-    rules = scorecard_rules(with_cost_per_mile_flag)
     out = versus(seg, overall, rules)
     flags = [r.flag for r in rules if r.flag]
     return (out.withColumn("flag_count", flag_sum(flags))
@@ -137,7 +142,7 @@ def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,
 
 def warehouse_scorecard(log: DataFrame) -> DataFrame:
     """Warehouse priority scorecard (A11): ordered by priority, then volume."""
-    full = warehouse_scorecard_full(log)
+    full = warehouse_scorecard_full(log, with_secondary_deltas=False)
     return full.select(WH, "shipment_count", "d_delivered_pp", "d_delay_pp", "d_return_pp",
                        "d_cost_per_unit_pct", "d_cost_per_kg_pct", "flag_count", "priority_score"
                        ).orderBy(F.desc("priority_score"), F.desc("shipment_count"))
@@ -163,7 +168,9 @@ CARRIER_KPIS = ("cost_per_unit", "avg_transit_days", "delay_rate", "returned_rat
 
 def carrier_positioning(log: DataFrame, min_volume: int = 30) -> DataFrame:
     ck = segment(log, [CARRIER], CARRIER_KPIS, min_volume=min_volume, count_name="shipments")
-    ck_b, med = attach(ck, medians(ck, ["cost_per_unit", "avg_transit_days"]))
+    # medians of every carrier KPI (a few values each): the benchmark subquery then aggregates
+    # exactly like the main query and Spark reuses the carrier shuffle for it
+    ck_b, med = attach(ck, medians(ck, CARRIER_KPIS))
     label = position_2x2(F.col("cost_per_unit"), F.col("avg_transit_days"),
                          med["med_cost_per_unit"], med["med_avg_transit_days"])
     return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(F.desc("shipments"))
@@ -190,7 +197,9 @@ def worst_lanes(log: DataFrame, min_volume: int = 20, with_lost_rate: bool = Fal
     and return rate, each divided by its unweighted average over the gated lanes (A19, A19b)."""
     kp = list(LANE_KPIS) + (["lost_rate"] if with_lost_rate else [])
     rk = segment(log, [WH, DEST], kp, min_volume=min_volume, count_name="shipments")
-    rk_b, avg = attach(rk, averages(rk, SCORE_KPIS))
+    # average every lane KPI (not only the scored ones) so the benchmark subquery aggregates
+    # exactly like the main query and Spark reuses the lane shuffle for it
+    rk_b, avg = attach(rk, averages(rk, kp))
     score = ratio_score([(F.col(k), avg[f"avg_{k}"]) for k in SCORE_KPIS])
     return (rk_b.select(*rk.columns, score.alias("badness_score"))
             .orderBy(F.col("badness_score").desc_nulls_first(), F.desc("shipments")))
@@ -272,7 +281,7 @@ def warehouse_kpi(log: DataFrame) -> DataFrame:
 
 def top_priority_warehouses(log: DataFrame, k: int = 3) -> DataFrame:
     """The k warehouses first in the priority scorecard order (ties: volume, then name)."""
-    sc = warehouse_scorecard_full(log)
+    sc = warehouse_scorecard_full(log, with_secondary_deltas=False)
     return sc.orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k).select(WH)
 
 

@@ -47,3 +47,12 @@ def test_scorecard_benchmark_is_a_single_subquery(spark):
     p = plan(A.warehouse_scorecard(log_data_for(spark, SF_SMALL)))
     assert p.count("Subquery:") == 1
     assert "Join" not in p
+
+
+@pytest.mark.parametrize("name", ["warehouse_scorecard", "warehouse_scorecard_wide", "carrier_positioning",
+                                  "worst_lanes"])
+def test_one_row_benchmark_reuses_the_segment_shuffle(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in executed, name
