@@ -58,7 +58,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
                        "n", (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
     spec = spec.select("*", F.floor("pos").alias("r_lo"), F.ceil("pos").alias("r_hi"))
 
-    # candidate values inside each bracket (the spec side has one row per probability)
+    # candidate values inside each bracket: a range join whose broadcast side is the spec,
+    # exactly one row per requested probability (a proven bound, so the hint is safe)
     cand = hist.join(F.broadcast(spec.select("name", "b_lo", "b_hi")),
                      (hist.v >= F.col("b_lo")) & (hist.v <= F.col("b_hi")))
     base = (hist.join(F.broadcast(spec.select("name", "b_lo")), hist.v < F.col("b_lo"))

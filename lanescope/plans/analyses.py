@@ -286,10 +286,12 @@ def top_priority_warehouses(log: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _focus(log: DataFrame, warehouses) -> DataFrame:
-    """Rows of the focus warehouses: a literal list (pushed down to the Parquet scan) or a small
-    frame of names from a top-k report (bounded by k rows, broadcast semi-join)."""
+    """Rows of the focus warehouses: a literal list (pushed down to the Parquet scan) or a
+    frame of names, e.g. a top-k report. The semi-join carries no broadcast hint: Spark
+    broadcasts the names only when their size estimate (k rows after a limit) is under the
+    broadcast threshold, and AQE re-checks the real size; otherwise it shuffle-joins."""
     if isinstance(warehouses, DataFrame):
-        return log.join(F.broadcast(warehouses.select(WH)), WH, "left_semi")
+        return log.join(warehouses.select(WH), WH, "left_semi")
     return log.where(F.col(WH).isin(list(warehouses)))
 
 
@@ -353,7 +355,7 @@ def drill_pair(log: DataFrame, kpi_name: str, min_volume: int = 20) -> DataFrame
 
 def _pair(log: DataFrame, pair) -> DataFrame:
     if isinstance(pair, DataFrame):
-        return log.join(F.broadcast(pair.select(WH, CARRIER)), [WH, CARRIER], "left_semi")
+        return log.join(pair.select(WH, CARRIER), [WH, CARRIER], "left_semi")
     wh, carrier = pair
     return log.where((F.col(WH) == wh) & (F.col(CARRIER) == carrier))
 

@@ -50,3 +50,23 @@ def checkpoint_root(spark: SparkSession) -> str:
         _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="lanescope-ckpt-")
         sc.setCheckpointDir(_LOCAL_ROOTS[key])
     return _LOCAL_ROOTS[key]
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Sizing for a cluster run over ``input_bytes`` of Parquet with ``total_cores`` cores.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of input (at least two
+    waves of the cores) and AQE coalesces them at run time to the advisory size, so a stage
+    never holds more than a few hundred MB per task and small stages do not pay for thousands
+    of empty tasks. Skewed partitions (a warehouse with a third of the rows) are split by the
+    AQE skew-join rule; aggregations are skew-safe through map-side partial aggregation.
+    """
+    parts = max(2 * total_cores, input_bytes // target_partition_bytes)
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 256 << 20)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
