@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, position_2x2,
                                    ratio_score, versus)
-from ..operators.segment import finalize, measures, rollup, segment
+from ..operators.segment import finalize, key_names, measures, rollup, segment
 
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
 
@@ -115,6 +115,29 @@ def scorecard_rules(with_cost_per_mile_flag: bool = False) -> list[Rule]:
     return rules
 
 
+def _scorecard_plan(with_cost_per_mile_flag: bool, with_secondary_deltas: bool,
+                    extra_kpis: Sequence[str]) -> tuple[list[Rule], list[str]]:
+    rules = scorecard_rules(with_cost_per_mile_flag)
+    if not (with_secondary_deltas or with_cost_per_mile_flag):
+        rules = [r for r in rules if r.flag]
+    kp = [r.kpi for r in rules] + [k for k in extra_kpis if k not in {r.kpi for r in rules}]
+    return rules, kp
+
+
+def scorecard_from_measures(m: DataFrame, keys: Sequence[str] = (WH,), *,
+                            extra_kpis: Sequence[str] = (), with_cost_per_mile_flag: bool = False,
+                            with_secondary_deltas: bool = True,
+                            count_name: str = "shipment_count") -> DataFrame:
+    """Scorecard from segment measures (see ``warehouse_scorecard_full``)."""
+    rules, kp = _scorecard_plan(with_cost_per_mile_flag, with_secondary_deltas, extra_kpis)
+    seg = finalize(m, keys, kp, count_name)
+    overall = finalize(rollup(m), (), kp, None)
+    out = versus(seg, overall, rules)
+    flags = [r.flag for r in rules if r.flag]
+    return (out.withColumn("flag_count", flag_sum(flags))
+            .withColumn("priority_score", (F.col(count_name) * F.col("flag_count")).cast("bigint")))
+
+
 def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,
                              extra_kpis: Sequence[str] = (),
                              with_cost_per_mile_flag: bool = False,
@@ -127,17 +150,22 @@ def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,
     shuffle for it. ``with_secondary_deltas=False`` drops the transit and cost-per-mile deltas
     (no flag uses them), so the aggregate carries only the measures of the final scorecard.
     """
-    rules = scorecard_rules(with_cost_per_mile_flag)
-    if not (with_secondary_deltas or with_cost_per_mile_flag):
-        rules = [r for r in rules if r.flag]
-    kp = [r.kpi for r in rules] + [k for k in extra_kpis if k not in {r.kpi for r in rules}]
-    m = measures(log, keys, kp)
-    seg = finalize(m, keys, kp, count_name)
-    overall = finalize(rollup(m), (), kp, None)
-    out = versus(seg, overall, rules)
-    flags = [r.flag for r in rules if r.flag]
-    return (out.withColumn("flag_count", flag_sum(flags))
-            .withColumn("priority_score", (F.col(count_name) * F.col("flag_count")).cast("bigint")))
+    _, kp = _scorecard_plan(with_cost_per_mile_flag, with_secondary_deltas, extra_kpis)
+    return scorecard_from_measures(measures(log, keys, kp), keys, extra_kpis=extra_kpis,
+                                   with_cost_per_mile_flag=with_cost_per_mile_flag,
+                                   with_secondary_deltas=with_secondary_deltas, count_name=count_name)
+
+
+# KPIs (hence measures) the priority ranking needs; fine-grained aggregates include them so the
+# ranking can be derived from their roll-up.
+PRIORITY_KPIS = tuple(r.kpi for r in scorecard_rules() if r.flag)
+
+
+def top_priority_from_measures(m: DataFrame, k: int) -> DataFrame:
+    """Top-k warehouses of the priority scorecard, from finer measures that include
+    ``origin_warehouse`` (rolled up exactly to warehouse level first)."""
+    sc = scorecard_from_measures(rollup(m, [WH]), with_secondary_deltas=False)
+    return sc.orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k).select(WH)
 
 
 def warehouse_scorecard(log: DataFrame) -> DataFrame:
@@ -281,8 +309,7 @@ def warehouse_kpi(log: DataFrame) -> DataFrame:
 
 def top_priority_warehouses(log: DataFrame, k: int = 3) -> DataFrame:
     """The k warehouses first in the priority scorecard order (ties: volume, then name)."""
-    sc = warehouse_scorecard_full(log, with_secondary_deltas=False)
-    return sc.orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k).select(WH)
+    return top_priority_from_measures(measures(log, [WH], PRIORITY_KPIS), k)
 
 
 def _focus(log: DataFrame, warehouses) -> DataFrame:
@@ -302,18 +329,39 @@ REFERENCE_COST_DRILL = ("Warehouse_HOU", "UPS")
 REFERENCE_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")
 
 
+def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses, *,
+                    min_volume: int | None = None, count_name: str = "shipments",
+                    order: Sequence[Column] | None = None) -> DataFrame:
+    """Segment KPIs restricted to focus warehouses.
+
+    ``warehouses`` is a list of names (filter pushed into the scan), a frame of names, or an
+    int k: the top-k of the priority scorecard. For k the measures are aggregated once at the
+    segment grain (which includes the warehouse); the scorecard is their exact roll-up and the
+    focus is a semi-join of the aggregated rows, so the fact table is scanned once.
+    """
+    if isinstance(warehouses, int):
+        m = measures(log, keys, list(kpis) + [k for k in PRIORITY_KPIS if k not in kpis])
+        m = m.join(top_priority_from_measures(m, warehouses), WH, "left_semi")
+    else:
+        m = measures(_focus(log, warehouses), keys, kpis)
+    if min_volume is not None:
+        m = m.where(F.col("n") >= F.lit(min_volume))
+    out = finalize(m, key_names(log, keys), kpis, count_name)
+    return out.orderBy(*order) if order else out
+
+
 def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 20) -> DataFrame:
     """Warehouse x carrier KPIs for the focus warehouses."""
     kp = ["avg_transit_days", "cost_per_unit", "cost_per_kg", "delay_rate", "returned_rate", "delivered_rate"]
-    return segment(_focus(log, warehouses), [WH, CARRIER], kp, min_volume=min_volume,
-                   count_name="shipments", order=[asc(WH), desc("shipments")])
+    return focused_segment(log, [WH, CARRIER], kp, warehouses, min_volume=min_volume,
+                           order=[asc(WH), desc("shipments")])
 
 
 def focus_lanes(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 15) -> DataFrame:
     """Lanes of the focus warehouses."""
     kp = ["cost_per_unit", "cost_per_kg", "avg_kg", "avg_transit_days", "delay_rate", "returned_rate"]
-    return segment(_focus(log, warehouses), [WH, DEST], kp, min_volume=min_volume,
-                   count_name="shipments", order=[asc(WH), desc("shipments")])
+    return focused_segment(log, [WH, DEST], kp, warehouses, min_volume=min_volume,
+                           order=[asc(WH), desc("shipments")])
 
 
 def carrier_vs_warehouse(log: DataFrame, warehouses=None) -> DataFrame:
@@ -345,12 +393,21 @@ def carrier_vs_warehouse(log: DataFrame, warehouses=None) -> DataFrame:
             .orderBy(desc("priority_score"), desc("shipments")))
 
 
-def drill_pair(log: DataFrame, kpi_name: str, min_volume: int = 20) -> DataFrame:
-    """(warehouse, carrier): the top-priority warehouse and, inside it, the carrier with the
-    highest ``kpi_name`` among carriers with at least ``min_volume`` shipments. One row."""
-    top = top_priority_warehouses(log, 1)
-    ck = focus_warehouse_carrier(log, top, min_volume)
-    return ck.orderBy(desc(kpi_name), desc("shipments"), asc(CARRIER)).limit(1).select(WH, CARRIER)
+DRILL_GATE = 20   # carriers considered for a drill pair: the A12 volume gate
+
+
+def _drill_from_measures(m: DataFrame, kpi_name: str, gate: int = DRILL_GATE) -> DataFrame:
+    """(warehouse, carrier) from measures at a grain containing both: the top-priority
+    warehouse and, inside it, the carrier with the highest ``kpi_name`` (ties: volume, name)."""
+    wc = rollup(m, [WH, CARRIER]).join(top_priority_from_measures(m, 1), WH, "left_semi")
+    wc = finalize(wc.where(F.col("n") >= gate), [WH, CARRIER], [kpi_name], "shipments")
+    return wc.orderBy(desc(kpi_name), desc("shipments"), asc(CARRIER)).limit(1).select(WH, CARRIER)
+
+
+def drill_pair(log: DataFrame, kpi_name: str, min_volume: int = DRILL_GATE) -> DataFrame:
+    """One row (warehouse, carrier): see ``_drill_from_measures``."""
+    m = measures(log, [WH, CARRIER], [kpi_name, *PRIORITY_KPIS])
+    return _drill_from_measures(m, kpi_name, min_volume)
 
 
 def _pair(log: DataFrame, pair) -> DataFrame:
@@ -360,17 +417,32 @@ def _pair(log: DataFrame, pair) -> DataFrame:
     return log.where((F.col(WH) == wh) & (F.col(CARRIER) == carrier))
 
 
+def _destination_drill(log: DataFrame, pair, kpis: Sequence[str], min_volume: int,
+                       order: Sequence[Column]) -> DataFrame:
+    """Destinations of one (warehouse, carrier). ``pair`` is a tuple (filter pushed into the
+    scan), a one-row frame, or the name of the KPI that picks the carrier inside the
+    top-priority warehouse; then one aggregate at (warehouse, carrier, destination) grain
+    feeds the priority ranking, the carrier choice and the destination KPIs (one scan)."""
+    if isinstance(pair, str):
+        m = measures(log, [WH, CARRIER, DEST], [*kpis, pair, *PRIORITY_KPIS])
+        chosen = m.join(_drill_from_measures(m, pair), [WH, CARRIER], "left_semi")
+        m = rollup(chosen, [DEST])
+    else:
+        m = measures(_pair(log, pair), [DEST], kpis)
+    m = m.where(F.col("n") >= F.lit(min_volume))
+    return finalize(m, [DEST], kpis, "shipments").orderBy(*order)
+
+
 def destination_cost_drill(log: DataFrame, pair=REFERENCE_COST_DRILL, min_volume: int = 5) -> DataFrame:
     """Destinations of one (warehouse, carrier): volume, average kg and miles, cost per unit."""
-    return segment(_pair(log, pair), [DEST], ["avg_kg", "avg_miles", "cost_per_unit"],
-                   min_volume=min_volume, count_name="shipments", order=[desc("cost_per_unit")])
+    return _destination_drill(log, pair, ["avg_kg", "avg_miles", "cost_per_unit"], min_volume,
+                              [desc("cost_per_unit")])
 
 
 def destination_delay_drill(log: DataFrame, pair=REFERENCE_DELAY_DRILL, min_volume: int = 10) -> DataFrame:
     """Destinations of one (warehouse, carrier): transit days and delay rate."""
-    return segment(_pair(log, pair), [DEST], ["avg_transit_days", "delay_rate"],
-                   min_volume=min_volume, count_name="shipments",
-                   order=[desc("delay_rate"), desc("shipments")])
+    return _destination_drill(log, pair, ["avg_transit_days", "delay_rate"], min_volume,
+                              [desc("delay_rate"), desc("shipments")])
 
 
 def lane_delivered(log: DataFrame, min_volume: int = 20) -> DataFrame:
@@ -430,9 +502,9 @@ def distance_buckets(log: DataFrame) -> DataFrame:
 
 def warehouse_monthly(log: DataFrame, warehouses=REFERENCE_FOCUS) -> DataFrame:
     """Monthly delay / delivered share / transit for the focus warehouses."""
-    return segment(_focus(log, warehouses), [month_of().alias("month"), WH],
-                   ["delay_rate", "delivered_rate", "avg_transit_days"], count_name="shipment_count",
-                   order=[asc(WH), asc("month")])
+    return focused_segment(log, [month_of().alias("month"), WH],
+                           ["delay_rate", "delivered_rate", "avg_transit_days"], warehouses,
+                           count_name="shipment_count", order=[asc(WH), asc("month")])
 
 
 def carrier_monthly(log: DataFrame, min_volume: int = 5) -> DataFrame:

@@ -90,10 +90,6 @@ def _on_parsed(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[Spa
     return run
 
 
-def _focus(log: DataFrame) -> DataFrame:
-    return A.top_priority_warehouses(log, FOCUS_K)
-
-
 STREAM_KPIS = ("cost_per_unit", "cost_per_kg", "avg_transit_days", "delivered_rate", "delay_rate",
                "lost_rate", "returned_rate")
 
@@ -158,7 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_returned": _on_log(A.monthly_returned),
     "monthly_cost": _on_log(A.monthly_cost),
     "monthly_transit": _on_log(A.monthly_transit),
-    "warehouse_monthly": _on_log(lambda log: A.warehouse_monthly(log, _focus(log))),
+    "warehouse_monthly": _on_log(lambda log: A.warehouse_monthly(log, FOCUS_K)),
     "carrier_monthly": _on_log(A.carrier_monthly),
     "monthly_delay_change": _on_log(monthly_delay_change),
     # warehouses
@@ -169,7 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decision_scorecard": _on_log(A.decision_scorecard),
     "top_warehouses": _on_log(A.top_warehouses),
     # carriers
-    "focus_warehouse_carrier": _on_log(lambda log: A.focus_warehouse_carrier(log, _focus(log))),
+    "focus_warehouse_carrier": _on_log(lambda log: A.focus_warehouse_carrier(log, FOCUS_K)),
     "carrier_vs_warehouse": _on_log(A.carrier_vs_warehouse),
     "carrier_positioning": _on_log(A.carrier_positioning),
     "carrier_tradeoff": _on_log(A.carrier_tradeoff),
@@ -177,11 +173,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delay_pareto": _on_log(delay_pareto),
     "stream_warehouse_kpi": stream_warehouse_kpi,
     # destinations and lanes
-    "destination_cost_drill": _on_log(
-        lambda log: A.destination_cost_drill(log, A.drill_pair(log, "cost_per_unit"))),
-    "destination_delay_drill": _on_log(
-        lambda log: A.destination_delay_drill(log, A.drill_pair(log, "delay_rate"))),
-    "focus_lanes": _on_log(lambda log: A.focus_lanes(log, _focus(log))),
+    "destination_cost_drill": _on_log(lambda log: A.destination_cost_drill(log, "cost_per_unit")),
+    "destination_delay_drill": _on_log(lambda log: A.destination_delay_drill(log, "delay_rate")),
+    "focus_lanes": _on_log(lambda log: A.focus_lanes(log, FOCUS_K)),
     "lane_delivered": _on_log(A.lane_delivered),
     "worst_lanes": _on_log(A.worst_lanes),
     "worst_lanes_wide": _on_log(lambda log: A.worst_lanes(log, with_lost_rate=True)),
