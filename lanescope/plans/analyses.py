@@ -592,3 +592,19 @@ def top_lanes(log: DataFrame, k: int = 10) -> DataFrame:
     wl = worst_lanes(log)
     return (wl.orderBy(F.col("badness_score").desc_nulls_last(), desc("shipments"), asc(WH), asc(DEST))
             .limit(k).select(lane_label().alias("lane"), *wl.columns))
+
+
+# Analyses that take only the clean table (default parameters), by report name.
+LOG_ANALYSES = {
+    "overview": overview, "overview_wide": overview_wide, "overall_kpi": overall_kpi,
+    "overall_kpi_wide": overall_kpi_wide, "avg_daily_shipments": avg_daily_shipments,
+    "monthly_volume": monthly_volume, "monthly_delivered": monthly_delivered,
+    "monthly_returned": monthly_returned, "monthly_cost": monthly_cost, "monthly_transit": monthly_transit,
+    "warehouse_kpi": warehouse_kpi, "warehouse_scorecard": warehouse_scorecard,
+    "warehouse_scorecard_wide": warehouse_scorecard_wide, "carrier_vs_warehouse": carrier_vs_warehouse,
+    "carrier_positioning": carrier_positioning, "carrier_tradeoff": carrier_tradeoff,
+    "lane_delivered": lane_delivered, "worst_lanes": worst_lanes, "weight_buckets": weight_buckets,
+    "cost_buckets": cost_buckets, "distance_buckets": distance_buckets, "carrier_monthly": carrier_monthly,
+    "variability": variability, "decision_scorecard": decision_scorecard, "top_warehouses": top_warehouses,
+    "top_lanes": top_lanes,
+}

@@ -35,11 +35,21 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def publish_views(spark: SparkSession, log_data: DataFrame, prefix: str = "") -> None:
-    """Temp views ``log_data`` and ``v_data_issues`` over the clean table."""
+def publish_views(spark: SparkSession, log_data: DataFrame, prefix: str = "",
+                  analyses: bool = False) -> list[str]:
+    """Temp views ``log_data`` and ``v_data_issues`` over the clean table; with ``analyses``
+    also one view per named analysis (``warehouse_scorecard``, ``worst_lanes``, ...), so SQL
+    users can select from them. Views are lazy: nothing runs until a query reads one."""
     from ..operators.clean import data_issues
-    log_data.createOrReplaceTempView(f"{prefix}log_data")
-    data_issues(log_data).createOrReplaceTempView(f"{prefix}v_data_issues")
+    names = [f"{prefix}log_data", f"{prefix}v_data_issues"]
+    log_data.createOrReplaceTempView(names[0])
+    data_issues(log_data).createOrReplaceTempView(names[1])
+    if analyses:
+        from ..plans.analyses import LOG_ANALYSES
+        for name, fn in LOG_ANALYSES.items():
+            fn(log_data).createOrReplaceTempView(f"{prefix}{name}")
+            names.append(f"{prefix}{name}")
+    return names
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -30,3 +30,26 @@ def test_csv_round_trip_and_views(spark):
                                              "avg_transit_days double, cost_per_kg double")
     rows = {r.origin_warehouse: r for r in back.collect()}
     assert rows["Warehouse_HOU"].shipment_count == 2 and rows["Warehouse_SF"].avg_transit_days == 7.0
+
+
+def test_cli_report_writes_the_final_outputs(spark):
+    import glob
+
+    from lanescope.__main__ import main
+    out = tempfile.mkdtemp(prefix="lanescope-report-")
+    assert main(["report", "--tpch", "/root/testdata/sf0.001", "--out", out]) == 0
+    for name in ("warehouse_scorecard", "carrier_scorecard", "destination_scorecard"):
+        parts = glob.glob(f"{out}/{name}/part-*.csv")
+        assert len(parts) == 1
+        header = open(parts[0]).readline().strip().split(",")
+        assert header[0] in ("origin_warehouse", "carrier")
+
+
+def test_views_for_sql_users(spark):
+    from lanescope.plans.registry import log_data_for
+    names = files.publish_views(spark, log_data_for(spark, "/root/testdata/sf0.001"), prefix="t_",
+                                analyses=True)
+    assert "t_warehouse_scorecard" in names
+    top = spark.sql("SELECT origin_warehouse FROM t_warehouse_scorecard "
+                    "ORDER BY priority_score DESC, shipment_count DESC LIMIT 1").first()[0]
+    assert top.startswith("NATION_")
