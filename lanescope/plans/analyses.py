@@ -329,6 +329,19 @@ REFERENCE_COST_DRILL = ("Warehouse_HOU", "UPS")
 REFERENCE_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")
 
 
+def _shared(m: DataFrame) -> DataFrame:
+    """Checkpoint an aggregate that several branches of one query read (ranking and rows).
+
+    Each branch would otherwise prune the aggregate differently and re-read the fact table.
+    The aggregate has one row per segment (bounded by the key cardinalities, not the rows);
+    ``checkpoint`` writes it once to the shared checkpoint folder and cuts its lineage, so the
+    fact table is scanned exactly once and a lost executor re-reads the small result.
+    """
+    from ..session import checkpoint_root
+    checkpoint_root(m.sparkSession)              # makes sure a checkpoint folder is registered
+    return m.checkpoint(eager=True)
+
+
 def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses, *,
                     min_volume: int | None = None, count_name: str = "shipments",
                     order: Sequence[Column] | None = None) -> DataFrame:
@@ -340,7 +353,7 @@ def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses,
     focus is a semi-join of the aggregated rows, so the fact table is scanned once.
     """
     if isinstance(warehouses, int):
-        m = measures(log, keys, list(kpis) + [k for k in PRIORITY_KPIS if k not in kpis])
+        m = _shared(measures(log, keys, list(kpis) + [k for k in PRIORITY_KPIS if k not in kpis]))
         m = m.join(top_priority_from_measures(m, warehouses), WH, "left_semi")
     else:
         m = measures(_focus(log, warehouses), keys, kpis)
@@ -424,7 +437,7 @@ def _destination_drill(log: DataFrame, pair, kpis: Sequence[str], min_volume: in
     top-priority warehouse; then one aggregate at (warehouse, carrier, destination) grain
     feeds the priority ranking, the carrier choice and the destination KPIs (one scan)."""
     if isinstance(pair, str):
-        m = measures(log, [WH, CARRIER, DEST], [*kpis, pair, *PRIORITY_KPIS])
+        m = _shared(measures(log, [WH, CARRIER, DEST], [*kpis, pair, *PRIORITY_KPIS]))
         chosen = m.join(_drill_from_measures(m, pair), [WH, CARRIER], "left_semi")
         m = rollup(chosen, [DEST])
     else:

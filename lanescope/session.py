@@ -44,6 +44,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if d:
+        if sc.getCheckpointDir() is None:       # DataFrame.checkpoint() writes below it too
+            sc.setCheckpointDir(d)
         return d.rstrip("/")
     key = sc.applicationId
     if key not in _LOCAL_ROOTS:
