@@ -6,20 +6,24 @@ SQL semantics: over the ``n`` non-null values (as DOUBLE) sorted ascending, posi
 
 Spark's built-in exact ``percentile`` merges a value->count map of the whole column in one
 final task (memory grows with the number of distinct values) and interpolates with a slightly
-different formula. Here instead:
+different formula. Here instead, two passes over the column:
 
-1. ``hist``: distinct values with their counts (``groupBy`` with map-side combine; a value held
-   by a third of all rows is one row per task before the shuffle);
-2. a bracket around each wanted rank from ``percentile_approx``: its rank error is at most
-   ``eps·n`` (``eps = 1/accuracy``), so ``[q(p - k·eps), q(p + k·eps)]`` contains the order
-   statistics ``floor(p(n-1))`` and ``ceil(p(n-1))`` as soon as ``(k-1)·eps·n >= 2``; for smaller
-   inputs the bracket is the whole range (then fewer than ``2·accuracy/(k-1)`` values exist);
-3. ``base``: how many values lie below the bracket (a distributed count over ``hist``);
-4. inside the bracket only (at most about ``2k·n/accuracy`` rows, collapsed to distinct values)
-   a running sum ordered by value locates ranks ``lo`` and ``hi``.
+1. ``percentile_approx`` (mergeable sketches, one partial per task) gives a bracket around each
+   wanted rank: its rank error is at most ``eps·n`` (``eps = 1/accuracy``), so
+   ``[q(p - k·eps), q(p + k·eps)]`` contains the order statistics ``floor(p(n-1))`` and
+   ``ceil(p(n-1))`` as soon as ``(k-1)·eps·n >= 2``; smaller inputs use the whole range (then
+   fewer than ``2·accuracy/(k-1)`` values exist);
+2. one aggregation tags every value against each bracket (a range join with the one-row-per-
+   probability spec): values below collapse into a single count, values inside stay as distinct
+   values with their counts, values above are dropped. Partial aggregation runs before the
+   shuffle, so the shuffle carries one "below" row per task and the distinct values of the
+   brackets, never the column;
+3. a running sum ordered by value inside each bracket (one window partition per probability,
+   holding about ``2k·n/accuracy`` rows at most, fewer after collapsing duplicates) locates
+   ranks ``lo`` and ``hi``.
 
-Everything is lazy DataFrame code: one-row intermediates are read as scalar subqueries. If the
-bracket ever missed a rank the query fails loudly instead of returning a wrong value.
+Everything is lazy DataFrame code; the result is one row. If a bracket ever missed a rank the
+query fails loudly instead of returning a wrong value.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row with a DOUBLE column per entry of ``probs`` (name -> probability)."""
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    hist = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     eps = _MARGIN / accuracy           # bracket half-width in probability
     names = list(probs)
 
@@ -52,26 +55,26 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
         F.slice("qs", 1, len(names)).alias("b_lo"),
         F.slice("qs", len(names) + 1, len(names)).alias("b_hi"))).alias("t"), "n")
     small = F.col("n") * ((_MARGIN - 1) / accuracy) < 2
-    spec = spec.select("t.name", "t.p",
+    spec = spec.select("t.name",
                        F.when(small, F.lit(float("-inf"))).otherwise(F.col("t.b_lo")).alias("b_lo"),
                        F.when(small, F.lit(float("inf"))).otherwise(F.col("t.b_hi")).alias("b_hi"),
-                       "n", (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
+                       (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
     spec = spec.select("*", F.floor("pos").alias("r_lo"), F.ceil("pos").alias("r_hi"))
 
-    # candidate values inside each bracket: a range join whose broadcast side is the spec,
-    # exactly one row per requested probability (a proven bound, so the hint is safe)
-    cand = hist.join(F.broadcast(spec.select("name", "b_lo", "b_hi")),
-                     (hist.v >= F.col("b_lo")) & (hist.v <= F.col("b_hi")))
-    base = (hist.join(F.broadcast(spec.select("name", "b_lo")), hist.v < F.col("b_lo"))
-            .groupBy("name").agg(F.sum("c").alias("base")))
-    w = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = cand.select("name", "v", F.sum("c").over(w).alias("run"))
+    # tag values against each bracket: a range join whose broadcast side is the spec, exactly one
+    # row per requested probability (a proven bound, so the hint is safe); values above a bracket
+    # never pass the join, values below it share one key (-inf) and collapse in the partial agg
+    tagged = v.join(F.broadcast(spec.select("name", "b_lo", "b_hi")), F.col("v") <= F.col("b_hi"))
+    key = F.when(F.col("v") < F.col("b_lo"), F.lit(float("-inf"))).otherwise(F.col("v"))
+    counts = tagged.groupBy("name", key.alias("k"), (F.col("v") < F.col("b_lo")).alias("below")) \
+                   .agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("name").orderBy(F.col("below").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select("name", "k", "below", F.sum("c").over(w).alias("cum"))
     picked = (cum.join(spec.select("name", "r_lo", "r_hi", "pos"), "name")
-              .join(base, "name", "left")
-              .withColumn("cum", F.coalesce(F.col("base"), F.lit(0)) + F.col("run"))
-              .groupBy("name", "r_lo", "r_hi", "pos", F.coalesce(F.col("base"), F.lit(0)).alias("base"))
-              .agg(F.min(F.when(F.col("cum") > F.col("r_lo"), F.col("v"))).alias("v_lo"),
-                   F.min(F.when(F.col("cum") > F.col("r_hi"), F.col("v"))).alias("v_hi")))
+              .groupBy("name", "r_lo", "r_hi", "pos")
+              .agg(F.coalesce(F.max(F.when(F.col("below"), F.col("cum"))), F.lit(0)).alias("base"),
+                   F.min(F.when(~F.col("below") & (F.col("cum") > F.col("r_lo")), F.col("k"))).alias("v_lo"),
+                   F.min(F.when(~F.col("below") & (F.col("cum") > F.col("r_hi")), F.col("k"))).alias("v_hi")))
     checked = picked.select(
         "name",
         F.when((F.col("base") > F.col("r_lo")) | F.col("v_hi").isNull(),
