@@ -25,19 +25,26 @@ OVERALL_KPIS = ("cost_per_unit", "cost_per_kg", "cost_per_mile", "avg_transit_da
 
 
 def overview(log: DataFrame) -> DataFrame:
-    """Row count, distinct warehouses / destinations / carriers, date range, totals."""
-    m = measures(log, (), ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"])
-    distinct = log.agg(F.count_distinct(WH).alias("total_warehouses"),
-                       F.count_distinct(DEST).alias("total_destinations"),
-                       F.count_distinct(CARRIER).alias("total_carriers"),
-                       F.min("shipment_date").alias("start_ship_date"),
-                       F.max("shipment_date").alias("end_ship_date"))
-    distinct, k = attach(distinct, finalize(m, (), ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"],
-                                            "total_rows"))
-    return distinct.select(k["total_rows"].alias("total_rows"), "total_warehouses", "total_destinations",
-                           "total_carriers", "start_ship_date", "end_ship_date",
-                           k["total_cost"].alias("total_cost"), k["avg_cost"].alias("avg_cost"),
-                           k["avg_kg"].alias("avg_kg"), k["avg_transit_days"].alias("avg_transit_days"))
+    """Row count, distinct warehouses / destinations / carriers, date range, totals.
+    One aggregation: the additive measures and the distinct counts / date bounds together."""
+    kp = ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"]
+    extra = [F.count_distinct(WH).alias("total_warehouses"),
+             F.count_distinct(DEST).alias("total_destinations"),
+             F.count_distinct(CARRIER).alias("total_carriers"),
+             F.min("shipment_date").alias("start_ship_date"),
+             F.max("shipment_date").alias("end_ship_date")]
+    m = measures(log, (), kp, extra_aggs=extra)
+    out = finalize(m, (), kp, "total_rows",
+                   keep=["total_warehouses", "total_destinations", "total_carriers",
+                         "start_ship_date", "end_ship_date"])
+    return out.select("total_rows", "total_warehouses", "total_destinations", "total_carriers",
+                      "start_ship_date", "end_ship_date", *kp)
+
+
+def preview(log: DataFrame, n: int = 5) -> DataFrame:
+    """First rows of the clean table (SRC-4), in a full deterministic order (ids may repeat).
+    ``orderBy().limit()`` keeps n rows per task before the final merge (top-k, no sort)."""
+    return log.orderBy(*[asc(c) for c in log.columns]).limit(n)
 
 
 def overview_wide(log: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p)), **DUPLICATE_VARIANT),
     "missing_profile": _on_parsed(lambda p: Q.missing_profile_from_mask(p, STAGING_COLUMNS)),
     "data_issues": _on_log(C.data_issues),
-    "preview": _on_log(lambda log: log.orderBy("shipment_id").limit(5)),
+    "preview": _on_log(A.preview),
     "iqr_outliers": _on_log(Q.iqr_outliers),
     "outlier_sources": _on_log(Q.outlier_sources),
     # overview and benchmark
