@@ -108,11 +108,7 @@ def flag_sum(names: Sequence[str]) -> Column:
 # Positioning against medians (2x2) and ratio-to-average scores.
 # --------------------------------------------------------------------------------------
 
-# Fixed labels of the 2x2 carrier positioning (values of the analysed project).
-FAST_EXPENSIVE = "FAST but EXPENSIVE"
-FAST_CHEAP = "FAST and CHEAP (best)"
-SLOW_EXPENSIVE = "SLOW and EXPENSIVE (worst)"
-SLOW_CHEAP = "SLOW but CHEAP"
+from ..fixed_values import FAST_CHEAP, FAST_EXPENSIVE, MEDIAN, SLOW_CHEAP, SLOW_EXPENSIVE  # noqa: E402
 
 
 def medians(seg: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -121,7 +117,7 @@ def medians(seg: DataFrame, cols: Sequence[str]) -> DataFrame:
     The input is a segment table (one row per segment, already gated), so the exact
     ``percentile`` aggregate holds one value per segment, not per shipment.
     """
-    return seg.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"med_{c}") for c in cols])
+    return seg.agg(*[F.percentile(F.col(c).cast("double"), MEDIAN).alias(f"med_{c}") for c in cols])
 
 
 def position_2x2(cost: Column, days: Column, med_cost: Column, med_days: Column) -> Column:

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .benchmark import attach
 from .quantile import exact_percentiles
 
-# IQR fence multiplier and quartiles (fixed values of the analysed project).
-IQR_FENCE = 1.5
-Q1, Q3 = 0.25, 0.75
+from ..fixed_values import IQR_FENCE, Q1, Q3
 
 
 def iqr_bounds(df: DataFrame, col: str = "cost", fence: float = IQR_FENCE) -> DataFrame:

@@ -10,8 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Separator of the lane label "origin → destination" (fixed value).
-LANE_ARROW = " → "
+from ..fixed_values import LANE_ARROW
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int = 10) -> DataFrame:

@@ -14,6 +14,14 @@ from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, po
                                    ratio_score, versus)
 from ..operators.segment import finalize, key_names, measures, rollup, segment
 
+from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST_PER_KG_CEILING,  # noqa: E402
+                            COST_RISE_RATIO, CRITICAL, DELAY_RISE_PP, DELIVERED_DROP_PP,
+                            DELIVERED_FLOOR, DESTINATION_COST_GATE, DESTINATION_DELAY_GATE,
+                            DISTANCE_BUCKETS, EXPENSIVE, FOCUS_CARRIER_GATE, FOCUS_LANE_GATE, GOOD,
+                            HIGH_RISK, LANE_GATE, LOST_RISE_PP, PROBLEM_CEILING, RECOMMENDATION,
+                            REFERENCE_COST_DRILL, REFERENCE_DELAY_DRILL, REFERENCE_FOCUS,
+                            RETURN_RISE_PP, SEVERITY, TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
+
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
 
 # --------------------------------------------------------------------------------------
@@ -96,12 +104,6 @@ def overall_kpi_wide(log: DataFrame) -> DataFrame:
 # A11 warehouse priority scorecard (final output 1) and its wide variant
 # --------------------------------------------------------------------------------------
 
-# Flag thresholds of the scorecard (fixed values of the analysed project).
-DELIVERED_DROP_PP = -2.00
-DELAY_RISE_PP = 2.00
-RETURN_RISE_PP = 0.70
-LOST_RISE_PP = 0.70
-COST_RISE_RATIO = 0.10
 
 SCORECARD_KPIS = ("avg_transit_days", "cost_per_unit", "cost_per_kg", "cost_per_mile",
                   "delivered_rate", "delay_rate", "lost_rate", "returned_rate")
@@ -201,7 +203,7 @@ def warehouse_scorecard_wide(log: DataFrame) -> DataFrame:
 CARRIER_KPIS = ("cost_per_unit", "avg_transit_days", "delay_rate", "returned_rate", "delivered_rate")
 
 
-def carrier_positioning(log: DataFrame, min_volume: int = 30) -> DataFrame:
+def carrier_positioning(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataFrame:
     ck = segment(log, [CARRIER], CARRIER_KPIS, min_volume=min_volume, count_name="shipments")
     # medians of every carrier KPI (a few values each): the benchmark subquery then aggregates
     # exactly like the main query and Spark reuses the carrier shuffle for it
@@ -211,7 +213,7 @@ def carrier_positioning(log: DataFrame, min_volume: int = 30) -> DataFrame:
     return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(F.desc("shipments"))
 
 
-def carrier_tradeoff(log: DataFrame, min_volume: int = 30) -> DataFrame:
+def carrier_tradeoff(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataFrame:
     """Scatter feed: x = transit days, y = cost per unit, size = shipments, label = carrier."""
     cp = carrier_positioning(log, min_volume)
     return cp.select(F.col(CARRIER).alias("label"), F.col("avg_transit_days").alias("x"),
@@ -227,7 +229,7 @@ LANE_KPIS = ("cost_per_unit", "avg_transit_days", "delay_rate", "returned_rate")
 SCORE_KPIS = ("cost_per_unit", "delay_rate", "returned_rate")
 
 
-def worst_lanes(log: DataFrame, min_volume: int = 20, with_lost_rate: bool = False) -> DataFrame:
+def worst_lanes(log: DataFrame, min_volume: int = LANE_GATE, with_lost_rate: bool = False) -> DataFrame:
     """Lanes (origin -> destination) with a badness score: the sum of cost per unit, delay rate
     and return rate, each divided by its unweighted average over the gated lanes (A19, A19b)."""
     kp = list(LANE_KPIS) + (["lost_rate"] if with_lost_rate else [])
@@ -329,11 +331,8 @@ def _focus(log: DataFrame, warehouses) -> DataFrame:
     return log.where(F.col(WH).isin(list(warehouses)))
 
 
-# Focus list and drill pair used by the analysed project (fixed values); they name warehouses
-# of its own data, so the registry derives them from the priority scorecard instead.
-REFERENCE_FOCUS = ("Warehouse_HOU", "Warehouse_SF", "Warehouse_MIA")
-REFERENCE_COST_DRILL = ("Warehouse_HOU", "UPS")
-REFERENCE_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")
+# The focus list and drill pairs of the analysed project name entities of its own data; they
+# are the defaults here, and the registry derives the same choices from the data instead.
 
 
 def _shared(m: DataFrame) -> DataFrame:
@@ -370,14 +369,15 @@ def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses,
     return out.orderBy(*order) if order else out
 
 
-def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 20) -> DataFrame:
+def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS,
+                            min_volume: int = FOCUS_CARRIER_GATE) -> DataFrame:
     """Warehouse x carrier KPIs for the focus warehouses."""
     kp = ["avg_transit_days", "cost_per_unit", "cost_per_kg", "delay_rate", "returned_rate", "delivered_rate"]
     return focused_segment(log, [WH, CARRIER], kp, warehouses, min_volume=min_volume,
                            order=[asc(WH), desc("shipments")])
 
 
-def focus_lanes(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = 15) -> DataFrame:
+def focus_lanes(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = FOCUS_LANE_GATE) -> DataFrame:
     """Lanes of the focus warehouses."""
     kp = ["cost_per_unit", "cost_per_kg", "avg_kg", "avg_transit_days", "delay_rate", "returned_rate"]
     return focused_segment(log, [WH, DEST], kp, warehouses, min_volume=min_volume,
@@ -413,7 +413,7 @@ def carrier_vs_warehouse(log: DataFrame, warehouses=None) -> DataFrame:
             .orderBy(desc("priority_score"), desc("shipments")))
 
 
-DRILL_GATE = 20   # carriers considered for a drill pair: the A12 volume gate
+DRILL_GATE = FOCUS_CARRIER_GATE   # carriers considered for a drill pair: the A12 volume gate
 
 
 def _drill_from_measures(m: DataFrame, kpi_name: str, gate: int = DRILL_GATE) -> DataFrame:
@@ -453,19 +453,21 @@ def _destination_drill(log: DataFrame, pair, kpis: Sequence[str], min_volume: in
     return finalize(m, [DEST], kpis, "shipments").orderBy(*order)
 
 
-def destination_cost_drill(log: DataFrame, pair=REFERENCE_COST_DRILL, min_volume: int = 5) -> DataFrame:
+def destination_cost_drill(log: DataFrame, pair=REFERENCE_COST_DRILL,
+                           min_volume: int = DESTINATION_COST_GATE) -> DataFrame:
     """Destinations of one (warehouse, carrier): volume, average kg and miles, cost per unit."""
     return _destination_drill(log, pair, ["avg_kg", "avg_miles", "cost_per_unit"], min_volume,
                               [desc("cost_per_unit")])
 
 
-def destination_delay_drill(log: DataFrame, pair=REFERENCE_DELAY_DRILL, min_volume: int = 10) -> DataFrame:
+def destination_delay_drill(log: DataFrame, pair=REFERENCE_DELAY_DRILL,
+                            min_volume: int = DESTINATION_DELAY_GATE) -> DataFrame:
     """Destinations of one (warehouse, carrier): transit days and delay rate."""
     return _destination_drill(log, pair, ["avg_transit_days", "delay_rate"], min_volume,
                               [desc("delay_rate"), desc("shipments")])
 
 
-def lane_delivered(log: DataFrame, min_volume: int = 20) -> DataFrame:
+def lane_delivered(log: DataFrame, min_volume: int = LANE_GATE) -> DataFrame:
     """Delivered share per lane, best first."""
     return segment(log, [WH, DEST], [("delivered_rate", "otd_percentage"), "avg_transit_days"],
                    min_volume=min_volume, count_name="shipment_count", order=[desc("otd_percentage")])
@@ -475,14 +477,8 @@ def lane_delivered(log: DataFrame, min_volume: int = 20) -> DataFrame:
 # A20 - A22 buckets
 # --------------------------------------------------------------------------------------
 
-# Bucket labels and edges (fixed values of the analysed project). Edges are lower-inclusive;
-# there is no NULL arm, so a NULL value falls into the last bucket.
-WEIGHT_BUCKETS = ((10, "Light (< 10kg)"), (50, "Medium (10-50kg)"), (100, "Heavy (50-100kg)"),
-                  (None, "Very Heavy (100kg+)"))
-COST_BUCKETS = ((50, "Budget (< $50)"), (100, "Standard ($50-100)"), (200, "Premium ($100-200)"),
-                (None, "Expensive (200+)"))
-DISTANCE_BUCKETS = ((100, "Short (< 100mi)"), (500, "Medium (100-500mi)"), (1000, "Long (500-1000mi)"),
-                    (None, "Very Long (1000mi+)"))
+# Bucket edges are lower-inclusive; there is no NULL arm, so a NULL value falls into the last
+# bucket (edges and labels in ``fixed_values``).
 
 
 def bucket(c: str, edges) -> Column:
@@ -527,7 +523,7 @@ def warehouse_monthly(log: DataFrame, warehouses=REFERENCE_FOCUS) -> DataFrame:
                            count_name="shipment_count", order=[asc(WH), asc("month")])
 
 
-def carrier_monthly(log: DataFrame, min_volume: int = 5) -> DataFrame:
+def carrier_monthly(log: DataFrame, min_volume: int = CARRIER_MONTH_GATE) -> DataFrame:
     """Monthly transit / delivered share / delay per carrier."""
     return segment(log.where(F.col(CARRIER).isNotNull()), [month_of().alias("month"), CARRIER],
                    ["avg_transit_days", "delivered_rate", "delay_rate"], min_volume=min_volume,
@@ -552,7 +548,7 @@ def stddev_exact(x: Column, scale: int = 0) -> Column:
     return F.coalesce(exact, F.stddev_samp(x.cast("double")))
 
 
-def variability(log: DataFrame, min_volume: int = 10) -> DataFrame:
+def variability(log: DataFrame, min_volume: int = VARIABILITY_GATE) -> DataFrame:
     """Which warehouse x carrier is erratic? Cost / transit spread and problem rate.
     One aggregation computes the KPI measures and the exact spread sums together."""
     src = log.where(F.col(CARRIER).isNotNull())
@@ -566,16 +562,6 @@ def variability(log: DataFrame, min_volume: int = 10) -> DataFrame:
                       "transit_stddev", "problem_rate").orderBy(desc("problem_rate"), desc("cost_stddev"))
 
 
-# Decision labels, cut-offs and recommendations (fixed values of the analysed project).
-CRITICAL, HIGH_RISK, EXPENSIVE, GOOD = "🔴 CRITICAL", "🟠 HIGH RISK", "🟡 EXPENSIVE", "🟢 GOOD"
-DELIVERED_FLOOR, PROBLEM_CEILING, COST_PER_KG_CEILING = 85, 2, 10
-RECOMMENDATION = {
-    CRITICAL: "URGENT: Optimize performance + reduce cost",
-    HIGH_RISK: "PRIORITY: Improve quality control",
-    EXPENSIVE: "FOCUS: Negotiate better rates",
-    GOOD: "MAINTAIN: Current performance is good",
-}
-SEVERITY = {CRITICAL: 1, HIGH_RISK: 2, EXPENSIVE: 3, GOOD: 4}
 
 
 def decision_scorecard(log: DataFrame) -> DataFrame:
@@ -600,12 +586,12 @@ def decision_scorecard(log: DataFrame) -> DataFrame:
 # A27 / A28 top-k reports
 # --------------------------------------------------------------------------------------
 
-def top_warehouses(log: DataFrame, k: int = 10) -> DataFrame:
+def top_warehouses(log: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k of the priority scorecard (ties broken by volume, then name)."""
     return warehouse_scorecard(log).orderBy(desc("priority_score"), desc("shipment_count"), asc(WH)).limit(k)
 
 
-def top_lanes(log: DataFrame, k: int = 10) -> DataFrame:
+def top_lanes(log: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k worst lanes with the label ``origin → destination`` (A28). Lanes without a score
     sort last, as in a descending sort of a chart feed."""
     from ..operators.rank import lane_label

@@ -32,6 +32,4 @@ CLEAN_SCHEMA = T.StructType([
 
 CLEAN_COLUMNS = tuple(f.name for f in CLEAN_SCHEMA.fields)
 
-# Status domain (fixed values of the data set) and the cleaning sentinel.
-DELIVERED, DELAYED, LOST, RETURNED = "Delivered", "Delayed", "Lost", "Returned"
-UNKNOWN = "UNKNOWN"
+from ..fixed_values import DELAYED, DELIVERED, LOST, RETURNED, UNKNOWN  # noqa: E402,F401
