@@ -174,3 +174,53 @@ def test_overall_benchmark_from_rollup_equals_global_aggregate(spark):
     via_rollup = one(finalize(rollup(measures(df, ["origin_warehouse"], kp)), (), kp, None))
     direct = one(finalize(measures(df, (), kp), (), kp, None))
     assert via_rollup == direct
+
+
+def test_group_benchmarks_are_taken_after_the_gate(spark):
+    # a tiny, very expensive carrier below the gate must not move the medians
+    rows = []
+    for i, (cpu, days) in enumerate([("10.00", 2), ("20.00", 3), ("30.00", 4)]):
+        rows += [dict(carrier=f"C{i}", cost=cpu, delivery_date=None, transit_days=days)] * 30
+    base = {r.carrier: r.carrier_position for r in A.carrier_positioning(ship(spark, rows)).collect()}
+    rows += [dict(carrier="TINY", cost="9999.00", delivery_date=None, transit_days=1)] * 29
+    with_tiny = {r.carrier: r.carrier_position for r in A.carrier_positioning(ship(spark, rows)).collect()}
+    assert "TINY" not in with_tiny and with_tiny == base
+
+
+def test_null_scores_sort_first_in_descending_order(spark):
+    # no returns anywhere -> every badness score is NULL; the sort still works, NULLs first
+    rows = [dict(origin_warehouse=w, destination="X", status="Delivered") for w in ("A", "B") for _ in range(20)]
+    out = A.worst_lanes(ship(spark, rows)).collect()
+    assert [r.badness_score for r in out] == [None, None]
+    rows += [dict(origin_warehouse="C", destination="X", status=s) for s in ("Returned", "Delayed")] * 10
+    out = A.worst_lanes(ship(spark, rows)).collect()
+    got = [(r.origin_warehouse, r.badness_score) for r in out]
+    assert got[0] == ("C", Decimal("7.00"))
+    assert sorted(got[1:]) == [("A", Decimal("1.00")), ("B", Decimal("1.00"))]
+
+
+def test_month_partitioned_layout_prunes_partitions(spark):
+    import contextlib
+    import io
+    import os
+    import tempfile
+
+    from lanescope.sources.store import write_clean_table
+    rows = [dict(shipment_date=dt.date(2024, m, 5), delivery_date=None) for m in (1, 2, 3) for _ in range(3)]
+    path = os.path.join(tempfile.mkdtemp(prefix="lanescope-layout-"), "t")
+    write_clean_table(ship(spark, rows), path, partition_by_month=True)
+    df = spark.read.parquet(path).where(F.col("ship_month") == dt.date(2024, 2, 1))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    assert "PartitionFilters: [isnotnull(ship_month" in buf.getvalue()
+    assert df.count() == 3
+
+
+def test_cluster_conf_scales_partitions():
+    from lanescope.session import cluster_conf
+    small = cluster_conf(1 << 30, 64)
+    big = cluster_conf(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert big["spark.sql.adaptive.enabled"] == "true"
