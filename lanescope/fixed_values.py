@@ -68,6 +68,6 @@ TOP_K = 10
 LANE_ARROW = " → "
 
 # --- Fixed values: names from the analysed project's own data (library defaults only) ----------
-REFERENCE_FOCUS = ("Warehouse_HOU", "Warehouse_SF", "Warehouse_MIA")
-REFERENCE_COST_DRILL = ("Warehouse_HOU", "UPS")
-REFERENCE_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")
+DEFAULT_FOCUS = ("Warehouse_HOU", "Warehouse_SF", "Warehouse_MIA")
+DEFAULT_COST_DRILL = ("Warehouse_HOU", "UPS")
+DEFAULT_DELAY_DRILL = ("Warehouse_HOU", "Amazon Logistics")

@@ -1,6 +1,6 @@
 """KPI expressions built on additive measures.
 
-Every KPI of the reference is a ratio of sums (``SUM(cost)/SUM(weight_kg)``), a rate
+Every KPI of the analysis is a ratio of sums (``SUM(cost)/SUM(weight_kg)``), a rate
 (``SUM(CASE ...)/COUNT(*)*100``) or an average (``AVG(x)`` = ``SUM(x)/COUNT(x)``). We therefore
 aggregate *additive measures* once per segment and derive the rounded KPIs afterwards:
 

@@ -19,7 +19,7 @@ from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST
                             DELIVERED_FLOOR, DESTINATION_COST_GATE, DESTINATION_DELAY_GATE,
                             DISTANCE_BUCKETS, EXPENSIVE, FOCUS_CARRIER_GATE, FOCUS_LANE_GATE, GOOD,
                             HIGH_RISK, LANE_GATE, LOST_RISE_PP, PROBLEM_CEILING, RECOMMENDATION,
-                            REFERENCE_COST_DRILL, REFERENCE_DELAY_DRILL, REFERENCE_FOCUS,
+                            DEFAULT_COST_DRILL, DEFAULT_DELAY_DRILL, DEFAULT_FOCUS,
                             RETURN_RISE_PP, SEVERITY, TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
 
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
@@ -369,7 +369,7 @@ def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses,
     return out.orderBy(*order) if order else out
 
 
-def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS,
+def focus_warehouse_carrier(log: DataFrame, warehouses=DEFAULT_FOCUS,
                             min_volume: int = FOCUS_CARRIER_GATE) -> DataFrame:
     """Warehouse x carrier KPIs for the focus warehouses."""
     kp = ["avg_transit_days", "cost_per_unit", "cost_per_kg", "delay_rate", "returned_rate", "delivered_rate"]
@@ -377,7 +377,7 @@ def focus_warehouse_carrier(log: DataFrame, warehouses=REFERENCE_FOCUS,
                            order=[asc(WH), desc("shipments")])
 
 
-def focus_lanes(log: DataFrame, warehouses=REFERENCE_FOCUS, min_volume: int = FOCUS_LANE_GATE) -> DataFrame:
+def focus_lanes(log: DataFrame, warehouses=DEFAULT_FOCUS, min_volume: int = FOCUS_LANE_GATE) -> DataFrame:
     """Lanes of the focus warehouses."""
     kp = ["cost_per_unit", "cost_per_kg", "avg_kg", "avg_transit_days", "delay_rate", "returned_rate"]
     return focused_segment(log, [WH, DEST], kp, warehouses, min_volume=min_volume,
@@ -453,14 +453,14 @@ def _destination_drill(log: DataFrame, pair, kpis: Sequence[str], min_volume: in
     return finalize(m, [DEST], kpis, "shipments").orderBy(*order)
 
 
-def destination_cost_drill(log: DataFrame, pair=REFERENCE_COST_DRILL,
+def destination_cost_drill(log: DataFrame, pair=DEFAULT_COST_DRILL,
                            min_volume: int = DESTINATION_COST_GATE) -> DataFrame:
     """Destinations of one (warehouse, carrier): volume, average kg and miles, cost per unit."""
     return _destination_drill(log, pair, ["avg_kg", "avg_miles", "cost_per_unit"], min_volume,
                               [desc("cost_per_unit")])
 
 
-def destination_delay_drill(log: DataFrame, pair=REFERENCE_DELAY_DRILL,
+def destination_delay_drill(log: DataFrame, pair=DEFAULT_DELAY_DRILL,
                             min_volume: int = DESTINATION_DELAY_GATE) -> DataFrame:
     """Destinations of one (warehouse, carrier): transit days and delay rate."""
     return _destination_drill(log, pair, ["avg_transit_days", "delay_rate"], min_volume,
@@ -516,7 +516,7 @@ def distance_buckets(log: DataFrame) -> DataFrame:
 # A23 / A24 monthly trends by segment, A25 variability, A26 decision scorecard
 # --------------------------------------------------------------------------------------
 
-def warehouse_monthly(log: DataFrame, warehouses=REFERENCE_FOCUS) -> DataFrame:
+def warehouse_monthly(log: DataFrame, warehouses=DEFAULT_FOCUS) -> DataFrame:
     """Monthly delay / delivered share / transit for the focus warehouses."""
     return focused_segment(log, [month_of().alias("month"), WH],
                            ["delay_rate", "delivered_rate", "avg_transit_days"], warehouses,
