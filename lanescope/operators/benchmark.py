@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..fixed_values import FAST_CHEAP, FAST_EXPENSIVE, MEDIAN, SLOW_CHEAP, SLOW_EXPENSIVE
 from ..functions.kpi import ratio
 
 
@@ -108,7 +109,6 @@ def flag_sum(names: Sequence[str]) -> Column:
 # Positioning against medians (2x2) and ratio-to-average scores.
 # --------------------------------------------------------------------------------------
 
-from ..fixed_values import FAST_CHEAP, FAST_EXPENSIVE, MEDIAN, SLOW_CHEAP, SLOW_EXPENSIVE  # noqa: E402
 
 
 def medians(seg: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,18 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST_PER_KG_CEILING,
+                            COST_RISE_RATIO, CRITICAL, DEFAULT_COST_DRILL, DEFAULT_DELAY_DRILL,
+                            DEFAULT_FOCUS, DELAY_RISE_PP, DELIVERED_DROP_PP, DELIVERED_FLOOR,
+                            DESTINATION_COST_GATE, DESTINATION_DELAY_GATE, DISTANCE_BUCKETS, EXPENSIVE,
+                            FOCUS_CARRIER_GATE, FOCUS_LANE_GATE, GOOD, HIGH_RISK, LANE_GATE,
+                            LOST_RISE_PP, PROBLEM_CEILING, RECOMMENDATION, RETURN_RISE_PP, SEVERITY,
+                            TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
 from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, position_2x2,
                                    ratio_score, versus)
 from ..operators.segment import finalize, key_names, measures, rollup, segment
 
-from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST_PER_KG_CEILING,  # noqa: E402
-                            COST_RISE_RATIO, CRITICAL, DELAY_RISE_PP, DELIVERED_DROP_PP,
-                            DELIVERED_FLOOR, DESTINATION_COST_GATE, DESTINATION_DELAY_GATE,
-                            DISTANCE_BUCKETS, EXPENSIVE, FOCUS_CARRIER_GATE, FOCUS_LANE_GATE, GOOD,
-                            HIGH_RISK, LANE_GATE, LOST_RISE_PP, PROBLEM_CEILING, RECOMMENDATION,
-                            DEFAULT_COST_DRILL, DEFAULT_DELAY_DRILL, DEFAULT_FOCUS,
-                            RETURN_RISE_PP, SEVERITY, TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
-
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
 
 # --------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from ..fixed_values import DELAYED, DELIVERED, LOST, RETURNED, UNKNOWN  # noqa: F401  (re-exported)
+
 # Staging columns, in file order. Every field is read as text; nothing is inferred.
 STAGING_COLUMNS = (
     "shipment_id", "origin_warehouse", "destination", "carrier",
@@ -32,4 +34,3 @@ CLEAN_SCHEMA = T.StructType([
 
 CLEAN_COLUMNS = tuple(f.name for f in CLEAN_SCHEMA.fields)
 
-from ..fixed_values import DELAYED, DELIVERED, LOST, RETURNED, UNKNOWN  # noqa: E402,F401
