@@ -12,19 +12,28 @@ from .quantile import exact_percentiles
 from ..fixed_values import IQR_FENCE, Q1, Q3
 
 
-def iqr_bounds(df: DataFrame, col: str = "cost", fence: float = IQR_FENCE) -> DataFrame:
-    """One row: exact quartiles of ``col`` (PERCENTILE_CONT, as DOUBLE) and the fence step."""
-    q = exact_percentiles(df, col, {"q1": Q1, "q3": Q3})
+def iqr_bounds(df: DataFrame, col: str = "cost", fence: float = IQR_FENCE,
+               approx_accuracy: int | None = None) -> DataFrame:
+    """One row: quartiles of ``col`` (as DOUBLE) and the fence step.
+
+    Exact ``PERCENTILE_CONT`` by default; ``approx_accuracy=a`` is an explicit opt-in to
+    ``percentile_approx`` (one pass, rank error at most n/a, no interpolation)."""
+    if approx_accuracy:
+        q = df.select(F.percentile_approx(F.col(col).cast("double"), [Q1, Q3], approx_accuracy).alias("qs")) \
+              .select(F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3"))
+    else:
+        q = exact_percentiles(df, col, {"q1": Q1, "q3": Q3})
     return q.select("q1", "q3", ((F.col("q3") - F.col("q1")) * F.lit(fence)).alias("step"))
 
 
-def iqr_outliers(df: DataFrame, col: str = "cost", fence: float = IQR_FENCE) -> DataFrame:
+def iqr_outliers(df: DataFrame, col: str = "cost", fence: float = IQR_FENCE,
+                 approx_accuracy: int | None = None) -> DataFrame:
     """Rows strictly outside ``[q1 - step, q3 + step]`` with the bounds appended.
 
     The bounds are one row bound as a scalar subquery, so the filter is a plain predicate on
     each row of the scan.
     """
-    b = iqr_bounds(df, col, fence)
+    b = iqr_bounds(df, col, fence, approx_accuracy)
     wide, k = attach(df, b)
     v = F.col(col).cast("double")
     return (wide.select(*[F.col(c) for c in df.columns], k["q1"].alias("q1"), k["q3"].alias("q3"),

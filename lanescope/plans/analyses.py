@@ -31,13 +31,21 @@ OVERALL_KPIS = ("cost_per_unit", "cost_per_kg", "cost_per_mile", "avg_transit_da
                 "delivered_rate", "delay_rate", "lost_rate", "returned_rate")
 
 
-def overview(log: DataFrame) -> DataFrame:
+def overview(log: DataFrame, approx_distinct: float | None = None) -> DataFrame:
     """Row count, distinct warehouses / destinations / carriers, date range, totals.
-    One aggregation: the additive measures and the distinct counts / date bounds together."""
+    One aggregation: the additive measures and the distinct counts / date bounds together.
+
+    Exact distinct counts plan an Expand (one copy of each row per counted column, deduplicated
+    map-side). ``approx_distinct=rsd`` uses HyperLogLog++ sketches instead (relative standard
+    deviation ``rsd``): fixed memory per task, no Expand, for very high-cardinality columns."""
     kp = ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"]
-    extra = [F.count_distinct(WH).alias("total_warehouses"),
-             F.count_distinct(DEST).alias("total_destinations"),
-             F.count_distinct(CARRIER).alias("total_carriers"),
+
+    def distinct(c: str) -> Column:
+        return F.count_distinct(c) if approx_distinct is None else F.approx_count_distinct(c, approx_distinct)
+
+    extra = [distinct(WH).alias("total_warehouses"),
+             distinct(DEST).alias("total_destinations"),
+             distinct(CARRIER).alias("total_carriers"),
              F.min("shipment_date").alias("start_ship_date"),
              F.max("shipment_date").alias("end_ship_date")]
     m = measures(log, (), kp, extra_aggs=extra)

@@ -224,3 +224,13 @@ def test_cluster_conf_scales_partitions():
     assert int(small["spark.sql.shuffle.partitions"]) == 128
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert big["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_approximate_options_stay_close(spark):
+    from lanescope.plans.registry import log_data_for
+    log = log_data_for(spark, "/root/testdata/sf0.001")
+    exact, approx = A.overview(log).first(), A.overview(log, approx_distinct=0.01).first()
+    assert (approx.total_warehouses, approx.total_carriers) == (exact.total_warehouses, exact.total_carriers)
+    n_exact = iqr_outliers(log).count()
+    n_approx = iqr_outliers(log, approx_accuracy=10_000).count()
+    assert abs(n_exact - n_approx) <= max(2, n_exact // 10)
