@@ -210,11 +210,13 @@ def warehouse_scorecard_wide(log: DataFrame) -> DataFrame:
 CARRIER_KPIS = ("cost_per_unit", "avg_transit_days", "delay_rate", "returned_rate", "delivered_rate")
 
 
-def carrier_positioning(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataFrame:
-    ck = segment(log, [CARRIER], CARRIER_KPIS, min_volume=min_volume, count_name="shipments")
-    # medians of every carrier KPI (a few values each): the benchmark subquery then aggregates
+def carrier_positioning(log: DataFrame, min_volume: int = CARRIER_GATE,
+                        kpis: Sequence[str] = CARRIER_KPIS) -> DataFrame:
+    """Carrier KPIs with the 2x2 label against the medians over gated carriers."""
+    ck = segment(log, [CARRIER], kpis, min_volume=min_volume, count_name="shipments")
+    # medians of every output KPI (a few values each): the benchmark subquery then aggregates
     # exactly like the main query and Spark reuses the carrier shuffle for it
-    ck_b, med = attach(ck, medians(ck, CARRIER_KPIS))
+    ck_b, med = attach(ck, medians(ck, kpis))
     label = position_2x2(F.col("cost_per_unit"), F.col("avg_transit_days"),
                          med["med_cost_per_unit"], med["med_avg_transit_days"])
     return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(F.desc("shipments"))
@@ -222,7 +224,7 @@ def carrier_positioning(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataF
 
 def carrier_tradeoff(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataFrame:
     """Scatter feed: x = transit days, y = cost per unit, size = shipments, label = carrier."""
-    cp = carrier_positioning(log, min_volume)
+    cp = carrier_positioning(log, min_volume, kpis=("cost_per_unit", "avg_transit_days"))
     return cp.select(F.col(CARRIER).alias("label"), F.col("avg_transit_days").alias("x"),
                      F.col("cost_per_unit").alias("y"), F.col("shipments").alias("size"),
                      "carrier_position")

@@ -18,7 +18,7 @@ def tree(df) -> str:
     for line in plan.splitlines():
         indent = len(line) - len(line.lstrip(" :+-|"))
         if skip_at is not None:
-            if indent > skip_at:
+            if indent >= skip_at:
                 continue                  # inside an "Initial Plan" block (AQE keeps both)
             skip_at = None
         if "== Initial Plan ==" in line:
