@@ -26,7 +26,7 @@ from ..sources.schema import DELAYED, DELIVERED, LOST, RETURNED
 MONEY = DecimalType(14, 2)       # cost per unit, average cost: bounded by the cost column
 PER_UNIT = DecimalType(20, 2)    # cost per kg / per mile: small denominators may enlarge it
 RATE = DecimalType(5, 2)         # percentages 0..100
-DAYS = DecimalType(12, 2)        # average transit days, average kg
+DAYS = DecimalType(12, 2)        # average transit days (int days: at most 10 integer digits)
 
 # Decimal used for integer sums that feed a division (keeps PostgreSQL's NUMERIC averages).
 _INT_SUM = DecimalType(20, 0)
@@ -125,9 +125,9 @@ def kpi(name: str) -> Column:
     if name == "avg_transit_days":
         return round2(ratio(col("sum_transit").cast(_INT_SUM), col("n_transit")), DAYS)
     if name == "avg_kg":
-        return round2(ratio(col("sum_kg"), col("n_kg")), DAYS)
+        return round2(ratio(col("sum_kg"), col("n_kg")), PER_UNIT)
     if name == "avg_kg_per_shipment":        # SUM(weight_kg) / COUNT(shipment_id)
-        return round2(ratio(col("sum_kg"), col("n")), DAYS)
+        return round2(ratio(col("sum_kg"), col("n")), PER_UNIT)
     if name == "avg_cost":
         return round2(ratio(col("sum_cost"), col("n_cost")), MONEY)
     if name == "avg_miles":

@@ -84,10 +84,10 @@ def overview_wide(log: DataFrame) -> DataFrame:
 
 
 def _avg_cols() -> dict[str, Column]:
-    from ..functions.kpi import DAYS, MONEY, SUM_COST, SUM_QTY, ratio, round2
+    from ..functions.kpi import DAYS, MONEY, PER_UNIT, SUM_COST, SUM_QTY, ratio, round2
     return {
         "avg_shipment_cost": round2(ratio(F.sum("cost").cast(SUM_COST), F.count("cost")), MONEY),
-        "avg_kg": round2(ratio(F.sum("weight_kg").cast(SUM_QTY), F.count("weight_kg")), DAYS),
+        "avg_kg": round2(ratio(F.sum("weight_kg").cast(SUM_QTY), F.count("weight_kg")), PER_UNIT),
         "avg_transit_days": round2(ratio(F.sum(F.col("transit_days").cast("bigint")).cast("decimal(20,0)"),
                                          F.count("transit_days")), DAYS),
     }
