@@ -234,3 +234,17 @@ def test_approximate_options_stay_close(spark):
     n_exact = iqr_outliers(log).count()
     n_approx = iqr_outliers(log, approx_accuracy=10_000).count()
     assert abs(n_exact - n_approx) <= max(2, n_exact // 10)
+
+
+def test_every_analysis_runs_on_an_empty_table(spark):
+    from lanescope.operators.quality import outlier_sources
+    empty = ship(spark, [dict()]).where("1 = 0")
+    for name, fn in A.LOG_ANALYSES.items():
+        rows = fn(empty).collect()
+        if name in ("overview", "overview_wide", "overall_kpi", "overall_kpi_wide"):
+            assert len(rows) == 1, name          # global aggregate: one row, NULL KPIs
+        else:
+            assert rows == [], name
+    assert iqr_outliers(empty).collect() == [] and outlier_sources(empty).collect() == []
+    assert A.focus_warehouse_carrier(empty, 3).collect() == []
+    assert A.destination_cost_drill(empty, "cost_per_unit").collect() == []
