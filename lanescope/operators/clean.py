@@ -145,6 +145,14 @@ def impute_cost(clean: DataFrame) -> DataFrame:
     return clean.withColumn("cost", F.coalesce(F.col("cost"), m).cast(COST_TYPE))
 
 
+def fill_cost(clean: DataFrame, mean) -> DataFrame:
+    """Fill NULL cost with a known mean (a Decimal, e.g. stored next to a parsed table), so the
+    clean table is a projection of the parsed one instead of a second stored copy."""
+    if mean is None:
+        return clean
+    return clean.withColumn("cost", F.coalesce(F.col("cost"), F.lit(mean).cast(COST_TYPE)).cast(COST_TYPE))
+
+
 def log_data(staging: DataFrame, mode: str = "quarantine") -> DataFrame:
     """Clean, imputed fact table (the analysed ``log_data``)."""
     return impute_cost(clean_shipments(staging, mode))

@@ -102,6 +102,13 @@ def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False
     writer.parquet(path)
 
 
+def materialize_value(spark: SparkSession, build, name: str, key: str, column: str):
+    """A single aggregate value (one-row ``build()``), stored once as a tiny table and read back
+    as a Python value: one scalar, never rows."""
+    row = materialize(spark, build, name, key, sort_keys=()).select(column).first()
+    return None if row is None else row[0]
+
+
 def materialize(spark: SparkSession, build, name: str, key: str, **write_opts) -> DataFrame:
     """Return the table ``name/key`` from the shared folder, building it with ``build()`` once."""
     path = f"{checkpoint_root(spark)}/lanescope/{name}-{key}"
