@@ -96,6 +96,7 @@ def _on_parsed(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[Spa
     return run
 
 
+STREAM_FILES_PER_TRIGGER = 4    # landing files per micro-batch (several batches share the state)
 STREAM_KPIS = ("cost_per_unit", "cost_per_kg", "avg_transit_days", "delivered_rate", "delay_rate",
                "lost_rate", "returned_rate")
 
@@ -114,7 +115,8 @@ def stream_warehouse_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not store.path_exists(spark, f"{src}/_SUCCESS"):
         ingest.write_staging_files(staging_for(spark, sf_dir), src)
     run = f"{root}/run-{store.run_id()}"
-    return edge(ingest.stream_segment_kpis(spark, src, run, [A.WH], STREAM_KPIS, "shipment_count"))
+    return edge(ingest.stream_segment_kpis(spark, src, run, [A.WH], STREAM_KPIS, "shipment_count",
+                                           max_files_per_trigger=STREAM_FILES_PER_TRIGGER))
 
 
 def delay_pareto(log: DataFrame) -> DataFrame:

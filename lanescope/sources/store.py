@@ -102,11 +102,17 @@ def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False
     writer.parquet(path)
 
 
+_VALUES: dict[tuple[str, str, str], object] = {}
+
+
 def materialize_value(spark: SparkSession, build, name: str, key: str, column: str):
     """A single aggregate value (one-row ``build()``), stored once as a tiny table and read back
-    as a Python value: one scalar, never rows."""
-    row = materialize(spark, build, name, key, sort_keys=()).select(column).first()
-    return None if row is None else row[0]
+    as a Python value (one scalar, never rows), remembered for the application."""
+    cache_key = (spark.sparkContext.applicationId, f"{name}-{key}", column)
+    if cache_key not in _VALUES:
+        row = materialize(spark, build, name, key, sort_keys=()).select(column).first()
+        _VALUES[cache_key] = None if row is None else row[0]
+    return _VALUES[cache_key]
 
 
 def materialize(spark: SparkSession, build, name: str, key: str, **write_opts) -> DataFrame:
