@@ -43,7 +43,6 @@ def main() -> None:
     store.NAMESPACE = f"bench-{uuid.uuid4().hex[:8]}"
     t0 = time.perf_counter()
     R.log_data_for(spark, sf_dir).count()
-    R.parsed_for(spark, sf_dir, **R.DUPLICATE_VARIANT).count()
     load_sec = time.perf_counter() - t0
 
     def run(df):

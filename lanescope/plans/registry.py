@@ -23,8 +23,6 @@ from ..sources.schema import STAGING_COLUMNS
 from ..sources.tpch_adapter import DRIVER_TABLES, shipment_facts, staging_from_facts
 from . import analyses as A
 
-# Variant of the staging adapter whose ids repeat (reaches the duplicate-key check).
-DUPLICATE_VARIANT = {"short_ids": True}
 FOCUS_K = 3
 HIGH_VOLUME_GATE = 20
 
@@ -144,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_shipments": _on_parsed(C.accepted),
     "impute_cost": _on_log(lambda log: log),
     "quarantine_rows": _on_parsed(C.rejected),
-    "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p)), **DUPLICATE_VARIANT),
+    "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p))),
     "missing_profile": _on_parsed(lambda p: Q.missing_profile_from_mask(p, STAGING_COLUMNS)),
     "data_issues": _on_log(C.data_issues),
     "preview": _on_log(A.preview),

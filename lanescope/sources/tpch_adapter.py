@@ -86,7 +86,9 @@ def staging_from_facts(f: DataFrame, *, short_ids: bool = False,
                        blank_ship_every: int | None = 500) -> DataFrame:
     """Staging text columns (all STRING) from ``shipment_facts``.
 
-    ``short_ids`` uses ``orderkey-linenumber`` as id (not unique: exercises the duplicate check);
+    Ids are ``orderkey-linenumber-partkey-suppkey``, except blank ones (``m % 499 == 0``) and short
+    ``orderkey-linenumber`` ones (``m % 9 == 4``) that repeat: both reach the duplicate check.
+    ``short_ids`` uses the short id for every row;
     ``blank_ship_every=k`` blanks the ship date when ``m % k == 11``: such rows violate NOT NULL
     and are quarantined by the cleaning step (``None`` turns it off).
     """
@@ -95,8 +97,13 @@ def staging_from_facts(f: DataFrame, *, short_ids: bool = False,
     ship_txt = _txt(c("ship_d"))
     if blank_ship_every:
         ship_txt = F.when(m % blank_ship_every == 11, F.lit(" ")).otherwise(ship_txt)
-    sid = (F.concat_ws("-", "l_orderkey", "l_linenumber") if short_ids
-           else F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    short = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    if short_ids:
+        sid = short
+    else:
+        # mostly unique ids; some blank (they all become UNKNOWN) and some short ones that collide
+        sid = (F.when(m % 499 == 0, F.lit(" ")).when(m % 9 == 4, short)
+               .otherwise(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
     cost_cents = c("cents") * F.when(m % 333 == 5, 8).otherwise(1)
     dollars, cents = F.floor(cost_cents / 100), cost_cents % 100
     cost_txt = (F.when(m % 200 == 3, F.lit(" "))
