@@ -30,3 +30,24 @@ def test_stream_matches_batch(spark):
     got = ingest.stream_segment_kpis(spark, f"{d}/landing", f"{d}/m", ["carrier"], KPIS)
     want = segment(C.log_data(st), ["carrier"], KPIS)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_restart_resumes_exactly_once(spark):
+    d = tempfile.mkdtemp(prefix="lanescope-restart-")
+    st = staging_for(spark, SF_SMALL)
+    first, second = st.randomSplit([0.5, 0.5], seed=7)
+    ingest.write_staging_files(first.coalesce(2), f"{d}/landing/a")
+    src = f"{d}/landing/*"
+
+    def run():
+        q = ingest.start_parsed_sink(ingest.read_staging_stream(spark, src, 1), f"{d}/parsed", f"{d}/ck")
+        q.awaitTermination()
+
+    run()
+    n1 = spark.read.parquet(f"{d}/parsed").count()
+    run()                                                    # nothing new: no duplicates
+    assert spark.read.parquet(f"{d}/parsed").count() == n1
+    ingest.write_staging_files(second.coalesce(2), f"{d}/landing/b")
+    run()                                                    # new files only, once
+    total = spark.read.parquet(f"{d}/parsed").count()
+    assert total == st.count() and total > n1
