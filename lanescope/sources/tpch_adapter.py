@@ -107,7 +107,8 @@ def staging_from_facts(f: DataFrame, *, short_ids: bool = False,
     cost_cents = c("cents") * F.when(m % 333 == 5, 8).otherwise(1)
     dollars, cents = F.floor(cost_cents / 100), cost_cents % 100
     cost_txt = (F.when(m % 200 == 3, F.lit(" "))
-                .when(m % 7 == 0, F.concat(_thousands(dollars), F.lit("."), F.lpad(_txt(cents), 2, "0")))
+                .when((m % 7 == 0) | (m % 333 == 5),          # outliers are large: separators
+                      F.concat(_thousands(dollars), F.lit("."), F.lpad(_txt(cents), 2, "0")))
                 .when(m % 11 == 0, F.concat(_txt(dollars), F.lit("."), F.lpad(_txt(cents), 2, "0"), F.lit("5")))
                 .otherwise(F.concat(_txt(dollars), F.lit("."), F.lpad(_txt(cents), 2, "0"))))
     kg = c("qty") * (m % 3 + 1)
