@@ -28,6 +28,9 @@ DESTINATION_DELAY_GATE = 10    # destination delay drill
 VARIABILITY_GATE = 10          # warehouse x carrier variability
 CARRIER_MONTH_GATE = 5         # carrier monthly trend
 
+FOCUS_K = 3                    # drill into the first three warehouses of the priority scorecard
+HIGH_VOLUME_GATE = 20          # "bad KPI + enough volume" segments
+
 # --- Fixed values: carrier 2x2 positioning labels (median benchmark) --------------------------
 FAST_EXPENSIVE = "FAST but EXPENSIVE"
 FAST_CHEAP = "FAST and CHEAP (best)"

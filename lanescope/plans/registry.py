@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..fixed_values import FOCUS_K, HIGH_VOLUME_GATE
 from ..operators import clean as C
 from ..operators import quality as Q
 from ..sources import store
@@ -23,9 +24,6 @@ from ..sources.schema import STAGING_COLUMNS
 from ..sources.tpch_adapter import DRIVER_TABLES, shipment_facts, staging_from_facts
 from . import analyses as A
 
-FOCUS_K = 3
-HIGH_VOLUME_GATE = 20
-
 
 def _inputs(sf_dir: str) -> list[str]:
     return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES]
