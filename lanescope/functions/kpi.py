@@ -17,6 +17,9 @@ ratios to a benchmark) keeps plenty of fractional digits under Spark's precision
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
@@ -38,6 +41,24 @@ SUM_COST = DecimalType(26, 2)
 SUM_QTY = DecimalType(26, 3)
 
 
+def per_application(fn):
+    """Memoise a builder of ``Column`` objects for the running SparkContext.
+
+    Columns are immutable unresolved expressions, so one object can serve every query; building
+    them costs a py4j round trip per function call on the driver, which adds up when dozens of
+    KPIs are assembled for each query.
+    """
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        key = (id(SparkContext._active_spark_context), *args)
+        if key not in cache:
+            cache[key] = fn(*args)
+        return cache[key]
+    return wrapper
+
+
 def ratio(num: Column, den: Column) -> Column:
     """``num / NULLIF(den, 0)``: NULL instead of a division-by-zero error."""
     return num / F.nullif(den, F.lit(0))
@@ -64,6 +85,7 @@ _SUM_OF = {"sum_cost": ("cost", SUM_COST), "sum_kg": ("weight_kg", SUM_QTY),
            "sum_miles": ("distance_miles", SUM_QTY)}
 
 
+@per_application
 def measure(name: str) -> Column:
     """Aggregate expression of an additive measure over shipment rows."""
     if name == "n":
@@ -80,6 +102,7 @@ def measure(name: str) -> Column:
     raise KeyError(name)
 
 
+@per_application
 def rollup_measure(name: str) -> Column:
     """How a measure rolls up from segment rows to a coarser level (sums of sums / counts)."""
     if name in _SUM_OF:
@@ -113,6 +136,7 @@ def _rate(count_col: str | Column) -> Column:
     return round2(ratio((c * 100).cast(_COUNT_X100), F.col("n")), RATE)
 
 
+@per_application
 def kpi(name: str) -> Column:
     """Rounded KPI column computed from measure columns (see ``MEASURES``)."""
     col = F.col

@@ -73,11 +73,14 @@ class Rule:
 
 
 def versus(seg: DataFrame, bench: DataFrame, rules: Sequence[Rule], *,
-           on: Sequence[str] = (), bench_prefix: str = "b_") -> DataFrame:
+           on: Sequence[str] = (), bench_prefix: str = "b_", flag_count: str | None = None,
+           priority: tuple[str, str] | None = None) -> DataFrame:
     """Append delta and flag columns of ``seg`` against the benchmark KPIs in ``bench``.
 
     Without ``on``, ``bench`` is one row (bound with ``attach``). With ``on``, it holds one row
-    per key of ``on`` and is equi-joined to the segments.
+    per key of ``on`` and is equi-joined to the segments. ``flag_count`` adds the number of
+    raised flags and ``priority=(volume column, name)`` adds volume x flag count, in the same
+    projection.
     """
     kp = sorted({r.kpi for r in rules})
     if on:
@@ -89,12 +92,23 @@ def versus(seg: DataFrame, bench: DataFrame, rules: Sequence[Rule], *,
         # then need the same measures and Spark reuses the segment shuffle for the subquery
         joined, bcol = attach(seg, bench)
     cols = [F.col(c) for c in seg.columns]
+    flags: list[Column] = []
     for r in rules:
         s, b = F.col(r.kpi), bcol[r.kpi]
         if r.delta:
             cols.append(r.delta_col(s, b).alias(r.delta))
         if r.flag:
-            cols.append(r.flag_col(s, b).alias(r.flag))
+            f = r.flag_col(s, b)
+            flags.append(f)
+            cols.append(f.alias(r.flag))
+    if flag_count:
+        total = F.lit(0)
+        for f in flags:
+            total = total + f
+        total = total.cast("int")
+        cols.append(total.alias(flag_count))
+        if priority:
+            cols.append((F.col(priority[0]) * total).cast("bigint").alias(priority[1]))
     return joined.select(*cols)
 
 

@@ -148,10 +148,8 @@ def scorecard_from_measures(m: DataFrame, keys: Sequence[str] = (WH,), *,
     rules, kp = _scorecard_plan(with_cost_per_mile_flag, with_secondary_deltas, extra_kpis)
     seg = finalize(m, keys, kp, count_name)
     overall = finalize(rollup(m), (), kp, None)
-    out = versus(seg, overall, rules)
-    flags = [r.flag for r in rules if r.flag]
-    return (out.withColumn("flag_count", flag_sum(flags))
-            .withColumn("priority_score", (F.col(count_name) * F.col("flag_count")).cast("bigint")))
+    return versus(seg, overall, rules, flag_count="flag_count",
+                  priority=(count_name, "priority_score"))
 
 
 def warehouse_scorecard_full(log: DataFrame, keys: Sequence[str] = (WH,), *,

@@ -61,8 +61,19 @@ def _code_digest() -> str:
     return h.hexdigest()
 
 
+_FINGERPRINTS: dict[tuple, str] = {}
+
+
 def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
-    """Stable key of input files (size + modification time), code and extra parameters."""
+    """Stable key of input files (size + modification time), code and extra parameters;
+    computed once per application (inputs are not expected to change under a running job)."""
+    memo = (spark.sparkContext.applicationId, tuple(paths), NAMESPACE, *extra)
+    if memo not in _FINGERPRINTS:
+        _FINGERPRINTS[memo] = _fingerprint(spark, paths, *extra)
+    return _FINGERPRINTS[memo]
+
+
+def _fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
     h = hashlib.sha1(_code_digest().encode())
     for path in paths:
         p, fs = _fs(spark, path)
