@@ -50,14 +50,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _code_digest() -> str:
-    """Digest of the modules that decide the table content (adapter, parsing, cleaning)."""
-    import pathlib
+    """Digest of the modules that decide the table content (adapter, parsing, cleaning).
+    Read through ``pkgutil`` so it also works when the package ships as a zip (--py-files)."""
+    import pkgutil
 
-    root = pathlib.Path(__file__).resolve().parents[1]
     h = hashlib.sha1()
     for rel in ("sources/tpch_adapter.py", "sources/schema.py", "sources/store.py",
-                "functions/parse.py", "functions/kpi.py", "operators/clean.py"):
-        h.update((root / rel).read_bytes())
+                "functions/parse.py", "functions/kpi.py", "operators/clean.py", "fixed_values.py"):
+        h.update(pkgutil.get_data("lanescope", rel) or b"")
     return h.hexdigest()
 
 
