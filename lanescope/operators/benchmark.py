@@ -129,7 +129,10 @@ def medians(seg: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: exact median (linear interpolation) of each column over the segment rows.
 
     The input is a segment table (one row per segment, already gated), so the exact
-    ``percentile`` aggregate holds one value per segment, not per shipment.
+    ``percentile`` aggregate holds one value per segment, not per shipment. Spark interpolates
+    as ``(1-f)·lo + f·hi``; SQL's ``lo + f·(hi-lo)`` may differ in the last bit for an even
+    number of segments, which cannot change a comparison against a segment's own value (the
+    2x2 labels). For the SQL value itself use ``operators.quantile.exact_percentiles``.
     """
     return seg.agg(*[F.percentile(F.col(c).cast("double"), MEDIAN).alias(f"med_{c}") for c in cols])
 
