@@ -33,9 +33,11 @@ def _normalised(staging: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     ``keep`` columns are passed through unchanged. ``blank_mask`` has bit i set when staging
     column i was NULL or blank (the raw-data missing-value profile, kept as one small int)."""
     c = F.col
-    mask = F.lit(0)
+    if len(staging.columns) > 63:
+        raise ValueError("blank_mask holds at most 63 staging columns")
+    mask = F.lit(0).cast("bigint")
     for i, n in enumerate(staging.columns):
-        mask = mask + F.when(blank_to_null(c(n)).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+        mask = mask + F.when(blank_to_null(c(n)).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0))
     cols = [*keep, mask.alias("blank_mask")] + [text_or_unknown(c(n)).alias(n) for n in LABELS]
     cols += [blank_to_null(c(n)).alias(n) for n in ("shipment_date", "delivery_date", "transit_days")]
     cols += [F.nullif(F.replace(F.trim(c(n)), F.lit(","), F.lit("")), F.lit("")).alias(n) for n in _NUMERIC]
