@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..fixed_values import FOCUS_K, HIGH_VOLUME_GATE
+from ..fixed_values import DELAYED, FOCUS_K, HIGH_VOLUME_GATE
 from ..operators import clean as C
 from ..operators import quality as Q
 from ..sources import store
@@ -84,13 +84,6 @@ def _on_log(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str
     return run
 
 
-def _on_staging(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return edge(fn(staging_for(spark, sf_dir, **variant)))
-    run.__doc__ = fn.__doc__
-    return run
-
-
 def _on_parsed(fn: Callable[[DataFrame], DataFrame], **variant) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return edge(fn(parsed_for(spark, sf_dir, **variant)))
@@ -108,7 +101,8 @@ def stream_warehouse_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Spark writes the adapter's staging rows as CSV files into the shared folder (the input
     "arriving" in a landing folder); a stateful streaming aggregation keeps the measures per
-    warehouse across micro-batches (one file per trigger); KPIs are read from its snapshot."""
+    warehouse across micro-batches (``STREAM_FILES_PER_TRIGGER`` files each); KPIs are read
+    from its snapshot, with the cost mean applied at read time."""
     from ..streaming import ingest
 
     key = store.fingerprint(spark, _inputs(sf_dir), "stream", ingest.__file__)
@@ -123,7 +117,7 @@ def stream_warehouse_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delay_pareto(log: DataFrame) -> DataFrame:
     """Per carrier: delayed shipments by lane, largest first, with the cumulative share."""
-    delayed = (log.where(F.col("status") == "Delayed")
+    delayed = (log.where(F.col("status") == DELAYED)
                .groupBy(A.CARRIER, A.WH, A.DEST).agg(F.count(F.lit(1)).alias("delayed")))
     return Q.pareto(delayed, [A.CARRIER], [A.WH, A.DEST], "delayed")
 
