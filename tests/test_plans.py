@@ -57,3 +57,17 @@ def test_one_row_benchmark_reuses_the_segment_shuffle(spark, name):
     df.collect()
     executed = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in executed, name
+
+
+@pytest.mark.parametrize("name", ["delay_pareto", "monthly_delay_change", "iqr_outliers", "outlier_sources"])
+def test_windows_are_partitioned(spark, name):
+    """No window runs over the whole input in one task: each has a partition key."""
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    windows = [ln for ln in executed.splitlines() if ln.strip().lstrip("+-: ").startswith("Window [")]
+    assert windows, name
+    for ln in windows:
+        # partitioned: "Window [exprs], [partition keys], [order keys]"; without a partition
+        # key Spark prints only "Window [exprs], [order keys]"
+        assert ln.count("], [") >= 2, ln
