@@ -70,15 +70,23 @@ def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
                    .agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("name").orderBy(F.col("below").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select("name", "k", "below", F.sum("c").over(w).alias("cum"))
-    picked = (cum.join(spec.select("name", "r_lo", "r_hi", "pos"), "name")
-              .groupBy("name", "r_lo", "r_hi", "pos")
-              .agg(F.coalesce(F.max(F.when(F.col("below"), F.col("cum"))), F.lit(0)).alias("base"),
-                   F.min(F.when(~F.col("below") & (F.col("cum") > F.col("r_lo")), F.col("k"))).alias("v_lo"),
-                   F.min(F.when(~F.col("below") & (F.col("cum") > F.col("r_hi")), F.col("k"))).alias("v_hi")))
-    checked = picked.select(
-        "name",
-        F.when((F.col("base") > F.col("r_lo")) | F.col("v_hi").isNull(),
-               F.raise_error(F.lit("exact_percentiles: bracket missed the rank")).cast("double"))
-        .otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("r_lo")))
-        .alias("q"))
-    return checked.groupBy().pivot("name", names).agg(F.first("q"))
+    # one global aggregation over the few bracket rows gives, per probability, the count below
+    # the bracket and the values at ranks lo and hi (no per-probability grouping + pivot)
+    j = cum.join(F.broadcast(spec.select("name", "r_lo", "r_hi", "pos")), "name")
+    aggs = []
+    for k in names:
+        mine, inside = F.col("name") == k, ~F.col("below")
+        aggs += [F.coalesce(F.max(F.when(mine & F.col("below"), F.col("cum"))), F.lit(0)).alias(f"{k}__base"),
+                 F.min(F.when(mine & inside & (F.col("cum") > F.col("r_lo")), F.col("k"))).alias(f"{k}__lo"),
+                 F.min(F.when(mine & inside & (F.col("cum") > F.col("r_hi")), F.col("k"))).alias(f"{k}__hi"),
+                 F.max(F.when(mine, F.col("r_lo"))).alias(f"{k}__rlo"),
+                 F.max(F.when(mine, F.col("pos"))).alias(f"{k}__pos")]
+    picked = j.agg(*aggs)
+    out = []
+    for k in names:
+        c = {x: F.col(f"{k}__{x}") for x in ("base", "lo", "hi", "rlo", "pos")}
+        out.append(F.when(c["pos"].isNull(), F.lit(None).cast("double"))       # no values at all
+                   .when((c["base"] > c["rlo"]) | c["hi"].isNull(),
+                         F.raise_error(F.lit("exact_percentiles: bracket missed the rank")).cast("double"))
+                   .otherwise(c["lo"] + (c["hi"] - c["lo"]) * (c["pos"] - c["rlo"])).alias(k))
+    return picked.select(*out)
