@@ -52,7 +52,8 @@ def per_application(fn):
 
     @functools.wraps(fn)
     def wrapper(*args):
-        key = (id(SparkContext._active_spark_context), *args)
+        sc = SparkContext._active_spark_context
+        key = (id(sc), id(getattr(sc, "_jsc", None)), *args)
         if key not in cache:
             cache[key] = fn(*args)
         return cache[key]
