@@ -63,34 +63,24 @@ def preview(log: DataFrame, n: int = 5) -> DataFrame:
 
 
 def overview_wide(log: DataFrame) -> DataFrame:
-    """A01 plus delivery-date range, ``COUNT(shipment_id)`` and total kg."""
-    return log.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct(WH).alias("total_warehouse"),
-        F.count_distinct(DEST).alias("total_destination"),
-        F.count_distinct(CARRIER).alias("total_carriers"),
-        F.min("shipment_date").alias("starting_ship_date"),
-        F.max("shipment_date").alias("ended_ship_date"),
-        F.min("delivery_date").alias("starting_del_date"),
-        F.max("delivery_date").alias("ended_del_date"),
-        F.sum("cost").alias("total_cost"),
-        F.count("shipment_id").alias("total_shipment"),
-        *[c.alias(n) for n, c in _avg_cols().items()],
-        F.sum("weight_kg").alias("total_kg"),
-    ).select("total_rows", "total_warehouse", "total_destination", "total_carriers",
-             "starting_ship_date", "ended_ship_date", "starting_del_date", "ended_del_date",
-             "total_cost", "total_shipment", "avg_shipment_cost", "total_kg", "avg_kg",
-             "avg_transit_days")
-
-
-def _avg_cols() -> dict[str, Column]:
-    from ..functions.kpi import DAYS, MONEY, PER_UNIT, SUM_COST, SUM_QTY, ratio, round2
-    return {
-        "avg_shipment_cost": round2(ratio(F.sum("cost").cast(SUM_COST), F.count("cost")), MONEY),
-        "avg_kg": round2(ratio(F.sum("weight_kg").cast(SUM_QTY), F.count("weight_kg")), PER_UNIT),
-        "avg_transit_days": round2(ratio(F.sum(F.col("transit_days").cast("bigint")).cast("decimal(20,0)"),
-                                         F.count("transit_days")), DAYS),
-    }
+    """A01 plus delivery-date range, ``COUNT(shipment_id)`` and total kg (A01b). One aggregation."""
+    kp = ["total_cost", ("avg_cost", "avg_shipment_cost"), "avg_kg", "avg_transit_days"]
+    extra = [F.count_distinct(WH).alias("total_warehouse"),
+             F.count_distinct(DEST).alias("total_destination"),
+             F.count_distinct(CARRIER).alias("total_carriers"),
+             F.min("shipment_date").alias("starting_ship_date"),
+             F.max("shipment_date").alias("ended_ship_date"),
+             F.min("delivery_date").alias("starting_del_date"),
+             F.max("delivery_date").alias("ended_del_date"),
+             F.count("shipment_id").alias("total_shipment")]
+    m = measures(log, (), kp, extra=["sum_kg"], extra_aggs=extra)
+    keep = ["total_warehouse", "total_destination", "total_carriers", "starting_ship_date",
+            "ended_ship_date", "starting_del_date", "ended_del_date", "total_shipment", "sum_kg"]
+    out = finalize(m, (), kp, "total_rows", keep=keep)
+    return out.select("total_rows", "total_warehouse", "total_destination", "total_carriers",
+                      "starting_ship_date", "ended_ship_date", "starting_del_date", "ended_del_date",
+                      "total_cost", "total_shipment", "avg_shipment_cost", F.col("sum_kg").alias("total_kg"),
+                      "avg_kg", "avg_transit_days")
 
 
 def overall_kpi(log: DataFrame) -> DataFrame:
