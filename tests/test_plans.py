@@ -73,3 +73,15 @@ def test_windows_are_partitioned(spark, name):
         for spec in ln.split("windowspecdefinition(")[1:]:
             first = spec.split(", ")[0]
             assert not (" ASC" in first or " DESC" in first or first.startswith("specifiedwindowframe")), ln
+
+
+@pytest.mark.parametrize("name", ["focus_warehouse_carrier", "focus_lanes", "warehouse_monthly",
+                                  "destination_cost_drill", "destination_delay_drill"])
+def test_drill_downs_read_the_checkpointed_aggregate(spark, name):
+    """Ranking and rows come from one checkpointed fine-grained aggregate: the query itself
+    does not scan the fact table again (its single scan ran in the checkpoint job)."""
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in executed, name
+    assert "Scan ExistingRDD" in executed or "ExistingRDD" in executed, name
