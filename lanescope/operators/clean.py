@@ -11,8 +11,9 @@ Steps (all narrow projections of one stage, except the imputation mean):
    The mean is a one-row global aggregate used as a scalar subquery (no join).
 
 ``mode="strict"`` reproduces a typed insert: a malformed value or a missing ship date fails the
-job. ``mode="quarantine"`` (default) keeps the job running: such rows are set aside with a
-reason (see ``quarantine_rows``) and excluded from the clean table.
+job (checked explicitly, so it does not depend on ANSI mode). ``mode="quarantine"`` (default)
+keeps the job running: such rows are set aside with a reason (see ``quarantine_rows``) and
+excluded from the clean table.
 """
 
 from __future__ import annotations
@@ -81,30 +82,26 @@ def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool =
     rows only (NULL otherwise, which costs nothing in Parquet), so the parsed table can serve
     the quarantine report without a second pass over the source.
     """
-    strict = mode == "strict"
     src = staging.columns
     keep = tuple(F.col(n).alias(f"raw_{n}") for n in src) if keep_raw else ()
     norm = _normalised(staging, keep)
-    typed = _typed(norm, strict)
-    if strict:
-        # a missing ship date violates NOT NULL: fail the job like the typed insert does
-        typed["shipment_date"] = F.when(typed["shipment_date"].isNull(),
-                                        F.raise_error(F.lit("shipment_date is NULL"))
-                                        ).otherwise(typed["shipment_date"])
-        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS],
-                             F.lit(None).cast("string").alias("reject_reason"), "blank_mask",
-                             *[F.col(k) for k in (f"raw_{n}" for n in src) if keep_raw])
-    else:
-        # cast once into attributes, then check them (keeps each expression small)
-        parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], "blank_mask",
-                             *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
-                             *[F.col(f"raw_{n}") for n in src if keep_raw])
-        reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED})
-        parsed = parsed.select(*CLEAN_COLUMNS, reason.alias("reject_reason"), "blank_mask",
-                               *[F.col(f"raw_{n}") for n in src if keep_raw])
-        if keep_raw:
-            parsed = parsed.select(*CLEAN_COLUMNS, "reject_reason", "blank_mask", *[
-                F.when(F.col("reject_reason").isNotNull(), F.col(f"raw_{n}")).alias(f"raw_{n}") for n in src])
+    typed = _typed(norm, strict=False)
+    # cast once into attributes, then check them (keeps each expression small)
+    parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], "blank_mask",
+                         *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
+                         *[F.col(f"raw_{n}") for n in src if keep_raw])
+    reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED})
+    if mode == "strict":
+        # a typed insert fails on the first bad row: raise instead of quarantining. Checked
+        # explicitly (not through ANSI casts), so it holds whatever spark.sql.ansi.enabled says;
+        # ``accepted`` filters on this column, so every row is checked.
+        reason = F.when(reason.isNotNull(), F.raise_error(F.concat(F.lit("rejected row: "), reason))
+                        ).cast("string")
+    parsed = parsed.select(*CLEAN_COLUMNS, reason.alias("reject_reason"), "blank_mask",
+                           *[F.col(f"raw_{n}") for n in src if keep_raw])
+    if keep_raw:
+        parsed = parsed.select(*CLEAN_COLUMNS, "reject_reason", "blank_mask", *[
+            F.when(F.col("reject_reason").isNotNull(), F.col(f"raw_{n}")).alias(f"raw_{n}") for n in src])
     return parsed.withColumn("transit_days", _recompute_transit(
         F.col("shipment_date"), F.col("delivery_date"), F.col("transit_days")))
 

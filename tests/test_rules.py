@@ -248,3 +248,17 @@ def test_every_analysis_runs_on_an_empty_table(spark):
     assert iqr_outliers(empty).collect() == [] and outlier_sources(empty).collect() == []
     assert A.focus_warehouse_carrier(empty, 3).collect() == []
     assert A.destination_cost_drill(empty, "cost_per_unit").collect() == []
+
+
+def test_strict_mode_fails_without_ansi_too(spark):
+    st = staging(spark, [dict(shipment_id="ok", shipment_date="2024-01-01", cost="1"),
+                         dict(shipment_id="bad", shipment_date="2024-01-01", cost="12abc")])
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        with pytest.raises(Exception, match="cost unparseable"):
+            C.clean_shipments(st, mode="strict").collect()
+        assert [r.shipment_id for r in C.clean_shipments(st.where("shipment_id = 'ok'"), mode="strict")
+                .collect()] == ["ok"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
