@@ -3,6 +3,10 @@
 SQL semantics: over the ``n`` non-null values (as DOUBLE) sorted ascending, position
 ``pos = p * (n - 1)``; with ``lo = floor(pos)``, ``hi = ceil(pos)`` the result is
 ``v[lo] + (v[hi] - v[lo]) * (pos - lo)``.
+All of it in double arithmetic, as PostgreSQL evaluates PERCENTILE_CONT on float8 (checked in
+``tests/test_quantile.py``). DuckDB's ``quantile_cont`` gives the same bits when the fraction is
+dyadic (the quartiles and the median used by the analyses) and may differ in the last bit
+otherwise.
 
 Spark's built-in exact ``percentile`` merges a value->count map of the whole column in one
 final task (memory grows with the number of distinct values) and interpolates with a slightly

@@ -1,5 +1,7 @@
-"""Exact PERCENTILE_CONT via bracket + rank pick, against DuckDB's quantile_cont."""
+"""Exact PERCENTILE_CONT via bracket + rank pick, against the SQL float8 computation and
+DuckDB's quantile_cont (for dyadic fractions, where the two agree bit for bit)."""
 
+import math
 import random
 
 import duckdb
@@ -23,3 +25,37 @@ def test_matches_duckdb(spark, seed, n, hot):
     got = exact_percentiles(df, "v", probs, accuracy=1000).first()
     for k, p in probs.items():
         assert got[k] == _duck(vals, p), (k, p)
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+def _sql_percentile_cont(values, p):
+    """PERCENTILE_CONT on float8 as PostgreSQL computes it: position p*(n-1) in double, rows
+    floor/ceil of it, then lo + (hi - lo) * (position - floor)."""
+    s = sorted(values)
+    pos = p * (len(s) - 1)
+    lo, hi = math.floor(pos), math.ceil(pos)
+    return s[lo] if lo == hi else s[lo] + (s[hi] - s[lo]) * (pos - lo)
+
+
+DYADIC = {0.0, 0.25, 0.5, 0.75, 1.0}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 400),
+       probs=st.lists(st.sampled_from([0.0, 0.01, 0.1, 0.25, 0.333, 0.5, 0.75, 0.9, 0.99, 1.0]),
+                      min_size=1, max_size=4, unique=True))
+def test_random_sizes_and_probabilities(spark, seed, n, probs):
+    # accuracy 100: inputs under about 67 values take the full-range path, larger ones the
+    # approximate bracket, so both paths and the switch between them are exercised
+    rnd = random.Random(seed)
+    pool = [round(rnd.uniform(0, 50), 2) for _ in range(max(1, n // 5))]     # many duplicates
+    vals = [rnd.choice(pool) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    named = {f"p{i}": p for i, p in enumerate(probs)}
+    got = exact_percentiles(df, "v", named, accuracy=100).first()
+    for k, p in named.items():
+        assert got[k] == _sql_percentile_cont(vals, p), (k, p, n)
+        if p in DYADIC:           # DuckDB agrees exactly whenever the fraction is dyadic
+            assert got[k] == _duck(vals, p), (k, p, n)
