@@ -177,7 +177,7 @@ def warehouse_scorecard(log: DataFrame) -> DataFrame:
     full = warehouse_scorecard_full(log, with_secondary_deltas=False)
     return full.select(WH, "shipment_count", "d_delivered_pp", "d_delay_pp", "d_return_pp",
                        "d_cost_per_unit_pct", "d_cost_per_kg_pct", "flag_count", "priority_score"
-                       ).orderBy(F.desc("priority_score"), F.desc("shipment_count"))
+                       ).orderBy(desc("priority_score"), desc("shipment_count"))
 
 
 def warehouse_scorecard_wide(log: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def warehouse_scorecard_wide(log: DataFrame) -> DataFrame:
                        "d_delivered_pp", "d_delay_pp", "d_lost_pp", "d_return_pp", "d_transit_days",
                        "d_cost_per_unit_pct", "d_cost_per_kg_pct", "d_cost_per_mile_pct",
                        "flag_count", "priority_score"
-                       ).orderBy(F.desc("priority_score"), F.desc("shipment_count"))
+                       ).orderBy(desc("priority_score"), desc("shipment_count"))
 
 
 # --------------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ def carrier_positioning(log: DataFrame, min_volume: int = CARRIER_GATE,
     ck_b, med = attach(ck, medians(ck, kpis))
     label = position_2x2(F.col("cost_per_unit"), F.col("avg_transit_days"),
                          med["med_cost_per_unit"], med["med_avg_transit_days"])
-    return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(F.desc("shipments"))
+    return ck_b.select(*ck.columns, label.alias("carrier_position")).orderBy(desc("shipments"))
 
 
 def carrier_tradeoff(log: DataFrame, min_volume: int = CARRIER_GATE) -> DataFrame:
@@ -236,7 +236,7 @@ def worst_lanes(log: DataFrame, min_volume: int = LANE_GATE, with_lost_rate: boo
     rk_b, avg = attach(rk, averages(rk, kp))
     score = ratio_score([(F.col(k), avg[f"avg_{k}"]) for k in SCORE_KPIS])
     return (rk_b.select(*rk.columns, score.alias("badness_score"))
-            .orderBy(F.col("badness_score").desc_nulls_first(), F.desc("shipments")))
+            .orderBy(desc("badness_score"), desc("shipments")))
 
 
 # --------------------------------------------------------------------------------------
