@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, packing, zstd_shards
-from .common import read, text_file
+from . import (bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, hnsw, icws, line_dedup, packing, weak_labels,
+               zstd_shards)
+from .common import read, small_side, stored, text_file
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -33,5 +34,71 @@ def op7_zstd_shards(spark, sf_dir):
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_lexicon, op4_packing, op7_zstd_shards)}
-ORACLE: dict[str, str] = {}
+def op3_line_dedup(spark, sf_dir):
+    """Every document with the lines that remain."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    kept = line_dedup.deduplicated(docs, report="dropped")
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "dropped",
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op6_weak_labels(spark, sf_dir):
+    """Every document with its weak label's posterior, its score and the decision."""
+    scored = weak_labels.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "quality.posterior", "quality.score", "quality.keep")
+
+
+def op9_icws_minhash(spark, sf_dir):
+    """Every document with its group of near-duplicates."""
+    return icws.groups(read(spark, sf_dir, "documents")).drop("text_md5")
+
+
+#: (verdict, host, path beginning)
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op10_bloom_cascade(spark, sf_dir):
+    """Every page's url judged by the rules."""
+    return bloom_cascade.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP10_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT u.page_id, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(rhost || rpath) DESC, rhost || rpath) AS rn
+  FROM urls u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id AND rn = 1
+"""
+def op2_cross_entropy(spark, sf_dir):
+    """Every document scored: documents labelled good and not toxic are the target."""
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    target = stored(labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("target_id")).distinct(), "lm-target")
+    docs = docs.select("doc_id", "text").join(small_side(target), F.col("doc_id") == F.col("target_id"), "left")
+    return cross_entropy.score(docs, F.col("target_id").isNotNull())
+
+
+def op5_dimension_scan(spark, sf_dir):
+    """The 20 nearest rows, by inner product, of every row whose vec_id is divisible by 20."""
+    return dimension_scan.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_hnsw(spark, sf_dir):
+    """Every vector with its links of cosine 0.98 or more inside its label, and their components."""
+    return hnsw.links(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe_lexicon, op2_cross_entropy, op3_line_dedup, op4_packing, op5_dimension_scan, op6_weak_labels,
+    op7_zstd_shards, op8_hnsw, op9_icws_minhash, op10_bloom_cascade)}
+#: The others have no SQL form; tests/llm compares them with brute-force versions.
+ORACLE = {"op10_bloom_cascade": OP10_SQL}
