@@ -73,7 +73,7 @@ class PieceEncoder:
     lookup: may give the ids of words known beforehand (None: unknown), for many words at once.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 250_000,
+    def __init__(self, tokenizer_json: str, limit: int = 600_000,
                  lookup: Callable[[list[str]], list] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
         import regex
@@ -197,38 +197,46 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         if self.slots.count > self.limit:
             self._forget()
-        docs: list[list] = []
-        for text in texts:
-            parts: list = []
+        runs: list = []                 # per segment: its slots, or its ids if they need no slots
+        texts_of: list[str] = []
+        owner: list[int] = []           # the text that a run belongs to
+        count = 0
+        for number, text in enumerate(texts):
+            count += 1
             for segment, special in self._segments(text or ""):
                 if special >= 0:
-                    parts.append([special])
-                elif segment and _ODD_SPACE.search(segment):
-                    parts.append(self.whole(segment))
-                elif segment:
-                    keys = self._pieces(segment)
-                    slots = np.fromiter(map(self.slots.__getitem__, keys), np.int32, len(keys))
-                    parts.append((slots, segment))
-            docs.append(parts)
-        self._fill()
-        self.hits = np.concatenate([self.hits, np.zeros(self.slots.count - len(self.hits), np.int64)])
-        out = []
-        for parts in docs:
-            got = []
-            for part in parts:
-                if isinstance(part, list):
-                    got.append(np.array(part, np.int32))
+                    run = [special]
+                elif not segment:
                     continue
-                slots, segment = part
-                self.hits += np.bincount(slots, minlength=len(self.hits)) if len(slots) > 4096 else 0
-                if len(slots) <= 4096:
-                    np.add.at(self.hits, slots, 1)
-                if not self.lower and self.open[slots[:-1]].any():
-                    got.append(self._closed(segment))
+                elif _ODD_SPACE.search(segment):
+                    run = self.whole(segment)
                 else:
-                    got.append(gather(self.flat, self.starts[slots], self.lens[slots]))
-            out.append(np.concatenate(got) if len(got) > 1 else got[0] if got else np.zeros(0, np.int32))
-        return out
+                    keys = self._pieces(segment)
+                    run = np.fromiter(map(self.slots.__getitem__, keys), np.int32, len(keys))
+                runs.append(run)
+                texts_of.append(segment)
+                owner.append(number)
+        self._fill()
+        self.hits = np.r_[self.hits, np.zeros(self.slots.count - len(self.hits), np.int64)]
+        slotted = [k for k, run in enumerate(runs) if isinstance(run, np.ndarray)]
+        slots = np.concatenate([runs[k] for k in slotted]) if slotted else np.zeros(0, np.int32)
+        self.hits += np.bincount(slots, minlength=len(self.hits))
+        n = self.lens[slots]
+        ids = gather(self.flat, self.starts[slots], n)
+        piece_ends = np.cumsum([len(runs[k]) for k in slotted]) if slotted else []
+        total = np.r_[0, np.cumsum(n)]
+        is_open = None if self.lower else self.open[slots]
+        for k, end in zip(slotted, piece_ends):
+            begin = end - len(runs[k])
+            if is_open is not None and is_open[begin:end - 1].any():
+                runs[k] = self._closed(texts_of[k])
+            else:
+                runs[k] = ids[total[begin]:total[end]]
+        out: list = [None] * count
+        for number, run in zip(owner, runs):
+            run = np.asarray(run, np.int32)
+            out[number] = run if out[number] is None else np.concatenate([out[number], run])
+        return [np.zeros(0, np.int32) if x is None else x for x in out]
 
     def _forget(self) -> None:
         """Keep the pieces met more than once, or nothing if those are most."""

@@ -48,7 +48,7 @@ SHARD_BYTES = 8 << 20          # a shard is closed beyond so many compressed byt
 class ShardWriter:
     """Builds one shard file in memory (bounded by ``SHARD_BYTES`` and one document)."""
 
-    def __init__(self, width: str, level: int = 3):
+    def __init__(self, width: str, level: int = 1):
         import zstandard
 
         self.width, self.zstd = width, zstandard.ZstdCompressor(level=level, write_checksum=True)
