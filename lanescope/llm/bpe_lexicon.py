@@ -28,6 +28,8 @@ from .transducer import Transducer, compile_words
 
 #: Words in the lexicon: a bounded cache of the vocabulary's head; all others are merged exactly.
 LEXICON_WORDS = 65_536
+#: Pieces that one encoding task remembers.
+REMEMBERED = 250_000
 #: Distinct words that one task gathers before it hands partial counts on.
 _GATHER = 200_000
 
@@ -74,8 +76,9 @@ def build_lexicon(docs: DataFrame, tokenizer_json: str, text_col: str = "text",
 
 
 def encode(docs: DataFrame, tokenizer_json: str, lexicon: bytes | None = None, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(id, ids): ids as binary, little-endian unsigned 32-bit. lexicon: as built, or built here."""
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids): ids as binary, little-endian unsigned 32-bit. lexicon: as built, or built here.
+    decoded: adds column ``decoded``, the ids decoded again in the same pass."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
     name = publish(spark, "lexicon", build_lexicon(docs, tokenizer_json, text_col) if lexicon is None else lexicon)
@@ -87,12 +90,31 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: bytes | None = None, i
 
         words = Transducer(SparkFiles.get(name))
         encoder = worker_encoder(vocabulary.value, name,
-                                 lookup=lambda ws: words.lookup([w.encode() for w in ws]))
-        for batch in slices(batches, 512):
-            ids = [x.astype("<u4").tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-
-    return docs.mapInArrow(run, f"id {kind.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+                                 limit=REMEMBERED, lookup=lambda ws: words.lookup([w.encode() for w in ws]))
+        text_of = decoder(vocabulary.value) if decoded else None
+        for batch in slices(batches, 256):
+            ids = encoder.encode(batch.column(1).to_pylist())
+            columns = [batch.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+            if decoded:
+                columns.append(pa.array([text_of(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][:len(columns)])
+
+    schema = f"id {kind.simpleString()}, ids binary" + ", decoded string" * decoded
+    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def decoder(tokenizer_json: str):
+    """A function from a list of ids to its text."""
+    spec = json.loads(tokenizer_json)
+    table = {i: t for t, i in spec["model"]["vocab"].items()}
+    added = {t["id"]: t["content"] for t in spec.get("added_tokens", ())}
+    table.update(added)
+    if spec.get("decoder") is None:                  # no decoder: token strings with spaces between
+        token = table.__getitem__
+        return lambda ids: " ".join(map(token, ids))
+    to_byte = {c: b for b, c in enumerate(byte_chars())}
+    raw = {i: t.encode() if i in added else bytes(map(to_byte.__getitem__, t)) for i, t in table.items()}.__getitem__
+    return lambda ids: b"".join(map(raw, ids)).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -104,21 +126,9 @@ def decode(encoded: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_
     def run(batches):
         import pyarrow as pa
 
-        spec = json.loads(vocabulary.value)
-        table = {i: t for t, i in spec["model"]["vocab"].items()}
-        table.update((t["id"], t["content"]) for t in spec.get("added_tokens", ()))
-        to_byte = {c: b for b, c in enumerate(byte_chars())}
-        joined = spec.get("decoder") is None         # no decoder: token strings with spaces between
-        if not joined:
-            special = {t["id"] for t in spec.get("added_tokens", ())}
-            table = {i: t.encode() if i in special else bytes(map(to_byte.__getitem__, t)) for i, t in table.items()}
-        token = table.__getitem__
+        text_of = decoder(vocabulary.value)
         for batch in slices(batches, 256):
-            texts = []
-            for raw in batch.column(1):
-                ids = np.frombuffer(raw.as_buffer() or b"", "<u4").tolist()
-                texts.append(" ".join(map(token, ids)) if joined else
-                             b"".join(map(token, ids)).decode("utf-8", "replace"))
+            texts = [text_of(np.frombuffer(raw.as_buffer() or b"", "<u4").tolist()) for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, f"id {kind.simpleString()}, ids binary, decoded string").withColumnRenamed("id", id_col)

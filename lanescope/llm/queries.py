@@ -14,9 +14,8 @@ WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_
 
 def op1_bpe_lexicon(spark, sf_dir):
     """Every document encoded and decoded (word_bpe_49k)."""
-    vocabulary = text_file(WORD_BPE)
-    encoded = bpe_lexicon.encode(read(spark, sf_dir, "documents"), vocabulary)
-    return bpe_lexicon.decode(encoded, vocabulary).select(
+    coded = bpe_lexicon.encode(read(spark, sf_dir, "documents"), text_file(WORD_BPE), decoded=True)
+    return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
