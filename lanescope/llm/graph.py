@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_side, stored
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -40,13 +40,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, id, ...) of buckets with more than one id, stored."""
-    rows = stored(rows, "buckets")
-    many = rows.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("bucket")
-    return stored(rows.join(many, "bucket"), "shared-buckets")
+    """The rows (bucket, id, ...) of buckets with more than one id, stored. ``rows`` should be cheap to
+    make again: it is read twice rather than written."""
+    many = stored(rows.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y")
+                  .select(F.col("bucket").alias("many")), "shared-bucket-keys")
+    return stored(rows.join(small_side(many), F.col("bucket") == F.col("many")).drop("many"), "shared-buckets")
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, rounds: int = 6,
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, rounds: int = 3,
          patience: float = 2.0) -> DataFrame:
     """Components of the graph whose edges are the pairs of ids that share a bucket and that
     ``verify`` confirms: (node, component) of all nodes with an edge.
