@@ -528,21 +528,24 @@ def carrier_monthly(log: DataFrame, min_volume: int = CARRIER_MONTH_GATE) -> Dat
 
 
 def stddev_exact(x: Column, scale: int = 0) -> Column:
-    """Sample standard deviation from exact integer sums: sqrt((n·Σx² − (Σx)²) / (n(n−1))).
+    """Sample standard deviation from exact integer sums, the same arithmetic for groups of any size.
 
-    ``x`` must be integral after multiplying by ``10**scale`` (cents for money). The sums are
-    DECIMAL(38,0), so the variance numerator is exact; if a huge group overflowed it (``try_*``
-    give NULL), the numerically stable built-in ``stddev_samp`` is used for that group instead.
+    ``x`` must be integral after multiplying by ``10**scale`` (cents for money). With q the floor of
+    the mean and r the rest of the sum, A = S2 - q*S1 - q*r is the exact sum of (x - q)^2, and the variance is
+    (n*A - r*r) / (n*(n-1)): no product of n and S2, so the size of the values does not count. Sums beyond
+    DECIMAL(38,0) raise an error.
     """
     xi = (x * F.lit(10 ** scale)).cast("decimal(38,0)") if scale else x.cast("decimal(38,0)")
-    n = F.count(xi).cast("decimal(38,0)")
-    s1, s2 = F.try_sum(xi), F.try_sum(xi * xi)
-    num = F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s1, s1))
-    den = (n * (n - 1)).cast("double")
-    exact = F.sqrt(num.cast("double") / F.nullif(den, F.lit(0.0)))
-    if scale:
-        exact = exact / F.lit(float(10 ** scale))
-    return F.coalesce(exact, F.stddev_samp(x.cast("double")))
+    whole = lambda c: c.cast("decimal(38,0)")
+    count = F.count(xi)
+    n, s1, s2 = whole(count), whole(F.sum(xi)), whole(F.sum(xi * xi))
+    r = whole(F.pmod(s1, n))
+    q = whole((s1 - r) / F.nullif(n, F.lit(0)))
+    around = whole(s2 - q * s1 - q * r)
+    num = whole(n * around - r * r)
+    num = F.when(num.isNull() & (count > 0), F.raise_error(F.lit("standard deviation: sums beyond DECIMAL(38,0)"))).otherwise(num)
+    spread = F.sqrt(num.cast("double") / F.nullif(whole(n * (n - 1)).cast("double"), F.lit(0.0)))
+    return spread / F.lit(float(10 ** scale)) if scale else spread
 
 
 def variability(log: DataFrame, min_volume: int = VARIABILITY_GATE) -> DataFrame:

@@ -40,8 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage (HDFS/S3/...) and is used as is.
-    Only when it is unset (local tests) do we create a private folder and register it with
-    ``setCheckpointDir`` so that ``DataFrame.checkpoint()`` works too.
+    Only in local mode may it be unset: then we create a private folder and register it with
+    ``setCheckpointDir`` so that ``DataFrame.checkpoint()`` works too. On a cluster that is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -49,6 +49,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:       # DataFrame.checkpoint() writes below it too
             sc.setCheckpointDir(d)
         return d.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = sc.applicationId
     if key not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="lanescope-ckpt-")

@@ -262,3 +262,30 @@ def test_strict_mode_fails_without_ansi_too(spark):
                 .collect()] == ["ok"]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_stddev_is_the_same_arithmetic_at_every_size(spark):
+    """Large values in large groups: n * S2 would not fit DECIMAL(38,0)."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from lanescope.plans.analyses import stddev_exact
+    for n in (50_000, 400_000):
+        x = ((F.lit(99_999_999_999_000).cast("decimal(38,0)") + F.col("id") % 7) / 100).cast("decimal(18,2)")
+        mean = sum(i % 7 for i in range(n)) / n
+        want = math.sqrt(sum((i % 7 - mean) ** 2 for i in range(n)) / (n - 1)) / 100
+        got = spark.range(n).select(x.alias("x")).agg(stddev_exact(F.col("x"), 2)).first()[0]
+        assert abs(got - want) < 1e-12
+    assert spark.range(1).agg(stddev_exact(F.col("id"))).first()[0] is None
+
+
+def test_checkpoint_root_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lanescope.session import checkpoint_root
+    context = SimpleNamespace(master="spark://host:7077", applicationId="a", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=context))
