@@ -65,10 +65,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None
     near = near or (lambda x, y: F.lit(True))
     side = lambda df, x: df.select("bucket", *[F.col(c).alias(f"{x}{c}") for c in ["id", "comp", *extra]])
     spark, rows = buckets.sparkSession, buckets.count()
-    edges = tested = None
+    comp = tested = None
 
     def confirm(pairs: DataFrame) -> int:
-        nonlocal edges, tested
+        nonlocal comp, tested
         pairs = pairs.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -77,8 +77,11 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None
         if not pairs.count():
             return 0
         found = stored(verify(pairs).select("a", "b"), "links")
-        edges = found if edges is None else edges.union(found)
-        return found.count()
+        n = found.count()
+        if n:
+            # the components so far connect what their links connected, with one edge a node
+            comp = components(found if comp is None else found.union(comp.select("node", "component")))
+        return n
 
     labelled = stored(buckets.withColumn("comp", F.col("id")), "labelled-buckets")
     for k in range(rounds):
@@ -86,11 +89,8 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None
             F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "comp", *extra)).alias("r"),
             F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket", "r.*")
         pairs = side(labelled, "x").join(side(leaders, "y"), "bucket").filter("xcomp != ycomp").filter(near("x", "y"))
-        if not confirm(pairs):
-            found_any = False
-        else:
-            found_any = True
-            comp = components(edges)
+        found_any = confirm(pairs) > 0
+        if found_any:
             labelled = stored(buckets.join(comp, buckets.id == comp.node, "left")
                               .select(*buckets.columns, F.coalesce("component", "id").alias("comp")), "labelled-buckets")
         sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -101,7 +101,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None
         if not found_any and k:
             break
     confirm(side(labelled, "x").join(side(labelled, "y"), "bucket").filter("xcomp < ycomp").filter(near("x", "y")))
-    if edges is None:
+    if comp is None:
         kind = dict(buckets.dtypes)["id"]
         return spark.createDataFrame([], f"node {kind}, component {kind}")
-    return components(edges)
+    return comp
