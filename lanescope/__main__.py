@@ -24,7 +24,7 @@ def _log_data(spark, args):
     from .sources.files import read_staging_csv
     if args.tpch:
         return log_data_for(spark, args.tpch)
-    return log_data(read_staging_csv(spark, args.staging), mode=args.mode)
+    return log_data(read_staging_csv(spark, args.staging, strict=args.mode == "strict"), mode=args.mode)
 
 
 def main(argv=None) -> int:

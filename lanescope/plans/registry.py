@@ -143,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p))),
     "missing_profile": _on_parsed(lambda p: Q.missing_profile_from_mask(p, STAGING_COLUMNS)),
     "data_issues": _on_log(C.data_issues),
-    "preview": _on_log(A.preview),
+    "preview": _on_log(lambda log: A.preview(log, ordered=True)),
     "iqr_outliers": _on_log(Q.iqr_outliers),
     "outlier_sources": _on_log(Q.outlier_sources),
     # overview and benchmark

@@ -58,16 +58,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[key]
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Sizing for a cluster run over ``input_bytes`` of Parquet with ``total_cores`` cores.
+#: Shuffle partitions that aggregates start with at most: they move partial rows of few segments.
+AGGREGATE_PARTITIONS = 4000
 
-    Shuffle partitions start at about one per ``target_partition_bytes`` of input (at least two
-    waves of the cores) and AQE coalesces them at run time to the advisory size, so a stage
-    never holds more than a few hundred MB per task and small stages do not pay for thousands
-    of empty tasks. Skewed partitions (a warehouse with a third of the rows) are split by the
+
+def cluster_conf(total_cores: int, shuffle_bytes: int = 0, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Sizing for a cluster run with ``total_cores`` cores.
+
+    The analyses shuffle partial aggregates, whose size follows the number of segments and not
+    the input, so they start with two waves of the cores, ``AGGREGATE_PARTITIONS`` at most: every
+    map task writes an index of all partitions. A job that joins or rewrites rows
+    names the bytes of its largest shuffle and gets one partition per
+    ``target_partition_bytes`` of them. AQE coalesces both at run time to the advisory size. Skewed partitions (a warehouse with a third of the rows) are split by the
     AQE skew-join rule; aggregations are skew-safe through map-side partial aggregation.
     """
-    parts = max(2 * total_cores, input_bytes // target_partition_bytes)
+    parts = max(min(2 * total_cores, AGGREGATE_PARTITIONS), -(-shuffle_bytes // target_partition_bytes))
     return {
         **BASE_CONF,
         "spark.sql.shuffle.partitions": str(parts),

@@ -1,7 +1,8 @@
 """CSV / Parquet sources and sinks.
 
 * ``read_staging_csv``: header CSV -> 11 text columns with the fixed staging schema (nothing is
-  inferred; the file may live on any Hadoop-compatible store the cluster can read).
+  inferred; the file may live on any Hadoop-compatible store the cluster can read). A quote inside
+  a quoted field is doubled, on reading and on writing.
 * ``read_result_csv``: read an exported result back with an explicit schema.
 * ``export_csv``: write a result with a header line. Results are small aggregates; ``single_file``
   coalesces to one part file only for those (never for a table that grows with the data).
@@ -16,23 +17,37 @@ from pyspark.sql.types import StructType
 from .schema import STAGING_SCHEMA
 
 
-def read_staging_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Header CSV with the staging columns, every field as text (``\\copy ... CSV HEADER``)."""
-    reader = (spark.read.schema(STAGING_SCHEMA).option("header", True)
-              .option("mode", "PERMISSIVE").option("enforceSchema", False))
+#: Quotes inside quoted fields are doubled, not escaped by a backslash.
+QUOTES = {"quote": '"', "escape": '"'}
+
+
+def read_staging_csv(spark: SparkSession, path: str, strict: bool = False, multi_line: bool = False,
+                     **options) -> DataFrame:
+    """Header CSV with the staging columns, every field as text (``\\copy ... CSV HEADER``).
+
+    ``strict`` stops the load at a row with too few or too many fields; otherwise missing fields are
+    NULL and further ones are not read. ``multi_line`` allows line breaks inside quoted fields; such
+    files cannot be split, so one task reads each whole file.
+    """
+    reader = (spark.read.schema(STAGING_SCHEMA).option("header", True).options(**QUOTES)
+              .option("mode", "FAILFAST" if strict else "PERMISSIVE").option("enforceSchema", False)
+              .option("multiLine", multi_line))
+    if strict:
+        # a pruned read would not count the fields of a row
+        reader = reader.option("columnPruning", False)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.csv(path)
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).options(**QUOTES).csv(path)
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write ``df`` as header CSV (``\\copy (query) TO file CSV HEADER``)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).options(**QUOTES).csv(path)
 
 
 def publish_views(spark: SparkSession, log_data: DataFrame, prefix: str = "",

@@ -25,11 +25,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.kpi import MEASURE_NAMES, MONEY, SUM_COST, ratio, rollup_measure
 from ..operators import clean as C
 from ..operators.segment import finalize, measures
+from ..sources.files import QUOTES
 from ..sources.schema import STAGING_SCHEMA
 
 
 def read_staging_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(STAGING_SCHEMA).option("header", True)
+    r = spark.readStream.schema(STAGING_SCHEMA).option("header", True).options(**QUOTES)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.csv(path)
@@ -89,6 +90,6 @@ def stream_segment_kpis(spark: SparkSession, staging_dir: str, work_dir: str, ke
 
 def write_staging_files(staging: DataFrame, path: str) -> None:
     """Write staging rows as header CSV files, keeping padding spaces as they are."""
-    (staging.write.mode("overwrite").option("header", True)
+    (staging.write.mode("overwrite").option("header", True).options(**QUOTES)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from lanescope.operators import clean as C
 from lanescope.plans import analyses as A
 from lanescope.plans.registry import edge
@@ -32,6 +34,42 @@ def test_csv_round_trip_and_views(spark):
     assert rows["Warehouse_HOU"].shipment_count == 2 and rows["Warehouse_SF"].avg_transit_days == 7.0
 
 
+HEADER = ("shipment_id,origin_warehouse,destination,carrier,shipment_date,delivery_date,"
+          "weight_kg,cost,status,distance_miles,transit_days\n")
+FIELDS = "2024-01-01,2024-01-03,1,2,Delivered,3,2\n"
+
+
+def _csv(rows: str) -> str:
+    path = os.path.join(tempfile.mkdtemp(prefix="lanescope-csv-"), "in.csv")
+    with open(path, "w") as fh:
+        fh.write(HEADER + rows)
+    return path
+
+
+def test_doubled_quotes_survive_the_round_trip(spark):
+    st = files.read_staging_csv(spark, _csv('a,W,"New ""York"", NY",UPS,' + FIELDS))
+    assert [(r.destination, r.carrier, r.transit_days) for r in st.collect()] == [('New "York", NY', "UPS", "2")]
+    out = tempfile.mkdtemp(prefix="lanescope-csv-")
+    files.export_csv(st.select("destination", "carrier"), out)
+    assert [tuple(r) for r in files.read_result_csv(spark, out, "destination string, carrier string").collect()] \
+        == [('New "York", NY', "UPS")]
+
+
+def test_quoted_line_break_is_one_row(spark):
+    st = files.read_staging_csv(spark, _csv('a,W,"New\nYork",UPS,' + FIELDS), multi_line=True)
+    assert [r.destination for r in st.collect()] == ["New\nYork"]
+
+
+@pytest.mark.parametrize("row", ["a,W,D,UPS,x," + FIELDS, "a,W,D,UPS,2024-01-01\n"])
+def test_wrong_field_count_stops_a_strict_load(spark, row):
+    path = _csv("a,W,D,UPS," + FIELDS + row)
+    assert files.read_staging_csv(spark, path).count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_staging_csv(spark, path, strict=True).select("carrier").collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_staging_csv(spark, path, strict=True).agg({"cost": "max"}).collect()
+
+
 def test_cli_report_writes_the_final_outputs(spark):
     import glob
 

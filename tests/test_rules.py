@@ -219,10 +219,12 @@ def test_month_partitioned_layout_prunes_partitions(spark):
 
 def test_cluster_conf_scales_partitions():
     from lanescope.session import cluster_conf
-    small = cluster_conf(1 << 30, 64)
-    big = cluster_conf(100 << 40, 8000)
+    small = cluster_conf(64)
+    big = cluster_conf(8000)
+    join = cluster_conf(8000, shuffle_bytes=10 << 40)
     assert int(small["spark.sql.shuffle.partitions"]) == 128
-    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(big["spark.sql.shuffle.partitions"]) == 4000
+    assert int(join["spark.sql.shuffle.partitions"]) == (10 << 40) // (256 << 20)
     assert big["spark.sql.adaptive.enabled"] == "true"
 
 
