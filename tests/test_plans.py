@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from lanescope.plans import analyses as A
-from lanescope.plans.registry import log_data_for
+from lanescope.plans.registry import QUERIES, log_data_for
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                 "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas")
@@ -21,7 +21,7 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cartesian(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert not any(n in p for n in PYTHON_NODES), name
