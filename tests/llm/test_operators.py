@@ -180,6 +180,28 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_line_dedup_finds_similar_lines_of_any_length(spark):
+    """Lines of 5 to 60 words with one to a fifth of the words replaced, against all pairs by edit similarity."""
+    importable(spark)
+    rng = np.random.default_rng(17)
+    lines = []
+    for i in range(150):
+        words = prose(1000 + i, int(rng.integers(5, 61))).split()
+        lines.append(" ".join(words))
+        for p in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0, 0.2))), False):
+            words[p] = f"other{int(rng.integers(100))}"
+        lines.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.deduplicated(docs).filter("text = ''").collect()}
+    near = docs.alias("x").crossJoin(docs.alias("y")).filter("x.doc_id < y.doc_id").filter(
+        "levenshtein(x.text, y.text) <= greatest(length(x.text), length(y.text)) * 0.2 + 1e-9")
+    want = {r[0] for r in near.select("y.doc_id").collect()}
+    assert len(want) > 120 and got <= want
+    assert len(got) >= 0.98 * len(want)
+    keys = line_dedup.band_keys(lines)
+    assert all((line_dedup.band_keys([lines[i]])[0] == keys[i]).all() for i in range(40))       # of the line alone
+
+
 def test_icws_groups(spark, odd, empty):
     texts = [prose(20 + i, 120) for i in range(12)]
     for k in range(30):                                   # near copies of text 0, not all alike among themselves
