@@ -13,8 +13,8 @@ random variates of a (shingle, sample) come from tables that a hash of both inde
 Exact copies (equal text) are one candidate. ``ROWS`` samples a band and ``BANDS`` bands find a
 pair of similarity 0.8 with probability 0.998, one of 0.9 all but surely.
 
-Defined results: null texts and texts without words are linked with nothing, not even each other;
-a text of fewer than five words has one shingle, all its words; of a group the smallest doc_id is kept (a
+Defined results: null texts are linked with nothing, not even each other; texts without words only with
+equal ones; a text of fewer than five words has one shingle, all its words; of a group the smallest doc_id is kept (a
 null id only where the whole group has none; of repeated rows one); other columns are not looked at.
 """
 
@@ -148,7 +148,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                     .withColumn("row", F.monotonically_increasing_id()), "icws-signatures")
     # exact copies stand together: their smallest id, and one signature
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first")
-    copies = stored(signed.filter("bands is not null").groupBy("key").agg(first, F.min("bands").alias("bands")), "icws-texts")
+    copies = stored(signed.filter("key is not null").groupBy("key").agg(first, F.min("bands").alias("bands")), "icws-texts")
     buckets = shared_buckets(copies.select(F.explode("bands").alias("bucket"), F.col("key").alias("id")))
 
     wanted = stored(copies.join(buckets.select(F.col("id").alias("key")).distinct(), "key").select("key", F.col("first.id").alias("first_id")), "icws-wanted")

@@ -361,3 +361,17 @@ def test_pipeline(spark, tmp_path):
             assert now.columns == then.columns and 0 < now.count() <= then.count()
     assert {r.doc_id for r in now.collect()} == {r.doc_id for r in then.collect()}
     assert hashlib.sha256(str(sorted(map(str, now.collect()))).encode()).hexdigest()
+
+
+def test_copies_without_words_are_reduced_to_one(spark):
+    import corpus_pipeline
+
+    texts = ["*** ---", "", "*** ---", None, "", "***", prose(50, 30), prose(50, 30).upper(), "\n" + prose(50, 30) + "\n ", None]
+    importable(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.kept) for r in icws.groups(docs).collect()}
+    assert got == {0: (0, True), 1: (1, True), 2: (0, False), 3: (3, True), 4: (1, False), 5: (5, True), 6: (6, True), 7: (6, False), 8: (6, False),
+                   9: (9, True)}
+    assert {r.doc_id for r in icws.deduplicated(docs).collect()} == {0, 1, 3, 5, 6, 9}
+    # documents that line dedup empties do not go on; those without words from the start do
+    assert {r.doc_id for r in corpus_pipeline.drop_lines(spark, docs, "").collect()} == {0, 1, 2, 3, 4, 5, 6, 9}
