@@ -1,11 +1,12 @@
 """Cross-entropy difference between a target and a background language model.
 
 Both models are word bigram models with the same vocabulary, order and smoothing; the target's is
-counted over the documents for which ``is_target`` holds, the background's over all. Counts come
-from all words of all documents. The shared vocabulary is hashed: words fall into
-``WORD_BUCKETS``, pairs of words into ``PAIR_BUCKETS`` (tables of a fixed size, which are broadcast), so both
-models see the same events. p(w) = (c(w) + 1/2) / (N + buckets / 2); p(w | v) = (c(v, w) + m p(w)) /
-(c(v) + m). A document's score is the mean over its tokens of the target loss less the background
+counted over the documents for which ``is_target`` holds, the background's over all. Words and pairs
+of words are counted exactly, by 64-bit hashes, over all documents, into tables that grow with them.
+p(w) = (c(w) + 1/2) / (N + V / 2), V: 2^18, or the number of distinct words and one if that is more, so
+unseen words keep a share; p(w | v) = (c(v, w) + m p(w)) / (c(v) + m); before a document's first word stands a
+marker with c(v) = 0. Pairs of two of the ``HOT`` most frequent words are counted in an array and scored where
+the text is read; all others are joined by shuffle. A document's score is the mean over its tokens of the target loss less the background
 loss, in nats: the lower, the nearer to the target.
 
 Defined results: a text that is null or has no word has no tokens, its losses and score are null; without
@@ -19,53 +20,127 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .words import WordHashes, find_words, mixed
+from .common import BROADCAST_ROWS, slices, small_side, stored
+from .words import WordHashes, find_words
 
-WORD_BITS, PAIR_BITS = 18, 21
-WORD_BUCKETS, PAIR_BUCKETS = 1 << WORD_BITS, 1 << PAIR_BITS
+#: Sizes of ``Model``'s tables; the first is also the least vocabulary that both models smooth over.
+WORD_BUCKETS, PAIR_BUCKETS = 1 << 18, 1 << 21
 SMOOTHING = 4.0
+#: So many of the most frequent words have their pairs counted in an array; the result is the same.
+HOT = 512
+#: Where the words are too many for a broadcast, a frequent word's pairs go to so many tasks.
+SALTS = 16
 
 
 def events(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word, of the word before it (bucket 0 stands before the first) and of the pair."""
-    words = known.of(find_words((text or "").lower()))
-    before = np.r_[np.zeros(1, np.uint64), words[:-1]] if len(words) else words
-    word = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pair = (mixed(mixed(before) ^ words) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return word, (before >> np.uint64(64 - WORD_BITS)).astype(np.int64), pair
+    """Numbers of each word, of the word before it (0 stands before the first) and of the pair, in the
+    order in which ``known`` sees them. With ``Model``, for comparison on inputs of at most
+    ``WORD_BUCKETS`` words and ``PAIR_BUCKETS`` pairs."""
+    numbers, pairs = known.__dict__.setdefault("numbers", ({}, {}))
+    words = find_words((text or "").lower())
+    word = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)
+    before = np.r_[np.zeros(1, np.int64), word[:-1]][:len(word)]
+    pair = np.array([pairs.setdefault(x, len(pairs)) for x in zip(before.tolist(), word.tolist())], np.int64)
+    return word, before, pair
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """Two rows (target, background) of counts: words, then pairs. docs: (text, target)."""
+def _words(text: str | None, known: WordHashes) -> np.ndarray:
+    return known.of(find_words((text or "").lower()))
+
+
+def _summed(rows: np.ndarray, target: np.ndarray):
+    """Distinct rows of (k, n) numbers, how often they occur in the target and in all."""
+    kinds = np.ascontiguousarray(rows.T).view([("", rows.dtype)] * len(rows)).reshape(-1) if len(rows) > 1 else rows[0]
+    order = np.lexsort(rows[::-1])
+    kinds, target = kinds[order], target[order]
+    first = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]) if len(kinds) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(kinds)])
+    inside = np.add.reduceat(target.astype(np.int64), first) if len(first) else first
+    return rows[:, order[first]], inside, times
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, t, b) of all words: occurrences in the target and in all documents. docs: (text, target)."""
 
     def run(batches):
         import pyarrow as pa
 
-        known, n = WordHashes(), np.zeros((2, WORD_BUCKETS + PAIR_BUCKETS), np.int64)
+        known = WordHashes()
         for batch in slices(batches, 512):
-            got = [events(t, known) for t in batch.column(0).to_pylist()]
-            target = np.array(batch.column(1).to_pylist(), bool)
-            for row, some in ((0, [g for g, t in zip(got, target) if t]), (1, got)):
-                for at, part in ((0, 0), (WORD_BUCKETS, 2)):
-                    if some:
-                        which, times = np.unique(np.concatenate([g[part] for g in some]), return_counts=True)
-                        n[row, at + which] += times
-        seen = np.flatnonzero(n[1])
-        for a in range(0, len(seen), 100_000):
-            at = seen[a:a + 100_000]
-            yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int64), "t": n[0, at], "b": n[1, at]})
-
-    got = (docs.mapInArrow(run, "bucket long, t long, b long").groupBy("bucket")
-           .agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow())
-    out = np.zeros((2, WORD_BUCKETS + PAIR_BUCKETS), np.float64)
-    at = got.column("bucket").to_numpy()
-    out[0, at], out[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    return out
+            got = [_words(t, known) for t in batch.column(0).to_pylist()]
+            target = np.repeat(np.array(batch.column(1).to_pylist(), bool), [len(g) for g in got])
+            rows, t, b = _summed(np.concatenate(got)[None, :], target)
+            yield pa.RecordBatch.from_pydict({"word": rows[0].view(np.int64), "t": t, "b": b})
+
+    return docs.mapInArrow(run, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _split(batch_words: list[np.ndarray], hot: np.ndarray):
+    """Of all words of some documents: document, word before (0 before the first), word, and the
+    cell of the pair among the hot words (-1: not both are hot). hot: ascending, not empty."""
+    n = np.array([len(g) for g in batch_words], np.int64)
+    words = np.concatenate(batch_words)
+    before = np.r_[np.zeros(1, np.uint64), words[:-1]][:len(words)]
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    at[hot[at] != words] = -1
+    at_before = np.r_[np.full(1, -1), at[:-1]][:len(words)]
+    at_before[(np.cumsum(n) - n)[n > 0]] = -1
+    return np.repeat(np.arange(len(n)), n), before, words, np.where((at >= 0) & (at_before >= 0), at_before * len(hot) + at, -1)
+
+
+def pair_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(v, w, t, b) of all pairs of words. docs: (text, target)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        out = lambda v, w, t, b: pa.RecordBatch.from_pydict({
+            "v": v.view(np.int64), "w": w.view(np.int64), "t": t, "b": b})
+        known, cells = WordHashes(), np.zeros((2, len(hot) ** 2), np.int64)
+        for batch in slices(batches, 512):
+            doc, before, words, cell = _split([_words(t, known) for t in batch.column(0).to_pylist()], hot)
+            target = np.array(batch.column(1).to_pylist(), bool)[doc]
+            rest = cell < 0
+            cells[0] += np.bincount(cell[~rest & target], minlength=len(hot) ** 2)
+            cells[1] += np.bincount(cell[~rest], minlength=len(hot) ** 2)
+            rows, t, b = _summed(np.stack([before[rest], words[rest]]), target[rest])
+            yield out(rows[0], rows[1], t, b)
+        seen = np.flatnonzero(cells[1])
+        yield out(hot[seen // len(hot)], hot[seen % len(hot)], cells[0, seen], cells[1, seen])
+
+    return docs.mapInArrow(run, "v long, w long, t long, b long").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _with_words(pairs: DataFrame, words: DataFrame, n_words: int, side: str, limit: int) -> DataFrame:
+    """``pairs`` with the counts of their word ``side``, 0 where it has none."""
+    words = words.select(F.col("word").alias(f"{side}_word"), F.col("t").alias(f"{side}_t"), F.col("b").alias(f"{side}_b"))
+    on = F.col(side) == F.col(f"{side}_word")
+    if n_words <= limit:
+        pairs = pairs.join(F.broadcast(words), on, "left")
+    else:
+        words = words.withColumn("word_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v", "w"), F.lit(SALTS)).cast("int"))
+        pairs = pairs.join(words.hint("merge"), on & (F.col("salt") == F.col("word_salt")), "left").drop("salt", "word_salt")
+    return pairs.drop(f"{side}_word").fillna(0, [f"{side}_t", f"{side}_b"])
+
+
+def pair_losses(pairs: DataFrame, words: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(v, w, lt, lb): losses of w after v by the target's and the background's model. words: stored."""
+    total = words.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    vocabulary = max(WORD_BUCKETS, total["n"] + 1)
+    for side in ("w", "v"):
+        pairs = _with_words(pairs, words, total["n"], side, limit)
+
+    def loss(x: str) -> Column:
+        p = (F.col(f"w_{x}") + 0.5) / F.lit((total[x] or 0) + vocabulary / 2)
+        return -F.log((F.col(x) + F.lit(SMOOTHING) * p) / (F.col(f"v_{x}") + F.lit(SMOOTHING)))
+
+    return pairs.select("v", "w", loss("t").alias("lt"), loss("b").alias("lb"))
 
 
 class Model:
-    """One row of ``counts`` as a language model."""
+    """A row of counts of ``events`` (words, then pairs) as a language model."""
 
     def __init__(self, row: np.ndarray):
         self.words, self.pairs = row[:WORD_BUCKETS], row[WORD_BUCKETS:]
@@ -79,25 +154,52 @@ class Model:
 
 def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.coalesce(is_target, F.lit(False)).alias("target"))
-    kind = dict(docs.dtypes)["id"]
-    table = docs.sparkSession.sparkContext.broadcast(counts(docs.select("text", "target")).astype(np.float32))
+    words = stored(word_counts(docs.select("text", "target")), "lm-words")
+    hot = np.sort(np.array([r.word for r in words.orderBy(F.desc("b"), "word").limit(HOT).collect()], np.int64).view(np.uint64))
+    if not len(hot):
+        hot = np.zeros(1, np.uint64)
+    losses = stored(pair_losses(pair_counts(docs.select("text", "target"), hot), words), "lm-pairs")
+    signed = hot.view(np.int64).tolist()
+    cells = losses.filter(F.col("v").isin(signed) & F.col("w").isin(signed)).toArrow()
+    table = np.zeros((2, len(hot) ** 2))
+    at = [np.searchsorted(hot, cells.column(c).to_numpy().view(np.uint64)) for c in ("v", "w")]
+    table[:, at[0] * len(hot) + at[1]] = cells.column("lt").to_numpy(), cells.column("lb").to_numpy()
+    shared = spark.sparkContext.broadcast((hot, table))
 
     def run(batches):
         import pyarrow as pa
 
-        known, models = WordHashes(), [Model(row) for row in table.value]
+        known, (hot, table) = WordHashes(), shared.value
         for batch in slices(batches, 512):
-            got = [events(t, known) for t in batch.column(1).to_pylist()]
-            n = np.array([len(g[0]) for g in got], np.int64)
-            all_events = [np.concatenate([g[i] for g in got]) for i in range(3)]
-            doc = np.repeat(np.arange(len(n)), n)
-            loss = [np.bincount(doc, m.loss(*all_events), len(n)) / np.maximum(n, 1) for m in models]
-            empty = n == 0
+            got = [_words(t, known) for t in batch.column(1).to_pylist()]
+            doc, before, word, cell = _split(got, hot)
+            rest = cell < 0
+            rows, _, times = _summed(np.stack([doc[rest].astype(np.uint64), before[rest], word[rest]]), np.zeros(int(rest.sum()), bool))
+            # one row a document with what is known here, under a key of its own that no pair has
+            raw = batch.column(0)
+            own = np.frombuffer(b"".join(raw.to_pylist()), "<i8").reshape(-1, 2)
+            n, some = np.array([len(g) for g in got], np.int64), len(got)
+            own_sums = [np.bincount(doc[~rest], t[cell[~rest]], some) for t in table]
+            at = np.r_[np.arange(some), rows[0].astype(np.int64)]
+            nothing = np.zeros(len(times))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), *(pa.array(x, mask=empty) for x in (*loss, loss[0] - loss[1]))],
-                ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+                [raw.take(pa.array(at)), pa.array(np.r_[own[:, 0], rows[1].view(np.int64)]), pa.array(np.r_[own[:, 1], rows[2].view(np.int64)]),
+                 pa.array(np.r_[np.zeros(some, np.int64), times]), pa.array(np.r_[n, np.zeros(len(times), np.int64)]),
+                 *(pa.array(np.r_[x, nothing]) for x in own_sums), pa.array(np.r_[np.ones(some, np.int64), np.zeros(len(times), np.int64)])],
+                ["md5", "ev", "ew", "times", "tokens", "own_t", "own_b", "copies"])
+
+    md5 = F.unhex(F.md5("text"))
+    found = docs.filter("text is not null").select(md5.alias("md5"), "text").mapInArrow(
+        run, "md5 binary, ev long, ew long, times long, tokens long, own_t double, own_b double, copies long")
+    found = found.join(losses.hint("merge"), (F.col("ev") == F.col("v")) & (F.col("ew") == F.col("w")), "left")
+    sums = {x: F.sum(F.col(f"own_{x}") + F.col("times") * F.coalesce(f"l{x}", F.lit(0.0))) for x in "tb"}
+    # rows of equal text are summed together; the mean over their tokens is that of each
+    texts = stored(found.groupBy("md5").agg((F.sum("tokens") / F.sum("copies")).cast("long").alias("n_tokens"),
+                                            F.try_divide(sums["t"], F.sum("tokens")).alias("target_loss"),
+                                            F.try_divide(sums["b"], F.sum("tokens")).alias("background_loss")), "lm-texts")
+    return (docs.select("id", md5.alias("own_md5")).join(small_side(texts), F.col("own_md5") == F.col("md5"), "left")
+            .select(F.col("id").alias(id_col), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "target_loss", "background_loss",
+                    (F.col("target_loss") - F.col("background_loss")).alias("score")))

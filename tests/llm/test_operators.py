@@ -153,6 +153,40 @@ def test_cross_entropy(spark, odd, empty):
     assert cross_entropy.score(empty, empty.n.isNotNull()).count() == 0
 
 
+def test_cross_entropy_counts_exactly(spark, monkeypatch):
+    """More distinct words and pairs than any table of a fixed size holds apart, against unhashed counts."""
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["the of", *(f"w{k}" for k in rng.integers(0, 400_000, 9000)), "the of the"]) for _ in range(60)] + ["the of the", "of", "", None]
+    texts += texts[:2]
+    target = set(range(20))
+    importable(spark)
+    monkeypatch.setattr(cross_entropy, "HOT", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in cross_entropy.score(docs, docs.doc_id.isin(sorted(target))).collect()}
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        for k in ([0] if i in target else []) + [1]:
+            words[k].update(w)
+            pairs[k].update(zip([None, *w], w))
+    vocabulary, total = max(1 << 18, len(words[1]) + 1), [c.total() for c in words]
+    assert vocabulary > 1 << 18
+    for i in (0, 5, 19, 20, 40, 59, 60, 61, 64, 65):
+        w, loss = texts[i].split(), []
+        for k in (0, 1):
+            p = [(pairs[k][a, b] + 4 * (words[k][b] + 0.5) / (total[k] + vocabulary / 2)) / (words[k][a] + 4) for a, b in zip([None, *w], w)]
+            loss.append(-np.log(p).mean())
+        assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((*loss, loss[0] - loss[1]), rel=1e-9)
+        assert got[i].n_tokens == len(w)
+    assert len(got) == len(texts) and all((got[i].n_tokens, got[i].score) == (0, None) for i in (62, 63))
+    # words that are too many for a broadcast
+    words = spark.createDataFrame([(1, 2, 3), (2, 0, 5)], "word long, t long, b long")
+    pairs = spark.createDataFrame([(0, 1, 1, 1), (1, 2, 0, 2), (2, 1, 1, 2)], "v long, w long, t long, b long")
+    assert sorted(cross_entropy.pair_losses(pairs, words, 0).collect()) == sorted(cross_entropy.pair_losses(pairs, words).collect())
+
+
 def edit_similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
