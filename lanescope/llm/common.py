@@ -40,6 +40,12 @@ def text_file(path: str) -> str:
         return f.read()
 
 
+def binary_file(path: str) -> bytes:
+    """A model file (a few MB), read on the driver; executors get it by a broadcast."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that start from now on import this package where it lies on a path that
     they see too (as in local mode). On a cluster it comes with ``--py-files``."""

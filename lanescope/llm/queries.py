@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, hnsw, icws, line_dedup, packing, weak_labels,
-               zstd_shards)
-from .common import read, small_side, stored, text_file
+from . import (auction_repair, bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, hnsw, icws, line_dedup, packing,
+               piece_merges, prefix_trie, weak_labels, zstd_shards)
+from .common import binary_file, read, small_side, stored, text_file
 
-TOKENIZERS = "/opt/tokenizers"
-WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def op1_bpe_lexicon(spark, sf_dir):
@@ -96,8 +96,50 @@ def op8_hnsw(spark, sf_dir):
     return hnsw.links(read(spark, sf_dir, "embeddings"))
 
 
+def damaged(conversations):
+    """The rows of op11 with faults that follow from crc32(``conv_id:turn``) % 20."""
+    null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(null("conv_id"), F.lit(":"), null("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", null("role").alias("role"), null("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_auction_repair(spark, sf_dir):
+    """Every conversation, damaged by a fixed rule, with its faults and its cheapest repair."""
+    conversations = read(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    audited = stored(auction_repair.audits(rows), "audits")
+    digests = auction_repair.digests(auction_repair.repaired(rows, audited))
+    ids = conversations.select("conv_id").distinct()
+    found = ids.join(audited.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    found = found.join(digests.withColumnRenamed("conv_id", "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_piece_rounds(spark, sf_dir):
+    """Every document encoded and decoded (piece_bpe_32k)."""
+    coded = piece_merges.encode(read(spark, sf_dir, "documents"), binary_file(PIECE_BPE), decoded=True)
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    """The trie of all conversations, each rebuilt with some first turns of the conversation it shares them with."""
+    convs, rows = prefix_trie.prefixes(
+        read(spark, sf_dir, "conversations"), base=lambda c: c - c % 20,
+        shared=lambda c: F.crc32(c.cast("string").cast("binary")) % 4, most_shared=3)
+    return prefix_trie.trie(convs, rows).drop("digest", "parent")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_lexicon, op2_cross_entropy, op3_line_dedup, op4_packing, op5_dimension_scan, op6_weak_labels,
-    op7_zstd_shards, op8_hnsw, op9_icws_minhash, op10_bloom_cascade)}
+    op7_zstd_shards, op8_hnsw, op9_icws_minhash, op10_bloom_cascade, op11_auction_repair, op12_piece_rounds,
+    op13_prefix_trie)}
 #: The others have no SQL form; tests/llm compares them with brute-force versions.
 ORACLE = {"op10_bloom_cascade": OP10_SQL}
