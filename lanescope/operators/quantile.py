@@ -1,4 +1,4 @@
-"""Exact ``PERCENTILE_CONT`` over a large column without funnelling values into one task.
+"""Exact ``PERCENTILE_CONT`` over a large column by distributed rank selection.
 
 SQL semantics: over the ``n`` non-null values (as DOUBLE) sorted ascending, position
 ``pos = p * (n - 1)``; with ``lo = floor(pos)``, ``hi = ceil(pos)`` the result is
@@ -9,25 +9,20 @@ dyadic (the quartiles and the median used by the analyses) and may differ in the
 otherwise.
 
 Spark's built-in exact ``percentile`` merges a value->count map of the whole column in one
-final task (memory grows with the number of distinct values) and interpolates with a slightly
-different formula. Here instead, two passes over the column:
-
-1. ``percentile_approx`` (mergeable sketches, one partial per task) gives a bracket around each
-   wanted rank: its rank error is at most ``eps·n`` (``eps = 1/accuracy``), so
-   ``[q(p - k·eps), q(p + k·eps)]`` contains the order statistics ``floor(p(n-1))`` and
-   ``ceil(p(n-1))`` as soon as ``(k-1)·eps·n >= 2``; smaller inputs use the whole range (then
-   fewer than ``2·accuracy/(k-1)`` values exist);
-2. one aggregation tags every value against each bracket (a range join with the one-row-per-
-   probability spec): values below collapse into a single count, values inside stay as distinct
-   values with their counts, values above are dropped. Partial aggregation runs before the
-   shuffle, so the shuffle carries one "below" row per task and the distinct values of the
-   brackets, never the column;
-3. a running sum ordered by value inside each bracket (one window partition per probability,
-   holding about ``2k·n/accuracy`` rows at most, fewer after collapsing duplicates) locates
-   ranks ``lo`` and ``hi``.
-
-Everything is lazy DataFrame code; the result is one row. If a bracket ever missed a rank the
-query fails loudly instead of returning a wrong value.
+final task. Here no task ever sees more than a range of the distinct values:
+
+1. equal values become one (value, count) row: counted map-side, shuffled by value, so a value
+   that a third of all rows hold is one row a task;
+2. those rows, all different, are range-partitioned by value (no key can be hot) and every
+   range is reduced to its bounds and its count; the ranges meet as one short array, whose prefix
+   sums name, for each probability, the ranges that hold ranks ``lo`` and ``hi`` and how many values lie
+   below them;
+3. the values between those bounds are counted again (the bounds are one scalar subquery, so the filter is a plain
+   predicate on the scan) and a running sum over them, one window partition per probability, picks the two.
+
+The ranges are as many as the shuffle has partitions after AQE, so the array grows with the number of distinct
+values over the advisory partition size and not with the rows or the map tasks. Every size takes
+this path. Everything is lazy DataFrame code; the result is one row.
 """
 
 from __future__ import annotations
@@ -36,61 +31,55 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-DEFAULT_ACCURACY = 50_000
-_MARGIN = 4
-
 
-def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float],
-                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row with a DOUBLE column per entry of ``probs`` (name -> probability)."""
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """(v, c): the distinct non-null values of ``col`` as DOUBLE with their counts."""
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    eps = _MARGIN / accuracy           # bracket half-width in probability
-    names = list(probs)
-
-    lows = [max(0.0, probs[k] - eps) for k in names]
-    highs = [min(1.0, probs[k] + eps) for k in names]
-    approx = v.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx("v", F.array(*[F.lit(x) for x in lows + highs]), accuracy)
-                   .alias("qs"))
-    # one row per probability: rank targets and bracket
-    spec = approx.select(F.explode(F.arrays_zip(
-        F.array(*[F.lit(k) for k in names]).alias("name"),
-        F.array(*[F.lit(float(probs[k])) for k in names]).alias("p"),
-        F.slice("qs", 1, len(names)).alias("b_lo"),
-        F.slice("qs", len(names) + 1, len(names)).alias("b_hi"))).alias("t"), "n")
-    small = F.col("n") * ((_MARGIN - 1) / accuracy) < 2
-    spec = spec.select("t.name",
-                       F.when(small, F.lit(float("-inf"))).otherwise(F.col("t.b_lo")).alias("b_lo"),
-                       F.when(small, F.lit(float("inf"))).otherwise(F.col("t.b_hi")).alias("b_hi"),
-                       (F.col("t.p") * (F.col("n") - 1)).alias("pos"))
-    spec = spec.select("*", F.floor("pos").alias("r_lo"), F.ceil("pos").alias("r_hi"))
-
-    # tag values against each bracket: a range join whose broadcast side is the spec, exactly one
-    # row per requested probability (a proven bound, so the hint is safe); values above a bracket
-    # never pass the join, values below it share one key (-inf) and collapse in the partial agg
-    tagged = v.join(F.broadcast(spec.select("name", "b_lo", "b_hi")), F.col("v") <= F.col("b_hi"))
-    key = F.when(F.col("v") < F.col("b_lo"), F.lit(float("-inf"))).otherwise(F.col("v"))
-    counts = tagged.groupBy("name", key.alias("k"), (F.col("v") < F.col("b_lo")).alias("below")) \
-                   .agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("name").orderBy(F.col("below").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.select("name", "k", "below", F.sum("c").over(w).alias("cum"))
-    # one global aggregation over the few bracket rows gives, per probability, the count below
-    # the bracket and the values at ranks lo and hi (no per-probability grouping + pivot)
-    j = cum.join(F.broadcast(spec.select("name", "r_lo", "r_hi", "pos")), "name")
+    return v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def value_ranges(counts: DataFrame) -> DataFrame:
+    """One row: ``ranges``, the value ranges in order as structs (low, high, c, base); base counts the values below."""
+    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    per_range = ranged.groupBy("part").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("c"))
+    one = per_range.agg(F.sort_array(F.collect_list(F.struct("low", "high", "c"))).alias("r"))
+    base = lambda i: F.aggregate(F.slice("r", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
+    return one.select(F.transform("r", lambda x, i: F.struct(
+        x["low"].alias("low"), x["high"].alias("high"), x["c"].alias("c"), base(i).alias("base"))).alias("ranges"))
+
+
+def _targets(ranges: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """One row: ``targets``, for each probability its name, position, ranks and the bounds that hold them."""
+    n = F.coalesce(F.element_at("ranges", -1)["base"] + F.element_at("ranges", -1)["c"], F.lit(0).cast("bigint"))
+
+    def holds(rank):
+        return F.filter("ranges", lambda x: (x["base"] <= rank) & (rank < x["base"] + x["c"]))[0]
+
+    rows = []
+    for name, p in probs.items():
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.floor(pos), F.ceil(pos)
+        rows.append(F.struct(
+            F.lit(name).alias("name"), pos.alias("pos"), low.alias("r_lo"), high.alias("r_hi"), holds(low)["low"].alias("from"),
+            holds(high)["high"].alias("to"), holds(low)["base"].alias("base")))
+    return ranges.where(F.size("ranges") > 0).select("ranges", n.alias("n")).select(F.array(*rows).alias("targets"))
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: Mapping[str, float]) -> DataFrame:
+    """One row with a DOUBLE column per entry of ``probs`` (name -> probability); NULL without values."""
+    targets = _targets(value_ranges(value_counts(df, col)), probs).scalar()
+    near = df.select(F.col(col).cast("double").alias("v")).withColumn("targets", targets)
+    near = near.where(F.exists("targets", lambda t: F.col("v").between(t["from"], t["to"])))
+    near = near.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("targets", targets)
+    mine = near.select("v", "c", F.explode(F.filter("targets", lambda t: F.col("v").between(t["from"], t["to"]))).alias("t"))
+    w = Window.partitionBy("t.name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    running = mine.select("t.*", "v", (F.col("t.base") + F.sum("c").over(w)).alias("upto"))
     aggs = []
-    for k in names:
-        mine, inside = F.col("name") == k, ~F.col("below")
-        aggs += [F.coalesce(F.max(F.when(mine & F.col("below"), F.col("cum"))), F.lit(0)).alias(f"{k}__base"),
-                 F.min(F.when(mine & inside & (F.col("cum") > F.col("r_lo")), F.col("k"))).alias(f"{k}__lo"),
-                 F.min(F.when(mine & inside & (F.col("cum") > F.col("r_hi")), F.col("k"))).alias(f"{k}__hi"),
-                 F.max(F.when(mine, F.col("r_lo"))).alias(f"{k}__rlo"),
-                 F.max(F.when(mine, F.col("pos"))).alias(f"{k}__pos")]
-    picked = j.agg(*aggs)
-    out = []
-    for k in names:
-        c = {x: F.col(f"{k}__{x}") for x in ("base", "lo", "hi", "rlo", "pos")}
-        out.append(F.when(c["pos"].isNull(), F.lit(None).cast("double"))       # no values at all
-                   .when((c["base"] > c["rlo"]) | c["hi"].isNull(),
-                         F.raise_error(F.lit("exact_percentiles: bracket missed the rank")).cast("double"))
-                   .otherwise(c["lo"] + (c["hi"] - c["lo"]) * (c["pos"] - c["rlo"])).alias(k))
-    return picked.select(*out)
+    for k in probs:
+        own = F.col("name") == k
+        aggs += [F.min(F.when(own & (F.col("upto") > F.col("r_lo")), F.col("v"))).alias(f"{k}__lo"),
+                 F.min(F.when(own & (F.col("upto") > F.col("r_hi")), F.col("v"))).alias(f"{k}__hi"),
+                 F.max(F.when(own, F.col("pos") - F.col("r_lo"))).alias(f"{k}__part")]
+    c = F.col
+    return running.agg(*aggs).select(*[
+        (c(f"{k}__lo") + (c(f"{k}__hi") - c(f"{k}__lo")) * c(f"{k}__part")).alias(k) for k in probs])

@@ -11,7 +11,7 @@ from lanescope.plans import analyses as A
 from lanescope.plans.registry import QUERIES, log_data_for
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
-                "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas")
+                "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas", "MapInArrow", "FlatMapGroupsInArrow")
 
 
 def plan(df) -> str:
@@ -26,9 +26,7 @@ def test_no_python_and_no_cartesian(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert not any(n in p for n in PYTHON_NODES), name
     assert "CartesianProduct" not in p, name
-    if name not in ("iqr_outliers", "outlier_sources"):
-        # only the quantile bracket (one row per probability) may use a nested-loop join
-        assert "BroadcastNestedLoopJoin" not in p, name
+    assert "BroadcastNestedLoopJoin" not in p, name
 
 
 def test_literal_focus_filter_reaches_the_scan(spark):
