@@ -22,22 +22,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.kpi import MONEY, SUM_COST, ratio
 from ..functions.parse import blank_to_null, parse_date, parse_decimal, parse_int, text_or_unknown
+from ..sources.files import MALFORMED
 from ..sources.schema import CLEAN_COLUMNS, COST_TYPE, DISTANCE_TYPE, WEIGHT_TYPE
 
 LABELS = ("shipment_id", "origin_warehouse", "destination", "carrier", "status")
 _NUMERIC = {"weight_kg": WEIGHT_TYPE, "cost": COST_TYPE, "distance_miles": DISTANCE_TYPE}
 
 
+def _fields(staging: DataFrame) -> list[str]:
+    """The staging columns without the reader's column of malformed records."""
+    return [n for n in staging.columns if n != MALFORMED]
+
+
 def _normalised(staging: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Projection 1: labels normalised, other fields trimmed (numbers without thousands
     separators), blank -> NULL. Still text, so a later check can tell blank from malformed.
     ``keep`` columns are passed through unchanged. ``blank_mask`` has bit i set when staging
     column i was NULL or blank (the raw-data missing-value profile, kept as one small int)."""
     c = F.col
-    if len(staging.columns) > 63:
+    fields = _fields(staging)
+    if len(fields) > 63:
         raise ValueError("blank_mask holds at most 63 staging columns")
     mask = F.lit(0).cast("bigint")
-    for i, n in enumerate(staging.columns):
+    for i, n in enumerate(fields):
         mask = mask + F.when(blank_to_null(c(n)).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0))
     cols = [*keep, mask.alias("blank_mask")] + [text_or_unknown(c(n)).alias(n) for n in LABELS]
     cols += [blank_to_null(c(n)).alias(n) for n in ("shipment_date", "delivery_date", "transit_days")]
@@ -60,9 +67,10 @@ def _typed(norm: DataFrame, strict: bool) -> dict[str, Column]:
 _CHECKED = ("shipment_date", "delivery_date", "weight_kg", "cost", "distance_miles", "transit_days")
 
 
-def _reject_reason(raw: dict[str, Column], typed: dict[str, Column]) -> Column:
+def _reject_reason(raw: dict[str, Column], typed: dict[str, Column], malformed: Column | None = None) -> Column:
     """First failed check of a row, NULL when the row is accepted."""
-    checks = [(raw["shipment_date"].isNull(), "shipment_date missing")]
+    checks = [] if malformed is None else [(malformed.isNotNull(), "wrong number of fields")]
+    checks.append((raw["shipment_date"].isNull(), "shipment_date missing"))
     for n in _CHECKED:
         checks.append((raw[n].isNotNull() & typed[n].isNull(), f"{n} unparseable"))
     reason = F.lit(None).cast("string")
@@ -80,17 +88,23 @@ def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool =
 
     With ``keep_raw`` the original text of every field is kept in ``raw_<field>`` for rejected
     rows only (NULL otherwise, which costs nothing in Parquet), so the parsed table can serve
-    the quarantine report without a second pass over the source.
+    the quarantine report without a second pass over the source. A staging frame with the reader's column
+    ``malformed_record`` rejects those rows first and keeps the record in ``raw_record``.
     """
-    src = staging.columns
+    src = _fields(staging)
     keep = tuple(F.col(n).alias(f"raw_{n}") for n in src) if keep_raw else ()
+    flawed = MALFORMED in staging.columns
+    if flawed:
+        keep += (F.col(MALFORMED).alias("raw_record"),)
+        src = [*src, "record"]
     norm = _normalised(staging, keep)
     typed = _typed(norm, strict=False)
     # cast once into attributes, then check them (keeps each expression small)
     parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], "blank_mask",
                          *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
-                         *[F.col(f"raw_{n}") for n in src if keep_raw])
-    reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED})
+                         *[F.col(f"raw_{n}") for n in src if keep_raw or n == "record"])
+    reason = _reject_reason({n: F.col(f"_norm_{n}") for n in _CHECKED}, {n: F.col(n) for n in _CHECKED},
+                            F.col("raw_record") if flawed else None)
     if mode == "strict":
         # a typed insert fails on the first bad row: raise instead of quarantining. Checked
         # explicitly (not through ANSI casts), so it holds whatever spark.sql.ansi.enabled says;

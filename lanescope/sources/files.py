@@ -12,7 +12,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .schema import STAGING_SCHEMA
 
@@ -21,23 +21,30 @@ from .schema import STAGING_SCHEMA
 QUOTES = {"quote": '"', "escape": '"'}
 
 
+#: Column of a staging frame with the raw record of a row that has too few or too many fields, else NULL.
+MALFORMED = "malformed_record"
+
+
 def read_staging_csv(spark: SparkSession, path: str, strict: bool = False, multi_line: bool = False,
                      **options) -> DataFrame:
     """Header CSV with the staging columns, every field as text (``\\copy ... CSV HEADER``).
 
-    ``strict`` stops the load at a row with too few or too many fields; otherwise missing fields are
-    NULL and further ones are not read. ``multi_line`` allows line breaks inside quoted fields; such
-    files cannot be split, so one task reads each whole file.
+    A row with too few or too many fields keeps its raw record in the column ``malformed_record``, so that
+    cleaning sets it aside with that record; ``strict`` stops the load there instead and has no such column.
+    ``multi_line`` allows line breaks inside quoted fields: the files' lines are written once to the shared folder and
+    put together from there (``quoted_csv``), so large files are still read by many tasks.
     """
-    reader = (spark.read.schema(STAGING_SCHEMA).option("header", True).options(**QUOTES)
-              .option("mode", "FAILFAST" if strict else "PERMISSIVE").option("enforceSchema", False)
-              .option("multiLine", multi_line))
+    options = {**QUOTES, **options}
+    if multi_line:
+        from . import quoted_csv, store
+        lines = quoted_csv.line_table(spark, path, store.scratch(spark, "csv-lines"))
+        return quoted_csv.parsed(quoted_csv.records(lines), STAGING_SCHEMA.names, MALFORMED, options, strict)
+    # a pruned read would not count the fields of a row
+    reader = (spark.read.option("header", True).options(**options).option("enforceSchema", False).option("columnPruning", False))
     if strict:
-        # a pruned read would not count the fields of a row
-        reader = reader.option("columnPruning", False)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.csv(path)
+        return reader.schema(STAGING_SCHEMA).option("mode", "FAILFAST").csv(path)
+    return (reader.schema(StructType([*STAGING_SCHEMA.fields, StructField(MALFORMED, StringType())])).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", MALFORMED).csv(path))
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -65,10 +72,3 @@ def publish_views(spark: SparkSession, log_data: DataFrame, prefix: str = "",
             fn(log_data).createOrReplaceTempView(f"{prefix}{name}")
             names.append(f"{prefix}{name}")
     return names
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

@@ -86,6 +86,11 @@ def _fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
     return h.hexdigest()[:16]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's intermediate table, below the shared folder."""
+    return f"{checkpoint_root(spark)}/lanescope/{name}-{run_id()}"
+
+
 def run_id() -> str:
     """A fresh folder name component (each streaming run gets its own checkpoint)."""
     import uuid

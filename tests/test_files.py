@@ -1,6 +1,7 @@
 """CSV round trip: staging CSV -> clean table -> result CSV -> read back; views for SQL users."""
 
 import os
+import random
 import tempfile
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from lanescope.operators import clean as C
 from lanescope.plans import analyses as A
 from lanescope.plans.registry import edge
-from lanescope.sources import files
+from lanescope.sources import files, quoted_csv
 
 
 def test_csv_round_trip_and_views(spark):
@@ -60,6 +61,68 @@ def test_quoted_line_break_is_one_row(spark):
     assert [r.destination for r in st.collect()] == ["New\nYork"]
 
 
+def _random_field(rnd):
+    kind = rnd.random()
+    if kind < 0.5:
+        return rnd.choice(["a", "12", " x ", "", "é漢"])
+    inner = "".join(rnd.choice(["a", " ", ",", '""', "\n", "\r\n", "\n\n", "é"]) for _ in range(rnd.randint(0, 8)))
+    return f'"{inner}"'
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_equal_the_whole_file_reader(spark, end):
+    """Random quoted text in two files of many byte ranges: the same rows as from Spark's one-task reader."""
+    rnd, folder = random.Random(len(end)), tempfile.mkdtemp(prefix="lanescope-csv-")
+    for name in "ab":
+        rows = [",".join(_random_field(rnd) for _ in range(11)) for _ in range(400)]
+        rows[50] = ",".join(["q", '"' + "long\n" * 900 + '"', *["z"] * 9])       # spans several ranges
+        rows[60] = ""
+        with open(f"{folder}/{name}.csv", "w", newline="", encoding="utf-8") as fh:
+            fh.write(HEADER.strip() + end + end.join(rows) + (end if name == "a" else ""))
+    conf = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = files.read_staging_csv(spark, folder, multi_line=True)
+        lines = quoted_csv.line_table(spark, folder, f"{tempfile.mkdtemp(prefix='lanescope-csv-')}/lines")
+        assert lines.select("file", "start").distinct().count() > 20
+        rows = got.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    whole = (spark.read.schema(got.drop(files.MALFORMED).schema).option("header", True).options(**files.QUOTES)
+             .option("multiLine", True).csv(folder))
+    want = sorted(map(tuple, whole.collect()), key=str)
+    assert len(want) == 798
+    if end == "\r\n":         # Spark's reader turns the file's line ends into line feeds inside quotes too, ours keeps them
+        rows = [tuple(x and x.replace(end, "\n") for x in r) for r in rows]
+    assert sorted((tuple(r)[:-1] for r in rows), key=str) == want
+    assert {r[-1] for r in rows} == {None}
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_wrong_field_counts_are_quarantined_with_their_record(spark, multi_line):
+    bad = ["b,W,D,UPS,x," + FIELDS.strip(), "c,W,D,UPS,2024-01-01"]
+    if multi_line:
+        bad.append('d,"W\nX",D')
+    path = _csv("a,W,D,UPS," + FIELDS + "".join(r + "\n" for r in bad))
+    st = files.read_staging_csv(spark, path, multi_line=multi_line)
+    assert [r.shipment_id for r in C.clean_shipments(st).collect()] == ["a"]
+    away = C.quarantine_rows(st).collect()
+    assert sorted((r.record, r.reject_reason) for r in away) == sorted((r, "wrong number of fields") for r in bad)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_staging_csv(spark, path, strict=True, multi_line=multi_line).select("carrier").collect()
+
+
+def test_another_header_stops_the_range_reader(spark):
+    path = _csv("a,W,D,UPS," + FIELDS)
+    text = open(path).read().replace("carrier", "haulier")
+    open(path, "w").write(text)
+    with pytest.raises(Exception, match="header"):
+        files.read_staging_csv(spark, path, multi_line=True).collect()
+
+
 @pytest.mark.parametrize("row", ["a,W,D,UPS,x," + FIELDS, "a,W,D,UPS,2024-01-01\n"])
 def test_wrong_field_count_stops_a_strict_load(spark, row):
     path = _csv("a,W,D,UPS," + FIELDS + row)
