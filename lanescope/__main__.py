@@ -19,12 +19,10 @@ FINAL_OUTPUTS = {"warehouse_scorecard": "warehouse_scorecard", "carrier_scorecar
 
 
 def _log_data(spark, args):
-    from .operators.clean import log_data
-    from .plans.registry import log_data_for
-    from .sources.files import read_staging_csv
+    from .plans.registry import log_data_for, log_data_from_csv
     if args.tpch:
         return log_data_for(spark, args.tpch)
-    return log_data(read_staging_csv(spark, args.staging, strict=args.mode == "strict"), mode=args.mode)
+    return log_data_from_csv(spark, args.staging, mode=args.mode, multi_line=args.multi_line)
 
 
 def main(argv=None) -> int:
@@ -35,6 +33,7 @@ def main(argv=None) -> int:
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--staging", help="staging CSV path or glob (header, 11 text columns)")
         src.add_argument("--tpch", help="folder of the driver tables (adapter input)")
+        sp.add_argument("--multi-line", action="store_true", help="line breaks inside quoted fields")
         sp.add_argument("--mode", default="quarantine", choices=["quarantine", "strict"])
         if name == "report":
             sp.add_argument("--out", required=True)

@@ -21,7 +21,7 @@ from ..operators import clean as C
 from ..operators import quality as Q
 from ..sources import store
 from ..sources.schema import STAGING_COLUMNS
-from ..sources.tpch_adapter import DRIVER_TABLES, shipment_facts, staging_from_facts
+from ..sources.tpch_adapter import DRIVER_TABLES, staging_from_tpch
 from . import analyses as A
 
 
@@ -29,15 +29,9 @@ def _inputs(sf_dir: str) -> list[str]:
     return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES]
 
 
-def facts_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined driver tables (one row per lineitem), materialised once: the expensive shuffle
-    join runs a single time and every staging variant is a narrow projection of this table."""
-    key = store.fingerprint(spark, _inputs(sf_dir), "facts")
-    return store.materialize(spark, lambda: shipment_facts(spark, sf_dir), "facts", key, sort_keys=())
-
-
 def staging_for(spark: SparkSession, sf_dir: str, **variant) -> DataFrame:
-    return staging_from_facts(facts_for(spark, sf_dir), **variant)
+    """Staging rows: the driver tables joined, one row per lineitem. Not stored: the parsed table is the one copy."""
+    return staging_from_tpch(spark, sf_dir, **variant)
 
 
 def parsed_for(spark: SparkSession, sf_dir: str, **variant) -> DataFrame:
@@ -50,7 +44,7 @@ def parsed_for(spark: SparkSession, sf_dir: str, **variant) -> DataFrame:
         "parsed" + tag, key)
 
 
-_LOG_DATA: dict[tuple[str, str, str], DataFrame] = {}
+_LOG_DATA: dict[tuple[str, str], DataFrame] = {}
 
 
 def log_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +54,31 @@ def log_data_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only the mean (one value) is stored beside the parsed table; the clean table is a read-time
     projection of it, so the data is written once. Queries read only the columns they use and
     the ``reject_reason IS NULL`` filter is pushed into the Parquet scan."""
-    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), store.NAMESPACE)
+    key = store.fingerprint(spark, _inputs(sf_dir), "log_data")
+    memo = (spark.sparkContext.applicationId, key)
     if memo not in _LOG_DATA:
-        parsed = parsed_for(spark, sf_dir)
-        key = store.fingerprint(spark, _inputs(sf_dir), "cost_mean")
-        mean = store.materialize_value(spark, lambda: C.mean_cost(C.accepted(parsed)), "cost_mean", key,
-                                       "mean_cost")
-        _LOG_DATA[memo] = C.fill_cost(C.accepted(parsed), mean)
+        _LOG_DATA[memo] = _filled(spark, parsed_for(spark, sf_dir), key)
     return _LOG_DATA[memo]
 
 
+def _filled(spark: SparkSession, parsed: DataFrame, key: str) -> DataFrame:
+    mean = store.materialize_value(spark, lambda: C.mean_cost(C.accepted(parsed)), "cost_mean", key, "mean_cost")
+    return C.fill_cost(C.accepted(parsed), mean)
+
+
+def log_data_from_csv(spark: SparkSession, path: str, mode: str = "quarantine", multi_line: bool = False) -> DataFrame:
+    """The clean, imputed table of staging CSV files, parsed and stored once per state of the files: every
+    analysis reads that table."""
+    from ..sources import files
+
+    key = store.fingerprint(spark, [path], "csv", mode, str(multi_line))
+
+    def build():
+        return C.parse_staging(files.read_staging_csv(spark, path, strict=mode == "strict", multi_line=multi_line), mode, keep_raw=True)
+
+    return _filled(spark, store.materialize(spark, build, "csv", key), f"csv-{key}")
+
+
 def edge(df: DataFrame) -> DataFrame:
     """Cast DECIMAL columns to DOUBLE for the consumer (charts, CSV, oracle comparison)."""
     cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)

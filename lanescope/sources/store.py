@@ -1,4 +1,4 @@
-"""Materialised tables in the shared folder (``spark.checkpoint.dir``).
+"""Materialised tables in the shared folder (``spark.checkpoint.dir``), versioned and published at once.
 
 As in the analysed workflow (load + clean once, then run every query on the clean table) the
 parsed rows are written once as Parquet and every query reads them: this also cuts the lineage,
@@ -6,29 +6,31 @@ so a lost executor never re-runs the join and parsing of earlier stages. Cleanin
 global mean (cost imputation); that single value is stored beside the parsed table
 (``materialize_value``) and applied at read time, so the rows are not written a second time.
 
-Layout replaces the B-tree indexes of the original (ship date, origin, carrier, status):
-rows are sorted within each file by ``origin_warehouse, carrier, shipment_date`` so Parquet
-min/max statistics skip row groups for the warehouse / carrier filters of the drill-downs.
-File sizes follow the AQE-coalesced partitions of the cleaning job (advisory partition size),
-so the file count grows with the data instead of being fixed.
+Versions. A table is identified by its input files (path, size and modification time of every file
+below the inputs), the code and the layout. Each build writes to a run folder of its own,
+``<name>-<key>/run-<id>``, lists what it wrote in a manifest inside that folder (files with their lengths) and publishes
+by one rename of a pointer to ``<name>-<key>/current`` that fails if the pointer is there: of two
+writers of one key the first wins and both read its table. Readers take the files of the manifest and
+nothing else, and a file that lacks or has another length is an error. A writer that dies leaves a run folder
+without a pointer, which nobody reads. The rename is atomic on HDFS; on a store where it is not (plain object
+stores) two writers at the same moment may both publish, and either table is whole and right.
 
-A table is identified by the input files (path, size, modification time) and the code version;
-``_SUCCESS`` (written by the committer after all tasks) marks a complete table, so a job that
-died half-way is simply rebuilt.
+Layout replaces the B-tree indexes of the original (ship date, origin, carrier, status): see ``write_clean_table``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import __version__
 from ..session import checkpoint_root  # noqa: F401  (re-exported for callers)
 
 SORT_KEYS = ("origin_warehouse", "carrier", "shipment_date")
-LAYOUT_VERSION = "1"
+LAYOUT_VERSION = "2"
 
 _CACHE: dict[tuple[str, str], DataFrame] = {}
 _LOCKS: dict[str, threading.Lock] = {}
@@ -61,29 +63,47 @@ def _code_digest() -> str:
     return h.hexdigest()
 
 
-_FINGERPRINTS: dict[tuple, str] = {}
+_FINGERPRINTS: dict[tuple, tuple[str, str]] = {}
 
 
 def fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
-    """Stable key of input files (size + modification time), code and extra parameters;
-    computed once per application (inputs are not expected to change under a running job)."""
+    """Stable key of input files, code and extra parameters. Every file below the paths counts with its
+    path, size and modification time (one distributed listing); that listing is made anew when the number of
+    files, their bytes or the modification time of a path have changed since the last call."""
     memo = (spark.sparkContext.applicationId, tuple(paths), NAMESPACE, *extra)
-    if memo not in _FINGERPRINTS:
-        _FINGERPRINTS[memo] = _fingerprint(spark, paths, *extra)
-    return _FINGERPRINTS[memo]
+    seen = "|".join(_glance(spark, p) for p in paths)
+    if memo not in _FINGERPRINTS or _FINGERPRINTS[memo][0] != seen:
+        h = hashlib.sha1(_code_digest().encode())
+        for path in paths:
+            h.update(f"{path}:{_listing(spark, path)}".encode())
+        for e in (__version__, LAYOUT_VERSION, NAMESPACE, *extra):
+            h.update(str(e).encode())
+        _FINGERPRINTS[memo] = (seen, h.hexdigest()[:16])
+    return _FINGERPRINTS[memo][1]
+
+
+def _glance(spark: SparkSession, path: str) -> str:
+    """Files, bytes and modification time of a path or glob: one or two calls to the file system."""
+    p, fs = _fs(spark, path)
+    out = []
+    for st in fs.globStatus(p) or ():
+        total = fs.getContentSummary(st.getPath())
+        out.append(f"{total.getFileCount()}:{total.getLength()}:{st.getModificationTime()}")
+    return ",".join(out)
 
 
-def _fingerprint(spark: SparkSession, paths: list[str], *extra: str) -> str:
-    h = hashlib.sha1(_code_digest().encode())
-    for path in paths:
-        p, fs = _fs(spark, path)
-        h.update(path.encode())
-        if fs.exists(p):
-            st = fs.getFileStatus(p)
-            h.update(f"{st.getLen()}:{st.getModificationTime()}".encode())
-    for e in (__version__, LAYOUT_VERSION, NAMESPACE, *extra):
-        h.update(str(e).encode())
-    return h.hexdigest()[:16]
+def _listing(spark: SparkSession, path: str) -> str:
+    """Digest of path, size and modification time of every file below ``path`` (a file, folder or glob)."""
+    p, fs = _fs(spark, path)
+    found = fs.globStatus(p) or ()
+    if not len(found):
+        return ""
+    if len(found) == 1 and found[0].isFile():
+        return f"{found[0].getLen()}:{found[0].getModificationTime()}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    row = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"),
+                    F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("all")).first()
+    return f"{row.n}:{row.bytes}:{row.all}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -98,22 +118,27 @@ def run_id() -> str:
 
 
 def write_clean_table(df: DataFrame, path: str, partition_by_month: bool = False,
-                      sort_keys: tuple[str, ...] = SORT_KEYS) -> None:
+                      sort_keys: tuple[str, ...] = SORT_KEYS, id_col: str | None = "shipment_id") -> None:
     """Write a clean shipment frame with the skipping-friendly layout.
 
-    ``partition_by_month`` adds a ``ship_month`` directory level (partition pruning for date
+    Rows are range-partitioned by ``sort_keys`` (warehouse, carrier, ship date) and sorted inside the files, so that
+    a file holds few warehouses: the drill-downs' filters skip whole files by the footers' min/max statistics and row groups
+    inside the others. The ranges split a warehouse that holds a third of the rows by carrier and date. A Parquet Bloom
+    filter on ``id_col`` lets the lookup of one id skip the row groups that lack it. The number of files follows AQE
+    (advisory partition size). ``partition_by_month`` adds a ``ship_month`` directory level (partition pruning for date
     ranges); worth it for large tables, wasteful for small ones (many tiny files).
     """
-    from pyspark.sql import functions as F
-
     w = df
     parts: list[str] = []
     if partition_by_month:
         w = w.withColumn("ship_month", F.trunc("shipment_date", "month"))
         parts = ["ship_month"]
     if parts or sort_keys:
-        w = w.sortWithinPartitions(*parts, *sort_keys)
-    writer = w.write.mode("overwrite")
+        w = w.repartitionByRange(*parts, *sort_keys).sortWithinPartitions(*parts, *sort_keys)
+    writer = w.write.mode("errorifexists")
+    if id_col in df.columns:
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{id_col}", "true")
+                  .option("parquet.bloom.filter.adaptive.enabled", "true"))
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(path)
@@ -139,10 +164,80 @@ def materialize(spark: SparkSession, build, name: str, key: str, **write_opts) -
     with _LOCKS_GUARD:
         lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:                      # concurrent callers in one driver build a table once
-        if cache_key in _CACHE:
-            return _CACHE[cache_key]
-        if not path_exists(spark, f"{path}/_SUCCESS"):
-            write_clean_table(build(), path, **write_opts)
-        df = spark.read.parquet(path)
-        _CACHE[cache_key] = df
-        return df
+        if cache_key not in _CACHE:
+            if not path_exists(spark, f"{path}/{POINTER}"):
+                publish(spark, path, write_run(spark, build(), path, **write_opts))
+            _CACHE[cache_key] = open_table(spark, path)
+        return _CACHE[cache_key]
+
+
+#: The file that names a table's published run, and each run's list of files.
+POINTER, MANIFEST = "current", "_manifest.json"
+
+
+def write_run(spark: SparkSession, df: DataFrame, path: str, **write_opts) -> str:
+    """Write ``df`` to a new run folder below ``path``, with its manifest; the folder's name."""
+    run = f"run-{run_id()}"
+    write_clean_table(df, f"{path}/{run}", **write_opts)
+    listed = {"schema": df.schema.json(), "partitioned": bool(write_opts.get("partition_by_month")), "files": _files(spark, f"{path}/{run}")}
+    _write_text(spark, f"{path}/{run}/{MANIFEST}", json.dumps(listed))
+    return run
+
+
+def publish(spark: SparkSession, path: str, run: str) -> bool:
+    """Make ``run`` the table at ``path``; False if another run was published before."""
+    jvm = spark.sparkContext._jvm
+    _write_text(spark, f"{path}/{run}/{POINTER}", run)
+    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}/{run}/{POINTER}", f"{path}/{POINTER}"))
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)     # none: do not overwrite
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, target, options)
+        return True
+    except Exception:
+        if path_exists(spark, f"{path}/{POINTER}"):
+            return False
+        raise
+
+
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """The published table at ``path``: the files of its manifest, whose lengths are checked."""
+    folder = f"{path}/{_read_text(spark, f'{path}/{POINTER}').strip()}"
+    listed = json.loads(_read_text(spark, f"{folder}/{MANIFEST}"))
+    found = _files(spark, folder)
+    damaged = [f for f, n in listed["files"].items() if found.get(f) != n]
+    if damaged:
+        raise RuntimeError(f"{folder}: {len(damaged)} of {len(listed['files'])} files lack or have another length, such as {damaged[0]}")
+    reader = spark.read.schema(T.StructType.fromJson(json.loads(listed["schema"]))) if not listed["partitioned"] else spark.read
+    files = [f"{folder}/{f}" for f in sorted(listed["files"])]
+    return reader.option("basePath", folder).parquet(*files)
+
+
+def _files(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Data files below ``folder`` with their lengths, by relative path."""
+    p, fs = _fs(spark, folder)
+    root, out, it = fs.makeQualified(p).toString().rstrip("/") + "/", {}, fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().toString().removeprefix(root)
+        if not name.rsplit("/", 1)[-1].startswith(("_", ".")) and name != POINTER:
+            out[name] = st.getLen()
+    return out
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _fs(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    data = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
+    finally:
+        data.close()
