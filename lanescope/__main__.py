@@ -22,7 +22,8 @@ def _log_data(spark, args):
     from .plans.registry import log_data_for, log_data_from_csv
     if args.tpch:
         return log_data_for(spark, args.tpch)
-    return log_data_from_csv(spark, args.staging, mode=args.mode, multi_line=args.multi_line)
+    return log_data_from_csv(spark, args.staging, mode=args.mode, multi_line=args.multi_line, unique=args.unique,
+                             date_format=args.date_format)
 
 
 def main(argv=None) -> int:
@@ -34,6 +35,8 @@ def main(argv=None) -> int:
         src.add_argument("--staging", help="staging CSV path or glob (header, 11 text columns)")
         src.add_argument("--tpch", help="folder of the driver tables (adapter input)")
         sp.add_argument("--multi-line", action="store_true", help="line breaks inside quoted fields")
+        sp.add_argument("--unique", action="store_true", help="enforce the key: repeated and missing ids are set aside")
+        sp.add_argument("--date-format", help="pattern of the dates, such as dd.MM.yyyy (default: ISO dates)")
         sp.add_argument("--mode", default="quarantine", choices=["quarantine", "strict"])
         if name == "report":
             sp.add_argument("--out", required=True)

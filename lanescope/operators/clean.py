@@ -18,12 +18,13 @@ excluded from the clean table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kpi import MONEY, SUM_COST, ratio
 from ..functions.parse import blank_to_null, parse_date, parse_decimal, parse_int, text_or_unknown
+from ..sources import store
 from ..sources.files import MALFORMED
-from ..sources.schema import CLEAN_COLUMNS, COST_TYPE, DISTANCE_TYPE, WEIGHT_TYPE
+from ..sources.schema import CLEAN_COLUMNS, COST_TYPE, DISTANCE_TYPE, UNKNOWN, WEIGHT_TYPE
 
 LABELS = ("shipment_id", "origin_warehouse", "destination", "carrier", "status")
 _NUMERIC = {"weight_kg": WEIGHT_TYPE, "cost": COST_TYPE, "distance_miles": DISTANCE_TYPE}
@@ -52,15 +53,15 @@ def _normalised(staging: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     return staging.select(*cols)
 
 
-def _typed(norm: DataFrame, strict: bool) -> dict[str, Column]:
-    """Projection 2: casts of the normalised text (strict: a malformed value fails the job)."""
+def _typed(date_format: str | None) -> dict[str, Column]:
+    """Projection 2: casts of the normalised text."""
     c = F.col
     out: dict[str, Column] = {n: c(n) for n in LABELS}
     for n in ("shipment_date", "delivery_date"):
-        out[n] = parse_date(c(n), strict)
+        out[n] = parse_date(c(n), date_format)
     for n, t in _NUMERIC.items():
-        out[n] = parse_decimal(c(n), t, strict)
-    out["transit_days"] = parse_int(c("transit_days"), strict)
+        out[n] = parse_decimal(c(n), t)
+    out["transit_days"] = parse_int(c("transit_days"))
     return out
 
 
@@ -83,8 +84,9 @@ def _recompute_transit(c_ship: Column, c_del: Column, c_transit: Column) -> Colu
     return F.when(c_del.isNotNull(), F.datediff(c_del, c_ship)).otherwise(c_transit).cast("int")
 
 
-def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool = False) -> DataFrame:
-    """Typed rows plus ``reject_reason`` (NULL for accepted rows); transit days recomputed.
+def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool = False, date_format: str | None = None) -> DataFrame:
+    """Typed rows plus ``reject_reason`` (NULL for accepted rows); transit days recomputed. Dates are whole ISO
+    dates, or written by ``date_format``.
 
     With ``keep_raw`` the original text of every field is kept in ``raw_<field>`` for rejected
     rows only (NULL otherwise, which costs nothing in Parquet), so the parsed table can serve
@@ -98,7 +100,7 @@ def parse_staging(staging: DataFrame, mode: str = "quarantine", keep_raw: bool =
         keep += (F.col(MALFORMED).alias("raw_record"),)
         src = [*src, "record"]
     norm = _normalised(staging, keep)
-    typed = _typed(norm, strict=False)
+    typed = _typed(date_format)
     # cast once into attributes, then check them (keeps each expression small)
     parsed = norm.select(*[typed[n].alias(n) for n in CLEAN_COLUMNS], "blank_mask",
                          *[F.col(n).alias(f"_norm_{n}") for n in _CHECKED],
@@ -166,9 +168,10 @@ def fill_cost(clean: DataFrame, mean) -> DataFrame:
     return clean.withColumn("cost", F.coalesce(F.col("cost"), F.lit(mean).cast(COST_TYPE)).cast(COST_TYPE))
 
 
-def log_data(staging: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """Clean, imputed fact table (the analysed ``log_data``)."""
-    return impute_cost(clean_shipments(staging, mode))
+def log_data(staging: DataFrame, mode: str = "quarantine", unique: bool = False) -> DataFrame:
+    """Clean, imputed fact table (the analysed ``log_data``); ``unique`` enforces the key."""
+    parsed = parse_staging(staging, mode)
+    return impute_cost(accepted(enforce_key(store.cut(parsed, "parsed"), mode) if unique else parsed))
 
 
 def duplicate_ids(clean: DataFrame) -> DataFrame:
@@ -181,6 +184,45 @@ def duplicate_ids(clean: DataFrame) -> DataFrame:
             .where(F.col("occurrences") > 1))
 
 
+#: Parts into which the rows of one repeated id are split before one is kept.
+KEY_SALTS = 64
+REPEATED_ID, MISSING_ID = "shipment_id repeated", "shipment_id missing"
+
+
+def enforce_key(parsed: DataFrame, mode: str = "quarantine") -> DataFrame:
+    """``parsed`` with a unique ``shipment_id`` among its accepted rows (CL-8). parsed: a stored table (``store.cut``), as it
+    is read for the ids and for the rows.
+
+    Of the rows that share an id one stays: the first by ship date, then by the other columns in their order (NULLs
+    first). The others get the reason ``shipment_id repeated``. A row without an id (the label ``UNKNOWN``) cannot be told
+    from another one, so all of them get the reason ``shipment_id missing``. ``mode="strict"`` stops the job at such a row.
+
+    Only rows with repeated ids are shuffled: the repeated ids come from a count that combines map-side, and the
+    join back is broadcast where their size allows. ``UNKNOWN`` is a plain filter, never a key. One id on very many rows is first
+    reduced inside ``KEY_SALTS`` parts, so no task sorts all its rows.
+    """
+    named = F.col("reject_reason").isNull() & (F.col("shipment_id") != UNKNOWN)
+    repeated = duplicate_ids(parsed.where(named)).select(F.col("shipment_id").alias("_id"))
+    joined = parsed.join(repeated, named & (F.col("shipment_id") == F.col("_id")), "left")
+    many = joined.where(F.col("_id").isNotNull())
+    order = [F.asc("shipment_date"), *[F.asc_nulls_first(c) for c in CLEAN_COLUMNS if c not in ("shipment_id", "shipment_date")]]
+    many = many.withColumn("_salt", F.spark_partition_id() % KEY_SALTS)
+    many = many.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_salt").orderBy(*order)))
+    # rows behind another one of their part are out; the first of the parts meet, KEY_SALTS rows an id at most
+    behind, first = many.where("_place > 1"), many.where("_place = 1")
+    first = first.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy(*order)))
+    many = first.union(behind).withColumn("reject_reason", F.when(F.col("_place") > 1, F.lit(REPEATED_ID)))
+    single = joined.where(F.col("_id").isNull()).withColumn(
+        "reject_reason", F.when(F.col("reject_reason").isNull() & (F.col("shipment_id") == UNKNOWN), F.lit(MISSING_ID))
+        .otherwise(F.col("reject_reason")))
+    out = single.select(*parsed.columns).union(many.select(*parsed.columns))
+    if mode == "strict":
+        broken = F.raise_error(F.concat(F.lit("broken key: "), F.col("reject_reason"), F.lit(" "), F.col("shipment_id"))).cast("string")
+        out = out.withColumn("reject_reason", F.when(F.col("reject_reason").isin(REPEATED_ID, MISSING_ID), broken)
+                             .otherwise(F.col("reject_reason")))
+    return out
+
+
 def data_issues(clean: DataFrame) -> DataFrame:
     """Rows that say delivered (any letter case) without a delivery date, or lack a ship date (CL-9)."""
     return clean.where((F.col("status").ilike("delivered") & F.col("delivery_date").isNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .benchmark import attach
 from .quantile import exact_percentiles
@@ -73,27 +73,48 @@ def missing_profile_from_mask(parsed: DataFrame, columns: Sequence[str]) -> Data
 
 def pareto(seg: DataFrame, group: Sequence[str], item: Sequence[str], value: str,
            share_name: str = "cum_share_pct") -> DataFrame:
-    """Cumulative share of ``value`` over the items of each group, largest first.
+    """Cumulative share of ``value`` over the items of each group, largest first, ties by item.
 
-    ``seg`` is already aggregated (one row per group x item), so each window partition holds
-    the items of one group (for example the lanes of one carrier), never its shipments.
+    ``seg`` is already aggregated (one row per group x item; ``value`` a count). The running sums are prefix sums by
+    steps, so the items of one group spread over tasks: over the group's distinct values (n shipments have fewer than
+    sqrt(2n) different counts), then, among equal values, over the first item column, and last over the items that share
+    both. Every step adds up its rows before the next coarser one sees them.
     """
-    order = [F.col(value).desc()] + [F.col(c).asc() for c in item]
-    w_run = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*group)
-    total = F.sum(value).over(w_all)
-    return seg.select(
-        *group, *item, value,
-        F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("rank"),
-        F.round((F.sum(value).over(w_run) * 100).cast("decimal(22,0)") / F.nullif(total, F.lit(0)), 2)
-        .cast("decimal(5,2)").alias(share_name))
+    group, head, rest = list(group), item[0], list(item[1:])
+    value_first = [F.col(value).desc()]
+
+    def before(rows: DataFrame, keys: list[str], order: list[Column], at: str) -> DataFrame:
+        """Rows and their sum that come before each row of ``rows`` inside its keys."""
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        none = F.lit(0).cast("bigint")
+        return rows.withColumns({f"{at}_n": F.coalesce(F.sum("_n").over(w), none), f"{at}_sum": F.coalesce(F.sum("_sum").over(w), none)})
+
+    sums = [F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum")]
+    heads = seg.groupBy(*group, value, head).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"))
+    values = heads.groupBy(*group, value).agg(*sums)
+    totals = values.groupBy(*group).agg(F.sum("_sum").alias("_total"))
+    values = before(values, group, value_first, "_v").join(totals, group).drop("_n", "_sum")
+    heads = before(heads, [*group, value], [F.col(head).asc()], "_h").drop("_n", "_sum").join(values, [*group, value])
+    own = Window.partitionBy(*group, value, head).orderBy(*[F.col(c).asc() for c in (rest or [head])])
+    placed = seg.withColumn("_place", F.row_number().over(own)).join(heads, [*group, value, head])
+    rank = F.col("_v_n") + F.col("_h_n") + F.col("_place")
+    running = F.col("_v_sum") + F.col("_h_sum") + F.col("_place") * F.col(value)       # items of one step have the same value
+    return placed.select(
+        *group, *item, value, rank.cast("int").alias("rank"),
+        F.round((running * 100).cast("decimal(22,0)") / F.nullif(F.col("_total"), F.lit(0)), 2).cast("decimal(5,2)").alias(share_name))
+
+
+def month_calendar(seg: DataFrame, group: Sequence[str], period: str) -> DataFrame:
+    """(group, period): every month from a group's first to its last."""
+    ends = seg.groupBy(*group).agg(F.min(period).alias("_from"), F.max(period).alias("_to"))
+    return ends.select(*group, F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))).alias(period))
 
 
 def change_over_previous(seg: DataFrame, group: Sequence[str], period: str,
                          values: Sequence[str]) -> DataFrame:
-    """Difference of each value with the previous period of the same group."""
+    """Difference of each value with the month before in the same group (X3). Months without rows are filled in
+    from a calendar, with NULL values, so a gap is shown and never skipped; ``period`` is the first day of a month."""
+    keys = [*group, period]
+    full = month_calendar(seg, group, period).join(seg, keys, "left")
     w = Window.partitionBy(*group).orderBy(period)
-    cols = [F.col(c) for c in seg.columns]
-    for v in values:
-        cols.append((F.col(v) - F.lag(v).over(w)).alias(f"{v}_change"))
-    return seg.select(*cols)
+    return full.select(*[F.col(c) for c in seg.columns], *[(F.col(v) - F.lag(v).over(w)).alias(f"{v}_change") for v in values])

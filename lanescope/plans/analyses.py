@@ -19,6 +19,7 @@ from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST
                             TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
 from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, position_2x2,
                                    ratio_score, versus)
+from ..functions.kpi import MEASURE_NAMES, rollup_measure
 from ..operators.segment import finalize, key_names, measures, rollup, segment
 
 WH, DEST, CARRIER = "origin_warehouse", "destination", "carrier"
@@ -31,29 +32,35 @@ OVERALL_KPIS = ("cost_per_unit", "cost_per_kg", "cost_per_mile", "avg_transit_da
                 "delivered_rate", "delay_rate", "lost_rate", "returned_rate")
 
 
-def overview(log: DataFrame, approx_distinct: float | None = None) -> DataFrame:
-    """Row count, distinct warehouses / destinations / carriers, date range, totals.
-    One aggregation: the additive measures and the distinct counts / date bounds together.
+def _distinct_roll_up(log: DataFrame, kpis: Sequence, *, names: Sequence[str], bounds: dict[str, tuple[str, str]],
+                      extra: Sequence[str] = ()) -> DataFrame:
+    """One row: measures of ``kpis`` and ``extra``, distinct counts of warehouse, destination and carrier (``names``) and
+    ``bounds`` (name -> min or max, column).
 
-    Exact distinct counts plan an Expand (one copy of each row per counted column, deduplicated
-    map-side). ``approx_distinct=rsd`` uses HyperLogLog++ sketches instead (relative standard
-    deviation ``rsd``): fixed memory per task, no Expand, for very high-cardinality columns."""
+    Two levels: the rows are aggregated by the three keys together (map-side, one row per combination), and the distinct counts
+    run over those combinations, so their Expand never copies a shipment."""
+    ends = [getattr(F, f)(c).alias(n) for n, (f, c) in bounds.items()]
+    m = measures(log, (WH, DEST, CARRIER), kpis, extra=extra, extra_aggs=ends)
+    return m.agg(*[rollup_measure(c).alias(c) for c in m.columns if c in MEASURE_NAMES],
+                 *[F.count_distinct(k).alias(n) for k, n in zip((WH, DEST, CARRIER), names)],
+                 *[getattr(F, f)(n).alias(n) for n, (f, _) in bounds.items()])
+
+
+SHIP_RANGE = {"start_ship_date": ("min", "shipment_date"), "end_ship_date": ("max", "shipment_date")}
+
+
+def overview(log: DataFrame) -> DataFrame:
+    """Row count, distinct warehouses / destinations / carriers, date range, totals."""
     kp = ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"]
+    names = ["total_warehouses", "total_destinations", "total_carriers"]
+    m = _distinct_roll_up(log, kp, names=names, bounds=SHIP_RANGE)
+    out = _counted(finalize(m, (), kp, "total_rows", keep=[*names, *SHIP_RANGE]))
+    return out.select("total_rows", *names, *SHIP_RANGE, *kp)
 
-    def distinct(c: str) -> Column:
-        return F.count_distinct(c) if approx_distinct is None else F.approx_count_distinct(c, approx_distinct)
 
-    extra = [distinct(WH).alias("total_warehouses"),
-             distinct(DEST).alias("total_destinations"),
-             distinct(CARRIER).alias("total_carriers"),
-             F.min("shipment_date").alias("start_ship_date"),
-             F.max("shipment_date").alias("end_ship_date")]
-    m = measures(log, (), kp, extra_aggs=extra)
-    out = finalize(m, (), kp, "total_rows",
-                   keep=["total_warehouses", "total_destinations", "total_carriers",
-                         "start_ship_date", "end_ship_date"])
-    return out.select("total_rows", "total_warehouses", "total_destinations", "total_carriers",
-                      "start_ship_date", "end_ship_date", *kp)
+def _counted(one_row: DataFrame) -> DataFrame:
+    """Zero rows counted where there are none (a sum of no counts is NULL)."""
+    return one_row.withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
 
 
 def preview(log: DataFrame, n: int = 5, ordered: bool = False) -> DataFrame:
@@ -64,24 +71,15 @@ def preview(log: DataFrame, n: int = 5, ordered: bool = False) -> DataFrame:
 
 
 def overview_wide(log: DataFrame) -> DataFrame:
-    """A01 plus delivery-date range, ``COUNT(shipment_id)`` and total kg (A01b). One aggregation."""
+    """A01 plus delivery-date range, ``COUNT(shipment_id)`` (an id is never NULL here, so the rows) and total kg."""
     kp = ["total_cost", ("avg_cost", "avg_shipment_cost"), "avg_kg", "avg_transit_days"]
-    extra = [F.count_distinct(WH).alias("total_warehouse"),
-             F.count_distinct(DEST).alias("total_destination"),
-             F.count_distinct(CARRIER).alias("total_carriers"),
-             F.min("shipment_date").alias("starting_ship_date"),
-             F.max("shipment_date").alias("ended_ship_date"),
-             F.min("delivery_date").alias("starting_del_date"),
-             F.max("delivery_date").alias("ended_del_date"),
-             F.count("shipment_id").alias("total_shipment")]
-    m = measures(log, (), kp, extra=["sum_kg"], extra_aggs=extra)
-    keep = ["total_warehouse", "total_destination", "total_carriers", "starting_ship_date",
-            "ended_ship_date", "starting_del_date", "ended_del_date", "total_shipment", "sum_kg"]
-    out = finalize(m, (), kp, "total_rows", keep=keep)
-    return out.select("total_rows", "total_warehouse", "total_destination", "total_carriers",
-                      "starting_ship_date", "ended_ship_date", "starting_del_date", "ended_del_date",
-                      "total_cost", "total_shipment", "avg_shipment_cost", F.col("sum_kg").alias("total_kg"),
-                      "avg_kg", "avg_transit_days")
+    names = ["total_warehouse", "total_destination", "total_carriers"]
+    bounds = {"starting_ship_date": ("min", "shipment_date"), "ended_ship_date": ("max", "shipment_date"),
+              "starting_del_date": ("min", "delivery_date"), "ended_del_date": ("max", "delivery_date")}
+    m = _distinct_roll_up(log, kp, names=names, bounds=bounds, extra=["sum_kg"])
+    out = _counted(finalize(m, (), kp, "total_rows", keep=[*names, *bounds, "sum_kg"]))
+    return out.select("total_rows", *names, *bounds, "total_cost", F.col("total_rows").alias("total_shipment"), "avg_shipment_cost",
+                      F.col("sum_kg").alias("total_kg"), "avg_kg", "avg_transit_days")
 
 
 def overall_kpi(log: DataFrame) -> DataFrame:
@@ -333,17 +331,21 @@ def _focus(log: DataFrame, warehouses) -> DataFrame:
 # are the defaults here, and the registry derives the same choices from the data instead.
 
 
-def _shared(m: DataFrame) -> DataFrame:
-    """Checkpoint an aggregate that several branches of one query read (ranking and rows).
+def _whole(m: DataFrame) -> DataFrame:
+    """``m`` with all its measures needed wherever it is read.
 
-    Each branch would otherwise prune the aggregate differently and re-read the fact table.
-    The aggregate has one row per segment (bounded by the key cardinalities, not the rows);
-    ``checkpoint`` writes it once to the shared checkpoint folder and cuts its lineage, so the
-    fact table is scanned exactly once and a lost executor re-reads the small result.
-    """
-    from ..session import checkpoint_root
-    checkpoint_root(m.sparkSession)              # makes sure a checkpoint folder is registered
-    return m.checkpoint(eager=True)
+    The ranking and the rows of a drill-down are two branches over one aggregate. Each would prune the measures that it does
+    not use, the exchanges would differ and the fact table be read twice. The predicate names every measure and holds for every
+    group (a group has at least ``n`` rows), so both branches plan the same exchange and AQE reuses it."""
+    whole = [F.col(c).cast("double") for c in m.columns if c in MEASURE_NAMES]
+    return m.where(F.greatest(*whole) >= F.col("n").cast("double"))
+
+
+def _chosen(m: DataFrame, names: DataFrame, key: Column) -> DataFrame:
+    """Rows of the aggregate ``m`` whose ``key`` is among ``names`` (few rows of one column, bound as one array-valued scalar
+    subquery). The key is read through a measure, so the predicate stays above the aggregate and does not change its input."""
+    few = names.agg(F.collect_list(names.columns[0]).alias("names")).scalar()
+    return m.where(F.array_contains(few, F.when(F.col("n") > 0, key)))
 
 
 def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses, *,
@@ -353,12 +355,12 @@ def focused_segment(log: DataFrame, keys: Sequence, kpis: Sequence, warehouses,
 
     ``warehouses`` is a list of names (filter pushed into the scan), a frame of names, or an
     int k: the top-k of the priority scorecard. For k the measures are aggregated once at the
-    segment grain (which includes the warehouse); the scorecard is their exact roll-up and the
-    focus is a semi-join of the aggregated rows, so the fact table is scanned once.
+    segment grain (which includes the warehouse); the scorecard is their exact roll-up and its k names are
+    bound to the aggregated rows, so the fact table is scanned once and no job runs before the query.
     """
     if isinstance(warehouses, int):
-        m = _shared(measures(log, keys, list(kpis) + [k for k in PRIORITY_KPIS if k not in kpis]))
-        m = m.join(top_priority_from_measures(m, warehouses), WH, "left_semi")
+        m = _whole(measures(log, keys, list(kpis) + [k for k in PRIORITY_KPIS if k not in kpis]))
+        m = _chosen(m, top_priority_from_measures(m, warehouses), F.col(WH))
     else:
         m = measures(_focus(log, warehouses), keys, kpis)
     if min_volume is not None:
@@ -417,14 +419,14 @@ DRILL_GATE = FOCUS_CARRIER_GATE   # carriers considered for a drill pair: the A1
 def _drill_from_measures(m: DataFrame, kpi_name: str, gate: int = DRILL_GATE) -> DataFrame:
     """(warehouse, carrier) from measures at a grain containing both: the top-priority
     warehouse and, inside it, the carrier with the highest ``kpi_name`` (ties: volume, name)."""
-    wc = rollup(m, [WH, CARRIER]).join(top_priority_from_measures(m, 1), WH, "left_semi")
+    wc = _chosen(rollup(m, [WH, CARRIER]), top_priority_from_measures(m, 1), F.col(WH))
     wc = finalize(wc.where(F.col("n") >= gate), [WH, CARRIER], [kpi_name], "shipments")
     return wc.orderBy(desc(kpi_name), desc("shipments"), asc(CARRIER)).limit(1).select(WH, CARRIER)
 
 
 def drill_pair(log: DataFrame, kpi_name: str, min_volume: int = DRILL_GATE) -> DataFrame:
     """One row (warehouse, carrier): see ``_drill_from_measures``."""
-    m = measures(log, [WH, CARRIER], [kpi_name, *PRIORITY_KPIS])
+    m = _whole(measures(log, [WH, CARRIER], [kpi_name, *PRIORITY_KPIS]))
     return _drill_from_measures(m, kpi_name, min_volume)
 
 
@@ -442,9 +444,9 @@ def _destination_drill(log: DataFrame, pair, kpis: Sequence[str], min_volume: in
     top-priority warehouse; then one aggregate at (warehouse, carrier, destination) grain
     feeds the priority ranking, the carrier choice and the destination KPIs (one scan)."""
     if isinstance(pair, str):
-        m = _shared(measures(log, [WH, CARRIER, DEST], [*kpis, pair, *PRIORITY_KPIS]))
-        chosen = m.join(_drill_from_measures(m, pair), [WH, CARRIER], "left_semi")
-        m = rollup(chosen, [DEST])
+        m = _whole(measures(log, [WH, CARRIER, DEST], [*kpis, pair, *PRIORITY_KPIS]))
+        best = _drill_from_measures(m, pair).select(F.struct(WH, CARRIER))
+        m = rollup(_chosen(m, best, F.struct(WH, CARRIER)), [DEST])
     else:
         m = measures(_pair(log, pair), [DEST], kpis)
     m = m.where(F.col("n") >= F.lit(min_volume))

@@ -20,7 +20,7 @@ from ..fixed_values import DELAYED, FOCUS_K, HIGH_VOLUME_GATE
 from ..operators import clean as C
 from ..operators import quality as Q
 from ..sources import store
-from ..sources.schema import STAGING_COLUMNS
+from ..sources.schema import CLEAN_COLUMNS, STAGING_COLUMNS
 from ..sources.tpch_adapter import DRIVER_TABLES, staging_from_tpch
 from . import analyses as A
 
@@ -66,15 +66,18 @@ def _filled(spark: SparkSession, parsed: DataFrame, key: str) -> DataFrame:
     return C.fill_cost(C.accepted(parsed), mean)
 
 
-def log_data_from_csv(spark: SparkSession, path: str, mode: str = "quarantine", multi_line: bool = False) -> DataFrame:
+def log_data_from_csv(spark: SparkSession, path: str, mode: str = "quarantine", multi_line: bool = False, unique: bool = False,
+                      date_format: str | None = None) -> DataFrame:
     """The clean, imputed table of staging CSV files, parsed and stored once per state of the files: every
     analysis reads that table."""
     from ..sources import files
 
-    key = store.fingerprint(spark, [path], "csv", mode, str(multi_line))
+    key = store.fingerprint(spark, [path], "csv", mode, str(multi_line), str(unique), str(date_format))
 
     def build():
-        return C.parse_staging(files.read_staging_csv(spark, path, strict=mode == "strict", multi_line=multi_line), mode, keep_raw=True)
+        staging = files.read_staging_csv(spark, path, strict=mode == "strict", multi_line=multi_line)
+        parsed = C.parse_staging(staging, mode, keep_raw=True, date_format=date_format)
+        return C.enforce_key(store.cut(parsed, "csv-parsed"), mode) if unique else parsed
 
     return _filled(spark, store.materialize(spark, build, "csv", key), f"csv-{key}")
 
@@ -132,10 +135,47 @@ def delay_pareto(log: DataFrame) -> DataFrame:
 
 
 def monthly_delay_change(log: DataFrame) -> DataFrame:
-    """Per warehouse and month: delay / delivered share and the change from the previous month."""
+    """Per warehouse and calendar month between its first and last: delay / delivered share and the change from the
+    month before; a month without shipments has no share, nor has the month after it a change (X3)."""
     seg = A.segment(log, [A.month_of().alias("month"), A.WH], ["delay_rate", "delivered_rate"],
                     count_name="shipment_count")
-    return Q.change_over_previous(seg, [A.WH], "month", ["delay_rate", "delivered_rate"])
+    full = Q.change_over_previous(seg, [A.WH], "month", ["delay_rate", "delivered_rate"])
+    return full.withColumn("shipment_count", F.coalesce("shipment_count", F.lit(0)))
+
+
+def unique_shipments(parsed: DataFrame) -> DataFrame:
+    """Accepted rows with the key enforced (CL-8, D-7)."""
+    return C.accepted(C.enforce_key(parsed))
+
+
+def key_quarantine(parsed: DataFrame) -> DataFrame:
+    """Rows that the key sets aside, with the reason (CL-8, D-7)."""
+    out = C.enforce_key(parsed).where(F.col("reject_reason").isin(C.REPEATED_ID, C.MISSING_ID))
+    return out.select(*CLEAN_COLUMNS, "reject_reason")
+
+
+#: Literal parameters, as an analyst writes them: their filters reach the scan.
+LITERAL_FOCUS = ("NATION_1", "NATION_2", "NATION_3")
+BENCHMARK_WAREHOUSE = "NATION_4"
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warehouse KPI table exported as CSV into the shared folder and read back (SNK-2, SRC-5)."""
+    from ..sources import files
+
+    kpi = edge(A.warehouse_kpi(log_data_for(spark, sf_dir)))
+    path = store.scratch(spark, "export")
+    files.export_csv(kpi, path, single_file=True)
+    return files.read_result_csv(spark, path, kpi.schema)
+
+
+def view_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the published views counted by SQL (SNK-3)."""
+    from ..sources import files
+
+    log, issues = files.publish_views(spark, log_data_for(spark, sf_dir), prefix="registered_")
+    return spark.sql(f"""SELECT status, count(*) AS rows, 'log_data' AS view_name FROM {log} GROUP BY status
+                         UNION ALL SELECT status, count(*), 'v_data_issues' FROM {issues} GROUP BY status""")
 
 
 def flagged_warehouses(log: DataFrame) -> DataFrame:
@@ -152,6 +192,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_ids": _on_parsed(lambda p: C.duplicate_ids(C.accepted(p))),
     "missing_profile": _on_parsed(lambda p: Q.missing_profile_from_mask(p, STAGING_COLUMNS)),
     "data_issues": _on_log(C.data_issues),
+    "unique_shipments": _on_parsed(unique_shipments),
+    "key_quarantine": _on_parsed(key_quarantine),
+    "csv_round_trip": csv_round_trip,
+    "view_status_counts": view_status_counts,
     "preview": _on_log(lambda log: A.preview(log, ordered=True)),
     "iqr_outliers": _on_log(Q.iqr_outliers),
     "outlier_sources": _on_log(Q.outlier_sources),
@@ -179,7 +223,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_warehouses": _on_log(A.top_warehouses),
     # carriers
     "focus_warehouse_carrier": _on_log(lambda log: A.focus_warehouse_carrier(log, FOCUS_K)),
+    "literal_focus_carrier": _on_log(lambda log: A.focus_warehouse_carrier(log, LITERAL_FOCUS)),
     "carrier_vs_warehouse": _on_log(A.carrier_vs_warehouse),
+    "carrier_vs_one_warehouse": _on_log(lambda log: A.carrier_vs_warehouse(log, [BENCHMARK_WAREHOUSE])),
     "carrier_positioning": _on_log(A.carrier_positioning),
     "carrier_tradeoff": _on_log(A.carrier_tradeoff),
     "variability": _on_log(A.variability),

@@ -111,6 +111,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/lanescope/{name}-{run_id()}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch table and read back: what follows reads columns instead of repeating their expressions."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_id() -> str:
     """A fresh folder name component (each streaming run gets its own checkpoint)."""
     import uuid
