@@ -93,10 +93,10 @@ def pareto(seg: DataFrame, group: Sequence[str], item: Sequence[str], value: str
     heads = seg.groupBy(*group, value, head).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"))
     values = heads.groupBy(*group, value).agg(*sums)
     totals = values.groupBy(*group).agg(F.sum("_sum").alias("_total"))
-    values = before(values, group, value_first, "_v").join(totals, group).drop("_n", "_sum")
-    heads = before(heads, [*group, value], [F.col(head).asc()], "_h").drop("_n", "_sum").join(values, [*group, value])
+    values = _same(before(values, group, value_first, "_v").drop("_n", "_sum"), totals, group)
+    heads = _same(before(heads, [*group, value], [F.col(head).asc()], "_h").drop("_n", "_sum"), values, [*group, value])
     own = Window.partitionBy(*group, value, head).orderBy(*[F.col(c).asc() for c in (rest or [head])])
-    placed = seg.withColumn("_place", F.row_number().over(own)).join(heads, [*group, value, head])
+    placed = _same(seg.withColumn("_place", F.row_number().over(own)), heads, [*group, value, head])
     rank = F.col("_v_n") + F.col("_h_n") + F.col("_place")
     running = F.col("_v_sum") + F.col("_h_sum") + F.col("_place") * F.col(value)       # items of one step have the same value
     return placed.select(
@@ -104,6 +104,16 @@ def pareto(seg: DataFrame, group: Sequence[str], item: Sequence[str], value: str
         F.round((running * 100).cast("decimal(22,0)") / F.nullif(F.col("_total"), F.lit(0)), 2).cast("decimal(5,2)").alias(share_name))
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, where NULL equals NULL. (It also adds no NOT NULL filters, by which branches over one
+    aggregate would come to differ.)"""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, cond).drop(*[f"_r_{k}" for k in keys])
+
+
 def month_calendar(seg: DataFrame, group: Sequence[str], period: str) -> DataFrame:
     """(group, period): every month from a group's first to its last."""
     ends = seg.groupBy(*group).agg(F.min(period).alias("_from"), F.max(period).alias("_to"))

@@ -101,7 +101,7 @@ def test_drill_downs_scan_the_facts_once_and_run_nothing_before(spark, name):
     sc.setJobGroup(f"run-{name}", name)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
-    assert fact_scans(df) == 1
+    assert fact_scans(df) <= 1          # none where AQE found the result empty
 
 
 @pytest.mark.parametrize("name", ["overview", "overview_wide"])
@@ -121,7 +121,8 @@ def test_pareto_windows_hold_no_whole_carrier_of_lanes(spark):
     assert len(windows) == 3
     keys = [line.rsplit("], [", 2)[-2].count("#") for line in windows]
     assert sorted(keys) == [1, 2, 3], windows
-    assert fact_scans(df) <= 3
+    df.collect()
+    assert fact_scans(df) == 1
 
 
 def test_only_rows_with_repeated_ids_are_shuffled_for_the_key(spark):
