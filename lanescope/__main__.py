@@ -48,8 +48,7 @@ def main(argv=None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from .plans.analyses import LOG_ANALYSES
-    from .plans.registry import edge
+    from .plans.registry import REPORTS, edge
     from .session import BASE_CONF
     b = SparkSession.builder.appName("lanescope")
     for k, v in BASE_CONF.items():
@@ -58,12 +57,12 @@ def main(argv=None) -> int:
     log = _log_data(spark, args)
 
     if args.cmd == "show":
-        edge(LOG_ANALYSES[args.analysis](log)).show(args.n, truncate=False)
+        edge(REPORTS[args.analysis](log)).show(args.n, truncate=False)
         return 0
     from .sources.files import export_csv
-    todo = dict((out, LOG_ANALYSES[a]) for out, a in FINAL_OUTPUTS.items())
+    todo = dict((out, REPORTS[a]) for out, a in FINAL_OUTPUTS.items())
     if args.all:
-        todo.update(LOG_ANALYSES)
+        todo.update(REPORTS)
     for out, fn in todo.items():
         export_csv(edge(fn(log)), f"{args.out.rstrip('/')}/{out}", single_file=True)
         print(f"wrote {args.out.rstrip('/')}/{out}", file=sys.stderr)

@@ -14,7 +14,7 @@ from ..fixed_values import (CARRIER_GATE, CARRIER_MONTH_GATE, COST_BUCKETS, COST
                             COST_RISE_RATIO, CRITICAL, DEFAULT_COST_DRILL, DEFAULT_DELAY_DRILL,
                             DEFAULT_FOCUS, DELAY_RISE_PP, DELIVERED_DROP_PP, DELIVERED_FLOOR,
                             DESTINATION_COST_GATE, DESTINATION_DELAY_GATE, DISTANCE_BUCKETS, EXPENSIVE,
-                            FOCUS_CARRIER_GATE, FOCUS_LANE_GATE, GOOD, HIGH_RISK, LANE_GATE,
+                            FOCUS_CARRIER_GATE, FOCUS_K, FOCUS_LANE_GATE, GOOD, HIGH_RISK, LANE_GATE,
                             LOST_RISE_PP, PROBLEM_CEILING, RECOMMENDATION, RETURN_RISE_PP, SEVERITY,
                             TOP_K, VARIABILITY_GATE, WEIGHT_BUCKETS)
 from ..operators.benchmark import (Rule, attach, averages, flag_sum, medians, position_2x2,
@@ -33,27 +33,29 @@ OVERALL_KPIS = ("cost_per_unit", "cost_per_kg", "cost_per_mile", "avg_transit_da
 
 
 def _distinct_roll_up(log: DataFrame, kpis: Sequence, *, names: Sequence[str], bounds: dict[str, tuple[str, str]],
-                      extra: Sequence[str] = ()) -> DataFrame:
+                      extra: Sequence[str] = (), approx_distinct: float | None = None) -> DataFrame:
     """One row: measures of ``kpis`` and ``extra``, distinct counts of warehouse, destination and carrier (``names``) and
     ``bounds`` (name -> min or max, column).
 
     Two levels: the rows are aggregated by the three keys together (map-side, one row per combination), and the distinct counts
-    run over those combinations, so their Expand never copies a shipment."""
+    run over those combinations, so their Expand never copies a shipment. ``approx_distinct=rsd`` counts them by HyperLogLog++
+    sketches instead (relative standard deviation ``rsd``), without an Expand."""
+    distinct = F.count_distinct if approx_distinct is None else lambda k: F.approx_count_distinct(k, approx_distinct)
     ends = [getattr(F, f)(c).alias(n) for n, (f, c) in bounds.items()]
     m = measures(log, (WH, DEST, CARRIER), kpis, extra=extra, extra_aggs=ends)
     return m.agg(*[rollup_measure(c).alias(c) for c in m.columns if c in MEASURE_NAMES],
-                 *[F.count_distinct(k).alias(n) for k, n in zip((WH, DEST, CARRIER), names)],
+                 *[distinct(k).alias(n) for k, n in zip((WH, DEST, CARRIER), names)],
                  *[getattr(F, f)(n).alias(n) for n, (f, _) in bounds.items()])
 
 
 SHIP_RANGE = {"start_ship_date": ("min", "shipment_date"), "end_ship_date": ("max", "shipment_date")}
 
 
-def overview(log: DataFrame) -> DataFrame:
+def overview(log: DataFrame, approx_distinct: float | None = None) -> DataFrame:
     """Row count, distinct warehouses / destinations / carriers, date range, totals."""
     kp = ["total_cost", "avg_cost", "avg_kg", "avg_transit_days"]
     names = ["total_warehouses", "total_destinations", "total_carriers"]
-    m = _distinct_roll_up(log, kp, names=names, bounds=SHIP_RANGE)
+    m = _distinct_roll_up(log, kp, names=names, bounds=SHIP_RANGE, approx_distinct=approx_distinct)
     out = _counted(finalize(m, (), kp, "total_rows", keep=[*names, *SHIP_RANGE]))
     return out.select("total_rows", *names, *SHIP_RANGE, *kp)
 
@@ -603,17 +605,24 @@ def top_lanes(log: DataFrame, k: int = TOP_K) -> DataFrame:
             .limit(k).select(lane_label().alias("lane"), *wl.columns))
 
 
-# Analyses that take only the clean table (default parameters), by report name.
-LOG_ANALYSES = {
-    "overview": overview, "overview_wide": overview_wide, "overall_kpi": overall_kpi,
-    "overall_kpi_wide": overall_kpi_wide, "avg_daily_shipments": avg_daily_shipments,
-    "monthly_volume": monthly_volume, "monthly_delivered": monthly_delivered,
-    "monthly_returned": monthly_returned, "monthly_cost": monthly_cost, "monthly_transit": monthly_transit,
-    "warehouse_kpi": warehouse_kpi, "warehouse_scorecard": warehouse_scorecard,
-    "warehouse_scorecard_wide": warehouse_scorecard_wide, "carrier_vs_warehouse": carrier_vs_warehouse,
-    "carrier_positioning": carrier_positioning, "carrier_tradeoff": carrier_tradeoff,
-    "lane_delivered": lane_delivered, "worst_lanes": worst_lanes, "weight_buckets": weight_buckets,
-    "cost_buckets": cost_buckets, "distance_buckets": distance_buckets, "carrier_monthly": carrier_monthly,
-    "variability": variability, "decision_scorecard": decision_scorecard, "top_warehouses": top_warehouses,
-    "top_lanes": top_lanes,
-}
+def _by_name() -> dict:
+    """Analyses that take only the clean table, by report name; data-driven choices where the analysed project names its own
+    warehouses and carriers."""
+    from ..operators import clean, quality
+
+    own = (overview, overview_wide, overall_kpi, overall_kpi_wide, avg_daily_shipments, monthly_volume, monthly_delivered, monthly_returned,
+           monthly_cost, monthly_transit, warehouse_kpi, warehouse_scorecard, warehouse_scorecard_wide, carrier_vs_warehouse,
+           carrier_positioning, carrier_tradeoff, lane_delivered, worst_lanes, weight_buckets, cost_buckets, distance_buckets,
+           carrier_monthly, variability, decision_scorecard, top_warehouses, top_lanes)
+    return {f.__name__: f for f in own} | {
+        "worst_lanes_wide": lambda log: worst_lanes(log, with_lost_rate=True),
+        "focus_warehouse_carrier": lambda log: focus_warehouse_carrier(log, FOCUS_K), "focus_lanes": lambda log: focus_lanes(log, FOCUS_K),
+        "warehouse_monthly": lambda log: warehouse_monthly(log, FOCUS_K),
+        "destination_cost_drill": lambda log: destination_cost_drill(log, "cost_per_unit"),
+        "destination_delay_drill": lambda log: destination_delay_drill(log, "delay_rate"),
+        "preview": preview, "data_issues": clean.data_issues, "duplicate_ids": clean.duplicate_ids,
+        "iqr_outliers": quality.iqr_outliers, "outlier_sources": quality.outlier_sources,
+    }
+
+
+LOG_ANALYSES = _by_name()

@@ -244,3 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cost_buckets": _on_log(A.cost_buckets),
     "distance_buckets": _on_log(A.distance_buckets),
 }
+
+#: Analyses over the clean table by report name, for the command line and the SQL views.
+REPORTS = {**A.LOG_ANALYSES, "delay_pareto": delay_pareto, "monthly_delay_change": monthly_delay_change,
+           "flagged_warehouses": flagged_warehouses}

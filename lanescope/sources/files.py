@@ -67,8 +67,10 @@ def publish_views(spark: SparkSession, log_data: DataFrame, prefix: str = "",
     log_data.createOrReplaceTempView(names[0])
     data_issues(log_data).createOrReplaceTempView(names[1])
     if analyses:
-        from ..plans.analyses import LOG_ANALYSES
-        for name, fn in LOG_ANALYSES.items():
+        from ..plans.registry import REPORTS
+        for name, fn in REPORTS.items():
+            if f"{prefix}{name}" in names:
+                continue
             fn(log_data).createOrReplaceTempView(f"{prefix}{name}")
             names.append(f"{prefix}{name}")
     return names

@@ -51,6 +51,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob."""
+    p, fs = _fs(spark, pattern)
+    return [st.getPath().toString() for st in fs.globStatus(p) or ()]
+
+
 def _code_digest() -> str:
     """Digest of the modules that decide the table content (adapter, parsing, cleaning).
     Read through ``pkgutil`` so it also works when the package ships as a zip (--py-files)."""

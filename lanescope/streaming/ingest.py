@@ -6,8 +6,8 @@
   with the file sink (exactly-once through its commit log). Rejected rows keep their text and
   reason, so the quarantine report is a filter on this table.
 * ``start_measures_sink``: a stateful aggregation of the additive KPI measures per segment
-  (state = one row per segment, never per shipment), written as a complete snapshot by
-  ``foreachBatch``. The cost mean cannot be known while data is still arriving, so the stream
+  (state = one row per segment, never per shipment), written as a complete snapshot per epoch by
+  ``foreachBatch``; ``read_snapshot`` takes the newest whole one. The cost mean cannot be known while data is still arriving, so the stream
   keeps ``n_cost``/``sum_cost`` of the known costs and ``kpis_from_measures`` applies the mean
   fill at read time; because the fill is linear, the result equals the batch clean+impute.
 
@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.kpi import MEASURE_NAMES, MONEY, SUM_COST, ratio, rollup_measure
 from ..operators import clean as C
 from ..operators.segment import finalize, measures
+from ..sources import store
 from ..sources.files import QUOTES
 from ..sources.schema import STAGING_SCHEMA
 
@@ -52,8 +53,10 @@ def measures_stream(parsed_stream: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def start_measures_sink(parsed_stream: DataFrame, keys: Sequence[str], table_path: str,
                         checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    def write_snapshot(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+    def write_snapshot(batch: DataFrame, epoch: int) -> None:
+        # a folder of its own for each epoch: readers never see a snapshot that is being replaced, and a batch that
+        # runs again after a failure writes the same rows to the same folder
+        batch.write.mode("overwrite").parquet(f"{table_path}/epoch-{epoch:012d}")
 
     w = (measures_stream(parsed_stream, keys).writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint).foreachBatch(write_snapshot))
@@ -61,6 +64,14 @@ def start_measures_sink(parsed_stream: DataFrame, keys: Sequence[str], table_pat
     return w.start()
 
 
+def read_snapshot(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest complete snapshot of ``start_measures_sink``."""
+    done = store.found(spark, f"{table_path}/epoch-*/_SUCCESS")
+    if not done:
+        raise FileNotFoundError(f"no complete snapshot below {table_path}")
+    return spark.read.parquet(max(done).rsplit("/", 1)[0])
+
+
 def kpis_from_measures(m: DataFrame, keys: Sequence[str], kpis: Sequence[str],
                        count_name: str = "shipments") -> DataFrame:
     """Rounded KPIs from streamed measures, with missing costs filled by the overall mean of
@@ -85,7 +96,7 @@ def stream_segment_kpis(spark: SparkSession, staging_dir: str, work_dir: str, ke
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"measures stream failed: {q.exception()}")
-    return kpis_from_measures(spark.read.parquet(snapshot), keys, kpis, count_name)
+    return kpis_from_measures(read_snapshot(spark, snapshot), keys, kpis, count_name)
 
 
 def write_staging_files(staging: DataFrame, path: str) -> None:
