@@ -48,6 +48,15 @@ def main() -> None:
     def run(df):
         df.write.format("noop").mode("overwrite").save()
 
+    def yardstick() -> float:
+        """Seconds of a fixed Spark job that uses nothing of this package: tells the host's speed from the code's."""
+        samples = []
+        for _ in range(repeat + 1):
+            t = time.perf_counter()
+            run(spark.range(0, 4_000_000, 1, cpus).selectExpr("id % 1000 AS k", "id * 7919 % 1000003 AS v").groupBy("k").agg({"v": "sum"}).orderBy("k"))
+            samples.append(time.perf_counter() - t)
+        return round(statistics.median(samples[1:]), 4)
+
     streams = {n: f for n, f in R.QUERIES.items() if n.startswith("stream_")}
     analytic = {n: f for n, f in R.QUERIES.items() if n not in streams}
     for name, fn in analytic.items():        # warm-up (JIT, file listing, code generation)
@@ -76,6 +85,7 @@ def main() -> None:
         "queries": times,
         "load_clean_sec": round(load_sec, 3),
         "stream_sec": stream_times,
+        "yardstick_sec": yardstick(),
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }))
