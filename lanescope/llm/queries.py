@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (auction_repair, bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, hnsw, icws, line_dedup, packing,
-               piece_merges, prefix_trie, weak_labels, zstd_shards)
+               piece_merges, prefix_trie, sequence_sql, weak_labels, zstd_shards)
 from .common import binary_file, read, small_side, stored, text_file
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -142,4 +142,4 @@ QUERIES = {f.__name__: f for f in (
     op7_zstd_shards, op8_hnsw, op9_icws_minhash, op10_bloom_cascade, op11_auction_repair, op12_piece_rounds,
     op13_prefix_trie)}
 #: The others have no SQL form; tests/llm compares them with brute-force versions.
-ORACLE = {"op10_bloom_cascade": OP10_SQL}
+ORACLE = {"op10_bloom_cascade": OP10_SQL, "op11_auction_repair": sequence_sql.OP11, "op13_prefix_trie": sequence_sql.OP13}
