@@ -43,7 +43,7 @@ def op3_line_dedup(spark, sf_dir):
 
 def op6_weak_labels(spark, sf_dir):
     """Every document with its weak label's posterior, its score and the decision."""
-    scored = weak_labels.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = weak_labels.score(read(spark, sf_dir, "documents"), columns=["doc_id"])
     return scored.select("doc_id", "quality.posterior", "quality.score", "quality.keep")
 
 

@@ -267,3 +267,66 @@ def test_trie_of_nothing_and_of_unshared_conversations(spark):
     assert prefix_trie.trie(*prefix_trie.prefixes(df.limit(0))).count() == 0
     got = {tuple(r)[:7] for r in prefix_trie.trie(*prefix_trie.prefixes(df)).select(*TRIE).collect()}
     assert got == {(1, 0, None, 2, 1, 1, 2), (1, 1, 1, 2, 1, 1, 2), (2, 2, 1, 1, 0, 1, 0)}
+
+
+# -- weak labels ---------------------------------------------------------------------------
+
+
+def signals_by_hand(text):
+    """The labellers' signals in plain Python."""
+    import unicodedata
+
+    import regex
+    from lanescope.llm import weak_labels
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    n, letters = len(words), [c for c in text if unicodedata.category(c)[0] == "L"]
+    plain = regex.compile("[" + weak_labels._PLAIN.replace(r"\s", r" \t\n\x0b\f\r") + "]")
+    unspaced = regex.compile(weak_labels._UNSPACED.replace(r"\p{Is", r"\p{")[:-1])
+    triples = list(zip(words, words[1:], words[2:]))
+    share = lambda a, b: a / b if b > 0 else 0.0
+    dense = sum(bool(unspaced.fullmatch(c)) for c in text)
+    return {
+        "symbols": share(sum(not plain.fullmatch(c) for c in text), len(text)),
+        "capitals": share(sum(unicodedata.category(c) == "Lu" for c in text), len(letters)),
+        "exclamations": share(text.count("!!"), n), "cells": share(len(re.findall(r"(?:^|\s)\|(?:\s|$)", text)), n),
+        "repeated_phrases": share(n - 2 - len(set(triples)), n - 2),
+        "repeated_words": share(sum(a == b for a, b in zip(words, words[1:])), n - 1),
+        "word_length": share(len(text), n) if dense < 0.3 * len(text) else 11.0}
+
+
+UNSPACED = ["今天天气很好，我们一起去公园散步吧。孩子们在草地上玩耍，老人们在树下聊天。" * 4, "今日はとても良い天気です。公園へ散歩に行きましょう。「はい」と彼は言った。" * 4,
+            "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกันเถอะเด็กๆกำลังเล่นอยู่บนสนามหญ้า" * 4]
+
+
+def test_signals_and_votes_equal_plain_python(spark):
+    from lanescope.llm import weak_labels
+    texts = ["", "  ", "!!! A B C !!!!", "| a | b |  c |", "so so so so it is so", "“Quoted” — text… «oui»", "### $$$ %%%", "ÉCOLE école 12 x́", *UNSPACED,
+             "\n".join(["the same line again"] * 9), "w" * 400, "ab 漢 cd ef gh ij kl mn"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect() if r.text]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r for r in weak_labels.with_signals(df, F.col("text"), "s").select("i", "s", weak_labels.votes("s").alias("v")).collect()}
+    for i, t in enumerate(texts):
+        want = signals_by_hand(t)
+        for signal, x in want.items():
+            assert got[i].s[signal] == pytest.approx(x), (signal, t[:60])
+        assert list(got[i].v) == [-1 if want[s] >= bad else 1 if good is not None and want[s] <= good else 0
+                                  for s, bad, good in weak_labels.LABELLERS.values()]
+    assert all(-1 not in got[texts.index(t)].v for t in UNSPACED)
+
+
+def test_posteriors_follow_from_all_votes_and_copies_keep_their_share(spark):
+    """Posteriors recomputed from the votes by a plain Python count; a hot text is sampled like any other row."""
+    from collections import Counter
+
+    from lanescope.llm import weak_labels
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    hot = docs.filter("text is not null").limit(1).select(F.explode(F.sequence(F.lit(10_000).cast("long"), F.lit(10_099).cast("long"))).alias("doc_id"), "text")
+    docs = docs.union(hot)
+    rows = weak_labels.with_signals(docs.fillna(""), F.col("text"), "s").select("doc_id", "s.words", weak_labels.votes("s").alias("v")).collect()
+    counts = Counter(tuple(r.v) for r in rows if r.words > 0)
+    posterior = dict(zip(counts, weak_labels.label_model(list(counts), list(counts.values()))[0].tolist()))
+    got = {r.doc_id: r for r in weak_labels.score(docs, columns=["doc_id"], train_rows=150).select("doc_id", "quality.*").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id].posterior == pytest.approx(posterior[tuple(r.v)] if r.words > 0 else 0.0, abs=1e-6)
+    assert np.mean([(got[r.doc_id].posterior > 0.5) == got[r.doc_id].keep for r in rows]) > 0.9
