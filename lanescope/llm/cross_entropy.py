@@ -3,11 +3,11 @@
 Both models are word bigram models with the same vocabulary, order and smoothing; the target's is
 counted over the documents for which ``is_target`` holds, the background's over all. Words and pairs
 of words are counted exactly, by 64-bit hashes, over all documents, into tables that grow with them.
-p(w) = (c(w) + 1/2) / (N + V / 2), V: 2^18, or the number of distinct words and one if that is more, so
-unseen words keep a share; p(w | v) = (c(v, w) + m p(w)) / (c(v) + m); before a document's first word stands a
-marker with c(v) = 0. Pairs of two of the ``HOT`` most frequent words are counted in an array and scored where
-the text is read; all others are joined by shuffle. A document's score is the mean over its tokens of the target loss less the background
-loss, in nats: the lower, the nearer to the target.
+p(w) = (c(w) + 1/2) / (N + V / 2), V: the number of distinct words and one for all unseen ones; p(w | v) = (c(v, w) + m p(w)) /
+(c(v) + m), c(v): how often a word follows v. Before a document's first word stands a marker that occurs once in each document with a
+word. So the probabilities after each context sum to 1. Pairs of two of the ``HOT`` most frequent words are counted in an array and
+scored where the text is read; all others are joined by shuffle. A document's score is the mean over its tokens of the target loss less
+the background loss, in nats: the lower, the nearer to the target.
 
 Defined results: a text that is null or has no word has no tokens, its losses and score are null; without
 target documents the target model is uniform; every input row gets a row, repeated rows too; an empty
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, slices, small_side, stored
 from .words import WordHashes, find_words
 
-#: Sizes of ``Model``'s tables; the first is also the least vocabulary that both models smooth over.
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 18, 1 << 21
 SMOOTHING = 4.0
 #: So many of the most frequent words have their pairs counted in an array; the result is the same.
 HOT = 512
@@ -32,18 +30,6 @@ HOT = 512
 SALTS = 16
 
 
-def events(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of each word, of the word before it (0 stands before the first) and of the pair, in the
-    order in which ``known`` sees them. With ``Model``, for comparison on inputs of at most
-    ``WORD_BUCKETS`` words and ``PAIR_BUCKETS`` pairs."""
-    numbers, pairs = known.__dict__.setdefault("numbers", ({}, {}))
-    words = find_words((text or "").lower())
-    word = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)
-    before = np.r_[np.zeros(1, np.int64), word[:-1]][:len(word)]
-    pair = np.array([pairs.setdefault(x, len(pairs)) for x in zip(before.tolist(), word.tolist())], np.int64)
-    return word, before, pair
-
-
 def _words(text: str | None, known: WordHashes) -> np.ndarray:
     return known.of(find_words((text or "").lower()))
 
@@ -59,8 +45,13 @@ def _summed(rows: np.ndarray, target: np.ndarray):
     return rows[:, order[first]], inside, times
 
 
+#: The marker's key among the words.
+MARKER = 0
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, t, b) of all words: occurrences in the target and in all documents. docs: (text, target)."""
+    """(word, t, b, ct, cb) of all words and the marker: occurrences in the target and in all documents, and those that a word
+    follows. docs: (text, target)."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,11 +59,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
         known = WordHashes()
         for batch in slices(batches, 512):
             got = [_words(t, known) for t in batch.column(0).to_pylist()]
-            target = np.repeat(np.array(batch.column(1).to_pylist(), bool), [len(g) for g in got])
-            rows, t, b = _summed(np.concatenate(got)[None, :], target)
-            yield pa.RecordBatch.from_pydict({"word": rows[0].view(np.int64), "t": t, "b": b})
+            inside = np.array(batch.column(1).to_pylist(), bool)
+            rows, t, b = _summed(np.concatenate(got)[None, :], np.repeat(inside, [len(g) for g in got]))
+            some = np.array([len(g) > 0 for g in got], bool)
+            ends, et, eb = _summed(np.array([g[-1] for g in got if len(g)], np.uint64)[None, :], inside[some])
+            nothing = np.zeros(len(et) + 1, np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "word": np.r_[rows[0].view(np.int64), ends[0].view(np.int64), MARKER], "t": np.r_[t, nothing], "b": np.r_[b, nothing],
+                "ct": np.r_[t, -et, (inside & some).sum()], "cb": np.r_[b, -eb, some.sum()]})
 
-    return docs.mapInArrow(run, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    counts = docs.mapInArrow(run, "word long, t long, b long, ct long, cb long")
+    return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t", "b", "ct", "cb")])
 
 
 def _split(batch_words: list[np.ndarray], hot: np.ndarray):
@@ -113,8 +110,9 @@ def pair_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _with_words(pairs: DataFrame, words: DataFrame, n_words: int, side: str, limit: int) -> DataFrame:
-    """``pairs`` with the counts of their word ``side``, 0 where it has none."""
-    words = words.select(F.col("word").alias(f"{side}_word"), F.col("t").alias(f"{side}_t"), F.col("b").alias(f"{side}_b"))
+    """``pairs`` with the counts of their word ``side`` (v: as a context), 0 where it has none."""
+    counts = ("t", "b") if side == "w" else ("ct", "cb")
+    words = words.select(F.col("word").alias(f"{side}_word"), *[F.col(c).alias(f"{side}_{c[-1]}") for c in counts])
     on = F.col(side) == F.col(f"{side}_word")
     if n_words <= limit:
         pairs = pairs.join(F.broadcast(words), on, "left")
@@ -127,8 +125,8 @@ def _with_words(pairs: DataFrame, words: DataFrame, n_words: int, side: str, lim
 
 def pair_losses(pairs: DataFrame, words: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(v, w, lt, lb): losses of w after v by the target's and the background's model. words: stored."""
-    total = words.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    vocabulary = max(WORD_BUCKETS, total["n"] + 1)
+    total = words.agg(F.count_if(F.col("word") != MARKER).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    vocabulary = total["n"] + 1
     for side in ("w", "v"):
         pairs = _with_words(pairs, words, total["n"], side, limit)
 
@@ -139,26 +137,13 @@ def pair_losses(pairs: DataFrame, words: DataFrame, limit: int = BROADCAST_ROWS)
     return pairs.select("v", "w", loss("t").alias("lt"), loss("b").alias("lb"))
 
 
-class Model:
-    """A row of counts of ``events`` (words, then pairs) as a language model."""
-
-    def __init__(self, row: np.ndarray):
-        self.words, self.pairs = row[:WORD_BUCKETS], row[WORD_BUCKETS:]
-        total = float(self.words.sum(dtype=np.float64))
-        self.p = ((self.words + 0.5) / (total + WORD_BUCKETS / 2)).astype(np.float32)
-
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        p = (self.pairs[pair] + SMOOTHING * self.p[word].astype(np.float64)) / (self.words[before] + SMOOTHING)
-        return -np.log(np.maximum(p, 1e-12))
-
-
 def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.coalesce(is_target, F.lit(False)).alias("target"))
     words = stored(word_counts(docs.select("text", "target")), "lm-words")
-    hot = np.sort(np.array([r.word for r in words.orderBy(F.desc("b"), "word").limit(HOT).collect()], np.int64).view(np.uint64))
+    hot = np.sort(np.array([r.word for r in words.filter(F.col("word") != MARKER).orderBy(F.desc("b"), "word").limit(HOT).collect()], np.int64).view(np.uint64))
     if not len(hot):
         hot = np.zeros(1, np.uint64)
     losses = stored(pair_losses(pair_counts(docs.select("text", "target"), hot), words), "lm-pairs")

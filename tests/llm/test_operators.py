@@ -133,30 +133,58 @@ def test_shard_reads_only_wanted_frames_and_finds_damage():
         zstd_shards.ShardReader(io.BytesIO(bytes(broken))).frame(1)
 
 
+def bigrams(texts, all_texts):
+    """p(v, w) of a model of ``texts`` that shares the words of ``all_texts``, from unhashed counts; v None: before the first word."""
+    from collections import Counter
+
+    words, pairs, before = Counter(), Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        words.update(w)
+        pairs.update(zip([None, *w], w))
+        before.update([None, *w][:-1] if w else [])
+    vocabulary = len({w for t in all_texts for w in (t or "").split()}) + 1
+    total = words.total()
+    return lambda v, w: (pairs[v, w] + 4 * (words[w] + 0.5) / (total + vocabulary / 2)) / (before[v] + 4)
+
+
+def test_each_contexts_probabilities_sum_to_one():
+    texts = [prose(i, 40) for i in range(9)] + ["the cat sat"] * 5 + [None, ""]
+    words = sorted({w for t in texts for w in (t or "").split()})
+    for some in (texts, texts[:3], [None]):
+        p = bigrams(some, texts)
+        for v in [None, "never", "the", "sat", *words[:20]]:
+            assert sum(p(v, w) for w in words) + p(v, "unseen") == pytest.approx(1, rel=1e-12)
+
+
+def test_equal_target_and_background_differ_by_nothing(spark):
+    importable(spark)
+    docs = spark.range(100).selectExpr("id as doc_id", "'the cat sat' as text")
+    for n in (10, 100):                                  # the share of the target adds no term of its own
+        rows = cross_entropy.score(docs, docs.doc_id < n).collect()
+        p = [bigrams(["the cat sat"] * k, ["the cat sat"]) for k in (n, 100)]
+        loss = [-np.mean([np.log(m(v, w)) for v, w in ((None, "the"), ("the", "cat"), ("cat", "sat"))]) for m in p]
+        for r in rows:
+            assert (r.target_loss, r.background_loss) == pytest.approx(loss, rel=1e-9) and min(loss) > 0
+    assert all(r.score == 0 for r in rows)
+
+
 def test_cross_entropy(spark, odd, empty):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(["target", "style", WORDS[i]] * 20)) for i in range(40)]
     docs = spark.createDataFrame([*rows, (100, None), (101, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in cross_entropy.score(docs, docs.doc_id.isin([0, 2, 4, 6])).collect()}
     assert got[100].score is None and got[101].n_tokens == 0
     assert max(got[i].score for i in range(8, 40, 2)) < min(got[i].score for i in range(1, 40, 2))
-    known = cross_entropy.WordHashes()
-    n = np.zeros((2, cross_entropy.WORD_BUCKETS + cross_entropy.PAIR_BUCKETS))
-    for i, text in rows:
-        word, _, pair = cross_entropy.events(text, known)
-        for k in ([0] if i in (0, 2, 4, 6) else []) + [1]:
-            np.add.at(n[k], word, 1)
-            np.add.at(n[k], cross_entropy.WORD_BUCKETS + pair, 1)
+    models = [bigrams([t for i, t in rows if i in (0, 2, 4, 6)], [t for _, t in rows]), bigrams([t for _, t in rows], [t for _, t in rows])]
     for i, text in rows[:6]:
-        losses = [cross_entropy.Model(x).loss(*cross_entropy.events(text, known)).mean() for x in n]
-        assert got[i].score == pytest.approx(losses[0] - losses[1], rel=1e-5)
+        losses = [-np.mean([np.log(p(v, w)) for v, w in zip([None, *text.split()], text.split())]) for p in models]
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(losses, rel=1e-9)
     assert cross_entropy.score(odd, odd.n.isNotNull()).count() == odd.count()
     assert cross_entropy.score(empty, empty.n.isNotNull()).count() == 0
 
 
 def test_cross_entropy_counts_exactly(spark, monkeypatch):
     """More distinct words and pairs than any table of a fixed size holds apart, against unhashed counts."""
-    from collections import Counter
-
     rng = np.random.default_rng(4)
     texts = [" ".join(["the of", *(f"w{k}" for k in rng.integers(0, 400_000, 9000)), "the of the"]) for _ in range(60)] + ["the of the", "of", "", None]
     texts += texts[:2]
@@ -165,24 +193,15 @@ def test_cross_entropy_counts_exactly(spark, monkeypatch):
     monkeypatch.setattr(cross_entropy, "HOT", 8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r for r in cross_entropy.score(docs, docs.doc_id.isin(sorted(target))).collect()}
-    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for i, text in enumerate(texts):
-        w = (text or "").split()
-        for k in ([0] if i in target else []) + [1]:
-            words[k].update(w)
-            pairs[k].update(zip([None, *w], w))
-    vocabulary, total = max(1 << 18, len(words[1]) + 1), [c.total() for c in words]
-    assert vocabulary > 1 << 18
+    models = [bigrams([texts[i] for i in target], texts), bigrams(texts, texts)]
     for i in (0, 5, 19, 20, 40, 59, 60, 61, 64, 65):
-        w, loss = texts[i].split(), []
-        for k in (0, 1):
-            p = [(pairs[k][a, b] + 4 * (words[k][b] + 0.5) / (total[k] + vocabulary / 2)) / (words[k][a] + 4) for a, b in zip([None, *w], w)]
-            loss.append(-np.log(p).mean())
+        w = texts[i].split()
+        loss = [-np.mean([np.log(p(a, b)) for a, b in zip([None, *w], w)]) for p in models]
         assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((*loss, loss[0] - loss[1]), rel=1e-9)
         assert got[i].n_tokens == len(w)
     assert len(got) == len(texts) and all((got[i].n_tokens, got[i].score) == (0, None) for i in (62, 63))
     # words that are too many for a broadcast
-    words = spark.createDataFrame([(1, 2, 3), (2, 0, 5)], "word long, t long, b long")
+    words = spark.createDataFrame([(0, 0, 0, 1, 4), (1, 2, 3, 2, 3), (2, 0, 5, 0, 4)], "word long, t long, b long, ct long, cb long")
     pairs = spark.createDataFrame([(0, 1, 1, 1), (1, 2, 0, 2), (2, 1, 1, 2)], "v long, w long, t long, b long")
     assert sorted(cross_entropy.pair_losses(pairs, words, 0).collect()) == sorted(cross_entropy.pair_losses(pairs, words).collect())
 
