@@ -146,9 +146,12 @@ def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col:
     hot = np.sort(np.array([r.word for r in words.filter(F.col("word") != MARKER).orderBy(F.desc("b"), "word").limit(HOT).collect()], np.int64).view(np.uint64))
     if not len(hot):
         hot = np.zeros(1, np.uint64)
-    losses = stored(pair_losses(pair_counts(docs.select("text", "target"), hot), words), "lm-pairs")
+    # the table keeps the small counts; losses follow from them where they are needed
+    pairs = stored(pair_counts(docs.select("text", "target"), hot), "lm-pairs")
     signed = hot.view(np.int64).tolist()
-    cells = losses.filter(F.col("v").isin(signed) & F.col("w").isin(signed)).toArrow()
+    both_hot = F.col("v").isin(signed) & F.col("w").isin(signed)
+    cells = pair_losses(pairs.filter(both_hot), words).toArrow()
+    losses = pair_losses(pairs.filter(~both_hot), words)
     table = np.zeros((2, len(hot) ** 2))
     at = [np.searchsorted(hot, cells.column(c).to_numpy().view(np.uint64)) for c in ("v", "w")]
     table[:, at[0] * len(hot) + at[1]] = cells.column("lt").to_numpy(), cells.column("lb").to_numpy()
