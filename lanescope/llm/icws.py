@@ -49,12 +49,39 @@ class InverseFrequencies:
         self.hashes = hashes[order]
         self.weights = (1 + np.log(max(docs, 1) / n[order]) / np.log(RAREST)).clip(1, 2).astype(np.float32)
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), 2, np.float32)
-        distinct, back = np.unique(words, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == distinct, self.weights[at], np.float32(2))[back]
+    def of(self, word: int) -> np.float32:
+        at = np.searchsorted(self.hashes, np.uint64(word))
+        return self.weights[at] if at < len(self.hashes) and self.hashes[at] == word else np.float32(2)
+
+
+class WeightedWords(dict):
+    """word -> place of its hash and inverse frequency, remembered; bounded by starting anew between texts."""
+
+    LIMIT = 300_000
+
+    def __init__(self, idf: InverseFrequencies):
+        super().__init__()
+        self.idf, self.used = idf, 0
+        self.hashes, self.weights = np.zeros(1024, np.uint64), np.zeros(1024, np.float32)
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        at, h = self.used, xxhash.xxh3_64_intdigest(word)
+        if at == len(self.hashes):
+            self.hashes, self.weights = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.weights))
+        self.hashes[at], self.weights[at] = h, self.idf.of(h)
+        self.used += 1
+        if len(word) <= 64:
+            self[word] = at
+        return at
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.used > self.LIMIT:
+            self.clear()
+            self.__init__(self.idf)
+        at = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
+        return self.hashes[at], self.weights[at]
 
 
 def inverse_frequencies(docs: DataFrame) -> InverseFrequencies:
@@ -85,13 +112,12 @@ def inverse_frequencies(docs: DataFrame) -> InverseFrequencies:
     return InverseFrequencies(got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy(), n)
 
 
-def weighted_set(text: str | None, idf: InverseFrequencies, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def weighted_set(text: str | None, known: WeightedWords) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct shingle hashes and their weights."""
-    words = known.of(find_words((text or "").lower()))
+    words, own = known.look_up(find_words((text or "").lower()))
     if not len(words):
         return words, np.zeros(0, np.float32)
     size = min(SHINGLE, len(words))
-    own = idf.of(words)
     mean = sum(own[k:len(own) - size + 1 + k] for k in range(size)) / np.float32(size)
     keys, first, times = np.unique(shingles(words, SHINGLE), return_index=True, return_counts=True)
     return keys, (mean[first] * times).astype(np.float32)
@@ -212,11 +238,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     def sign(batches):
         import pyarrow as pa
 
-        known, sampler = WordHashes(), Sampler()
+        known, sampler = WeightedWords(table.value), Sampler()
         for batch in slices(batches, 512):
             sketches = []
             for text in batch.column(2).to_pylist():
-                keys, weights = weighted_set(text, table.value, known)
+                keys, weights = weighted_set(text, known)
                 sketches.append(sampler.sketch(keys, weights) if len(keys) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketches, pa.binary())], ["id", "key", "sketch"])
 
@@ -242,9 +268,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     def weigh(batches):
         import pyarrow as pa
 
-        known = WordHashes()
+        known = WeightedWords(table.value)
         for batch in slices(batches, 512):
-            sets = [weighted_set(t, table.value, known) for t in batch.column(1).to_pylist()]
+            sets = [weighted_set(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tobytes() + w.tobytes() for k, w in sets], pa.binary())], ["id", "data"])
 
     def sets(ids: DataFrame) -> DataFrame:

@@ -264,13 +264,13 @@ def test_icws_groups(spark, odd, empty):
     texts += [texts[0], texts[1], None, "", "one two", "one two"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in icws.groups(docs).collect()}
-    known, idf = icws.WordHashes(), icws.inverse_frequencies(docs)
+    known = icws.WeightedWords(icws.inverse_frequencies(docs))
     lists = [set((t or "").lower().split()) for t in texts]
     for word in ("edit3", WORDS[0], WORDS[1], "one", "nowhere"):
         n = sum(word in x for x in lists)
         want = min(2, 1 + np.log(len(texts) / n) / np.log(icws.RAREST)) if n else 2
-        assert idf.of(known.of([word, word])) == pytest.approx([want, want], rel=1e-6)
-    sets = [icws.weighted_set(t, idf, known) for t in texts]
+        assert known.look_up([word, word])[1] == pytest.approx([want, want], rel=1e-6)
+    sets = [icws.weighted_set(t, known) for t in texts]
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):

@@ -56,6 +56,16 @@ def test_tile_links_equal_all_pairs(spark, tile):
     assert not tile_links(buckets.limit(0), 8, select, data, prepare, tile).count()
 
 
+def test_words_start_anew_between_texts(monkeypatch):
+    monkeypatch.setattr(icws.WeightedWords, "LIMIT", 5)
+    idf = icws.InverseFrequencies(np.array([], np.uint64), np.array([], np.int64), 0)
+    few, many = icws.WeightedWords(idf), icws.WeightedWords(idf)
+    many.LIMIT = 10 ** 6
+    for text in ("a b c d e f g", "b" * 99 + " a b", " ".join(f"w{k}" for k in range(3000)), "", "g f"):
+        assert all((x == y).all() for x, y in zip(icws.weighted_set(text, few), icws.weighted_set(text, many)))
+    assert few.used == 2
+
+
 def test_icws_tiles_find_all_pairs_of_a_bucket(spark, monkeypatch):
     """Copies of many degrees in small tiles; one set with many others equals set with set."""
     monkeypatch.setattr(icws, "TILE", 8)
@@ -69,8 +79,8 @@ def test_icws_tiles_find_all_pairs_of_a_bucket(spark, monkeypatch):
         texts.append(" ".join(own))
     importable(spark)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known, idf = icws.WordHashes(), icws.inverse_frequencies(docs)
-    sets = [icws.weighted_set(t, idf, known) for t in texts]
+    known = icws.WeightedWords(icws.inverse_frequencies(docs))
+    sets = [icws.weighted_set(t, known) for t in texts]
     similar = icws.compared(0.8)([k.tobytes() + w.tobytes() for k, w in sets])
     others = np.arange(90)
     assert similar(0, others).tolist() == [icws.similarity(sets[0], s) >= 0.8 for s in sets]
