@@ -9,9 +9,9 @@ with a scan of the shard; beams widen until the audit passes, and at the width o
 shard the scan itself answers. Links inside a cell become one row a node: its links and the smallest
 node of its local component; components over all cells follow from these by joins.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another
-length than most, and rows with a null label or a null id link with nothing and are their own component;
-repeated rows count as vectors of their own; an empty table gives no rows; other columns are not looked at.
+Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a
+null label or a null id link with nothing and are their own component; vectors of different lengths do not
+link; repeated rows count as vectors of their own; an id with several vectors does not join them; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, stored
 from .graph import components
-from .vectors import common_length, matrix, usable
+from .vectors import matrix, usable
 
 THRESHOLD = 0.98
 #: Nodes a shard is meant to hold; a task holds two shards.
@@ -237,14 +237,14 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"),
                           F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     fits = usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull()
-    length = common_length(rows.filter(fits), "v")
-    key = F.when(fits & (F.size("v") == length), F.unhex(F.md5(F.concat_ws(",", F.col("v").cast("array<string>")))))
-    rows = rows.withColumn("key", key)
+    key = F.when(fits, F.unhex(F.md5(F.concat_ws(",", F.col("v").cast("array<string>")))))
+    # vectors of different lengths have no cosine: a label's vectors of each length are a label of their own
+    rows = rows.withColumn("key", key).withColumn("label", F.concat_ws(" ", F.size("v"), "label"))
     marked = stored(rows.select("id", "label", "key"), "hnsw-rows")
-    # equal vectors are one node
+    # equal vectors are one node, with a number of its own, as an id may occur with several vectors
     nodes = rows.filter("key is not null").groupBy("label", "key").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    nodes = stored(nodes, "hnsw-nodes")
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "hnsw-nodes")
     sizes = nodes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     sizes = stored(sizes, "hnsw-labels")
     total = sizes.agg(F.sum("shards").alias("s"), F.sum(F.col("shards") * (F.col("shards") + 1) / 2).alias("c")).first()
@@ -305,12 +305,14 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     found = stored(pairs.repartition(parts, "label", "i", "j").select("same", "xg", "yg")
                    .mapInArrow(search, "node long, n long, peer long"), "hnsw-links")
     comp = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    per_node = nodes.select("label", "key", "node", "n").join(
+    per_node = nodes.select("label", "key", "node", "n", "least").join(
         found.groupBy("node").agg(F.sum("n").alias("links")), "node", "left").join(
         comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    per_node = stored(per_node.select(F.col("label").alias("n_label"), F.col("key").alias("n_key"),
+    per_node = stored(per_node.select(F.col("label").alias("n_label"), F.col("key").alias("n_key"), "least",
                                       (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
-                                      F.coalesce("component", "node").alias("component")), "hnsw-result")
+                                      F.coalesce("component", "node").alias("class")), "hnsw-classes")
+    first = per_node.groupBy("class").agg(F.min("least").alias("component"))
+    per_node = stored(per_node.join(first, "class").select("n_label", "n_key", "links", "component"), "hnsw-result")
     joined = marked.join(small_side(per_node), (F.col("label") == F.col("n_label")) & (F.col("key") == F.col("n_key")), "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

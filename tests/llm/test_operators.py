@@ -331,6 +331,16 @@ def test_hnsw(vectors):
     assert hnsw.links(vectors.limit(0)).count() == 0
 
 
+def test_hnsw_repeated_ids_and_lengths(spark):
+    """An id with two vectors joins nothing; vectors of every length link with their like."""
+    a, b = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1), (6, [1.0, 0.0, 0.05] + [0.0] * 5, 1), (7, [1.0, 2.0], 1), (8, [2.0, 4.0], 1), (9, [1.0, 2.0], 2)]
+    importable(spark)
+    got = hnsw.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (6, 2, 1, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+
+
 def test_dimension_scan(vectors):
     rows = [r for r in vector_rows() if r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
