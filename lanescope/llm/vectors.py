@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,6 @@ def matrix(column) -> np.ndarray:
 
 
 def usable(vector: Column) -> Column:
-    """Whether a vector takes part: not null, not zero, no null and only finite components. Its sum of
-    squares must be finite too, so that norms exist."""
+    """Whether a vector takes part: not null, not zero, no null and only finite components."""
     numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) > 0) & numbers & F.exists(vector, lambda x: x != 0), F.lit(False))
-
-
-def common_length(vectors: DataFrame, column: str) -> int:
-    """The most frequent length, the smaller one of equals; 0 without vectors. Others take no part."""
-    top = vectors.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return top["d"] if top else 0

@@ -360,6 +360,25 @@ def test_dimension_scan(vectors):
     assert dimension_scan.search(vectors.limit(0), vectors.vec_id % 10 == 0).count() == 0
 
 
+def test_dimension_scan_of_every_length_and_of_repeated_ids(spark):
+    """Each length is searched in full; an id with several vectors asks with the shortest, then least one."""
+    importable(spark)
+    rng = np.random.default_rng(23)
+    rows = [(i, [float(v) for v in rng.integers(-9, 10, (3, 3, 8)[i % 3])]) for i in range(1, 40)]
+    rows = [(i, v) for i, v in rows if any(v)] + [(10, [5.0] * 8), (10, [5.0, 1.0, 0.0]), (10, [4.0, 9.0, 0.0]), (20, [1.0]), (60, [1.0, 2.0]),
+                                                  (70, [1e200] * 3), (None, [1.0] * 3), (80, [0.0] * 3), (90, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = dimension_scan.search(table, table.vec_id % 10 == 0, k=4, lists=3, probes=3).collect()
+    rows = [(i, v) for i, v in rows if i and v and any(v) and max(v) < 1e100]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        own = min((v for i, v in rows if i == q), key=lambda v: (len(v), v))
+        near = sorted((-float(np.dot(own, v)), i) for i, v in rows if i != q and len(v) == len(own))[:4]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
+    assert sorted(tuple(r) for r in got) == sorted((q, rank, i, pytest.approx(s)) for q, rank, i, s in want)
+    assert {r.query_id for r in got} == {10, 30}           # 20 and 60 have no vector of their length beside them
+
+
 def test_bloom_cascade(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/1?x", "https://example.org/es/y#z", "http://notexample.org/es/", "http://org/",
             "http://org", "ftp://x.com/de/", "http://x.com/fr/a", "http://com.x/de/", "http://a.b.c.net/", "http://x.com/d", "x://y://z.org/",
