@@ -132,6 +132,29 @@ def test_only_rows_with_repeated_ids_are_shuffled_for_the_key(spark):
     assert "BroadcastHashJoin LeftOuter" in p
 
 
+def test_repeated_ids_are_broadcast_by_their_counted_rows(spark):
+    """Not by the planner's guess: a sort-merge join would shuffle every row of the table."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(E.queries()["unique_shipments"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin LeftOuter" in p and "SortMergeJoin" not in p
+
+
+def test_staging_text_is_written_from_the_stored_join(spark):
+    """Join and text in one stage make a generated method beyond the 8,000 bytes that the JVM compiles."""
+    from lanescope.plans.registry import staging_for
+    st = staging_for(spark, SF_SMALL)
+    assert "Join" not in plan(st)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        st.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", buf.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
 #: Last ORDER BY of the oracle's SQL, by which both results must come in the same order of these keys.
 ORDERED = {n: re.search(r"ORDER BY ([a-z_, A-Z]+?)(?: LIMIT \d+)?$", sql.strip()) for n, sql in E.oracle_sql().items()}
 
