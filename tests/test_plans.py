@@ -145,12 +145,11 @@ def test_repeated_ids_are_broadcast_by_their_counted_rows(spark):
 
 def test_staging_text_is_written_from_the_stored_join(spark):
     """Join and text in one stage make a generated method beyond the 8,000 bytes that the JVM compiles."""
-    from lanescope.plans.registry import staging_for
-    st = staging_for(spark, SF_SMALL)
-    assert "Join" not in plan(st)
+    from lanescope.plans.registry import staged
     buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
+    with staged(spark, SF_SMALL) as st, contextlib.redirect_stdout(buf):
         st.explain("codegen")
+    assert "Join" not in buf.getvalue()
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", buf.getvalue())]
     assert sizes and max(sizes) < 8000
 
