@@ -206,6 +206,26 @@ def test_cross_entropy_counts_exactly(spark, monkeypatch):
     assert sorted(cross_entropy.pair_losses(pairs, words, 0).collect()) == sorted(cross_entropy.pair_losses(pairs, words).collect())
 
 
+def test_cross_entropy_keeps_no_table_of_pairs(spark, monkeypatch):
+    """Few hot and known words, so that every kind of pair occurs; what is written grows with words and texts only."""
+    tables = []
+    monkeypatch.setattr(cross_entropy, "stored", lambda df, name, keep=cross_entropy.stored: tables.append((name, keep(df, name))) or tables[-1][1])
+    for name, value in (("HOT", 6), ("HOT_ROWS", 10), ("KNOWN", 40)):
+        monkeypatch.setattr(cross_entropy, name, value, raising=False)
+    texts = [("the cat " if i % 3 else "") + prose(i, 150).replace("worda", "the") for i in range(60)] + ["the cat", "cat", "lone", "", None, prose(3, 150)]
+    importable(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in cross_entropy.score(docs, docs.doc_id < 15).collect()}
+    models = [bigrams(texts[:15], texts), bigrams(texts, texts)]
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        loss = [-np.mean([np.log(p(a, b)) for a, b in zip([None, *w], w)]) for p in models] if w else [None, None]
+        assert got[i].n_tokens == len(w)
+        assert (got[i].target_loss, got[i].background_loss) == (pytest.approx(loss, rel=1e-9) if w else (None, None))
+    pairs = {p for t in texts for p in zip((t or "").split(), (t or "").split()[1:])}
+    assert sum(t.count() for _, t in tables) < len({w for t in texts for w in (t or "").split()}) + 7 * 7 + len(texts) + 2 < len(pairs)
+
+
 def edit_similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
