@@ -13,7 +13,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 
@@ -141,15 +140,33 @@ class PieceEncoder:
                 out[i] = self._long(words[i])
         return (np.concatenate([np.asarray(x, np.int32) for x in out]) if out else ids), np.fromiter(map(len, out), np.int64, len(out))
 
+    def _split_new(self) -> tuple[list[str], list[int], list[bool]]:
+        """The pre-tokens of the pieces that wait, how many each has, whether it ends in white space.
+        A piece of letters, or of letters and a comma or full stop, needs no pattern."""
+        new, lead = self.slots.new, "" if self.lower else " "
+        plain, words, n, is_open = _PLAIN.fullmatch("".join(new)) is not None, [], [1] * len(new), [False] * len(new)
+        for i, key in enumerate(new):
+            body = key[:-1] if key[-1:] in (",", ".") else key
+            if body.isalpha() and (plain or body.isascii()):
+                words.append(lead + (body.lower() if self.lower else body))
+                if body is not key:
+                    words.append(key[-1])
+                    n[i] = 2
+            else:
+                raw = self.raw(key)
+                some = self.split(raw)
+                some = ["\0" + raw] if some is None else some
+                words += some
+                n[i], is_open[i] = len(some), raw[-1:].isspace()
+        return words, n, is_open
+
     def _fill(self) -> None:
         """Encode the pieces that wait, through their words."""
         if not self.slots.new:
             return
-        raw = list(map(self.raw, self.slots.new))
-        split = [self.split(p) for p in raw]
-        split = [["\0" + p] if ws is None else ws for p, ws in zip(raw, split, strict=True)]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        slots = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        words, n, is_open = self._split_new()
+        n = np.array(n, np.int64)
+        slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         ids, lens = self.encode_words(self.known.new)
         self.known.new = []
         self.word_starts = np.r_[self.word_starts, len(self.word_ids) + np.cumsum(lens) - lens]
@@ -162,7 +179,7 @@ class PieceEncoder:
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
         self.lens = np.r_[self.lens, lens]
         self.flat = np.r_[self.flat, flat]
-        self.open = np.r_[self.open, np.fromiter((p[-1:].isspace() for p in raw), bool, len(raw))]
+        self.open = np.r_[self.open, np.array(is_open, bool)]
         self.slots.new = []
 
     # -- texts -----------------------------------------------------------------------------

@@ -60,6 +60,21 @@ def test_pieces_equal_the_library(path):
         assert [x.tolist() for x in own.encode(texts)] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_pieces_of_letters_need_no_pattern(path):
+    _, encode = library(path)
+    encoder, asked = PieceEncoder(text_file(path)), []
+    words = encoder.words
+    encoder.words = lambda piece: asked.append(piece) or words(piece)
+    plain = ["The and, with. Été ouÇà, œuvre. élève ªº µm, " + prose(1, 50), "Lone", "End."]
+    assert [x.tolist() for x in encoder.encode(plain)] == [encode(t) for t in plain]
+    assert set(asked) <= (set() if encoder.lower else {t.split()[0] for t in plain})       # no space before a text's first word
+    odd = ["a.b x,, . , .a ,b I'm it's. 1. a1, x-y. ２. 漢, ſ. İ, ǅ. aé, \tq, r.\ns, t.  u, A" + chr(0x301) + ", K, e" + chr(0xad) + ". f" + chr(0x345) + ",", "Été, b.", ","]
+    assert [x.tolist() for x in encoder.encode(odd)] == [encode(t) for t in odd]
+    for text in odd[0].split():                          # alone, without others that are not plain
+        assert PieceEncoder.encode(encoder, [text, text + ","])[1].tolist() == encode(text + ",")
+
+
 def test_transducer_is_a_map_with_shared_ends():
     entries = sorted({w.encode(): (len(w), 7) for w in ["a", "ab", "abc", "xbc", "talking", "walking", "walked", "é"]}.items())
     fst = Transducer(compile_words(entries))
