@@ -290,6 +290,44 @@ def test_line_dedup_finds_similar_lines_of_any_length(spark):
     assert all((line_dedup.band_keys([lines[i]])[0] == keys[i]).all() for i in range(40))       # of the line alone
 
 
+def test_line_dedup_compares_few_unlike_lines(spark):
+    """Lines of few syllables that share a passage at different places meet in no bucket pair; near copies do."""
+    importable(spark)
+    rng = np.random.default_rng(23)
+    line = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "ing", "ha"], 3)) for _ in range(n))
+    passage, lines = line(6), []
+    for k in range(120):
+        lines.append(f"{passage} {line(60)}" if k % 2 else f"{line(60)} {passage}")
+    lines.append(lines[0].replace("ing", "ung", 3))
+    docs = spark.createDataFrame([("\n".join(lines[k::4]),) for k in range(4)], "text string")
+    rows = line_dedup.shared_bands(docs, len(lines), 0.8)
+    pairs = rows.alias("x").join(rows.alias("y"), "bucket").filter("x.id < y.id and abs(x.place - y.place) <= 100")
+    found = {tuple(r) for r in pairs.select("x.id", "y.id").distinct().collect()}
+    assert 0 < len(found) < 60 * 60                        # the halves with the passage at either end stay apart
+    assert line_dedup._bands([lines[0]], 16, 1, 18, 0)[1].max() <= len(lines[0]) - 16
+    ranges = line_dedup.class_ranges(0.8)
+    for longer in range(1, 400):
+        for shorter in range(longer - int(longer * 0.2 + 1e-9), longer + 1):
+            assert any(a <= shorter and longer <= b for a, b in ranges)
+
+
+def test_edits_of_two_lines():
+    rng = np.random.default_rng(29)
+    for k in range(400):
+        letters = list("ab" if k % 2 else "abcd \u00e9\u6f22")
+        x = rng.choice(letters, int(rng.integers(0, 150))).tolist()
+        y = list(x)
+        for _ in range(int(rng.integers(0, 25))):
+            p = int(rng.integers(0, len(y) + 1))
+            y[p:p + int(rng.integers(0, 2))] = rng.choice(letters, int(rng.integers(0, 2))).tolist()
+        x, y = "".join(x), "".join(y)
+        edits = round((1 - edit_similarity(x, y)) * max(len(x), len(y), 1))
+        assert [line_dedup.within(x, y, m) for m in (edits - 1, edits, edits + 1) if m >= 0] == [False, True, True][edits == 0:]
+    base = prose(30, 6000)
+    assert line_dedup.within(base, base.replace("worda", "other"), len(base) // 5)
+    assert not line_dedup.within(base, prose(31, 6000), len(base) // 5)
+
+
 def test_icws_groups(spark, odd, empty):
     texts = [prose(20 + i, 120) for i in range(12)]
     for k in range(30):                                   # near copies of text 0, not all alike among themselves
