@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lanescope.llm import (bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, hnsw, icws, line_dedup, packing,
+from lanescope.llm import (bloom_cascade, bpe_lexicon, cross_entropy, dimension_scan, edits, graph, hnsw, icws, line_dedup, packing,
                            weak_labels, zstd_shards)
 from lanescope.llm.common import importable, text_file
 from lanescope.llm.pieces import PieceEncoder
@@ -311,6 +311,53 @@ def test_line_dedup_compares_few_unlike_lines(spark):
             assert any(a <= shorter and longer <= b for a, b in ranges)
 
 
+def test_line_dedup_writes_no_row_for_a_pair_of_unlike_lines(spark, monkeypatch):
+    """Lines that share a passage at one place, and near copies beside them, in more than one tile."""
+    importable(spark)
+    rng = np.random.default_rng(31)
+    line = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "ing", "ha", "ou", "st"], 3)) for _ in range(n))
+    passage, lines = line(12), []
+    lines = [f"{passage} {line(16)}" for _ in range(240)]
+    lines += [x.replace("ing", "ung", 2) for x in lines[:60]]
+    sizes, plain = {}, line_dedup.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    for module in (line_dedup, graph):
+        monkeypatch.setattr(module, "stored", stored)
+    monkeypatch.setattr(line_dedup, "TILE", 64, raising=False)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.deduplicated(docs).filter("text = ''").collect()}
+    near = docs.alias("x").crossJoin(docs.alias("y")).filter("x.doc_id < y.doc_id").filter(
+        "levenshtein(x.text, y.text) <= greatest(length(x.text), length(y.text)) * 0.2 + 1e-9")
+    assert got == {r[0] for r in near.select("y.doc_id").collect()} and len(got) >= 50
+    assert sizes["shared-buckets"] > 300 and max(sizes.values()) < 10 * sizes["shared-buckets"]
+    assert not any("pairs" in name for name in sizes)
+
+
+def test_many_pairs_compared_like_single_ones():
+    rng = np.random.default_rng(37)
+    lines = ["", "a" * 2100, "a" * 1900]
+    for k in range(240):
+        letters = [list("ab"), list("abcd \u00e9\u6f22"), list("etaoinshrdlu  "), [chr(0x4E00 + i) for i in range(200)] + ["\U0001F600"]][k % 4]
+        x = rng.choice(letters, int(rng.integers(0, 320))).tolist()
+        lines.append("".join(x))
+        for share in (0.1, 0.19, 0.22):
+            y = list(x)
+            for _ in range(int(len(x) * share)):
+                p = int(rng.integers(0, len(y) + 1))
+                y[p:p + int(rng.integers(0, 2))] = rng.choice(letters, int(rng.integers(0, 2))).tolist()
+            lines.append("".join(y))
+    own = np.arange(3, len(lines), 4).repeat(3)
+    a = np.r_[own, rng.integers(0, len(lines), 4000), 1]
+    b = np.r_[own + np.tile([1, 2, 3], len(own) // 3), rng.integers(0, len(lines), 4000), 2]
+    want = [line_dedup.within(lines[i], lines[j], int(max(len(lines[i]), len(lines[j])) * 0.2 + 1e-9)) for i, j in zip(a.tolist(), b.tolist())]
+    assert edits.similar_pairs(lines, a, b, 0.8).tolist() == want and 300 < sum(want) < 2000
+
+
 def test_edits_of_two_lines():
     rng = np.random.default_rng(29)
     for k in range(400):
