@@ -3,6 +3,8 @@
 import hashlib
 import io
 import os
+import re
+import time
 import zlib
 
 import numpy as np
@@ -338,6 +340,75 @@ def test_line_dedup_writes_no_row_for_a_pair_of_unlike_lines(spark, monkeypatch)
     assert not any("pairs" in name for name in sizes)
 
 
+def test_line_dedup_compares_a_pair_in_one_bucket(spark, monkeypatch):
+    """Lines that share a long passage meet in several buckets; pairs of about one length are looked up, each once."""
+    import pyarrow as pa
+    import xxhash
+
+    importable(spark)
+    rng = np.random.default_rng(41)
+    line = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "ing", "ha", "ou", "st"], 3)) for _ in range(n))
+    passage = line(14)
+    lines = [f"{line(8)} {passage} {line(int(rng.integers(8, 14)))}" for _ in range(50)]
+    lines += [f"{x} {line(1)}" for x in lines[:20]]
+    text = {int.from_bytes(xxhash.xxh3_128_digest(x)[:8], "little", signed=True): x for x in lines}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = line_dedup.shared_bands(docs, len(lines), 0.8).toPandas().sort_values(["bucket", "id"])
+    seen = rows.assign(tag=(rows.bucket.to_numpy() << line_dedup.PLACE) | rows.place).groupby("id").tag.apply(list)
+    ids, zero = rows.id.tolist(), [0] * len(rows)
+    table = pa.table([rows.bucket, zero, zero, zero, rows.id, rows.id, rows.length, rows.place, [text[i] for i in ids], seen[ids].tolist()],
+                     ["bucket", "i", "j", "side", "id", "comp", "length", "place", "text", "tags"])
+    compared, plain, linked, pairs = [], line_dedup.similar_pairs, set(), []
+    monkeypatch.setattr(line_dedup, "similar_pairs", lambda lines, a, b, threshold: compared.extend(
+        frozenset((lines[i], lines[j])) for i, j in zip(a.tolist(), b.tolist())) or plain(lines, a, b, threshold))
+    for bucket in rows.bucket.unique().tolist():
+        job = table.filter(pa.array(rows.bucket == bucket))
+        length, place, own = (job.column(c).to_numpy().astype(np.int64) for c in ("length", "place", "id"))
+        every = np.triu_indices(len(own), 1)
+        close = line_dedup._close(*every, length, place, 0.8)
+        want = {frozenset((text[a], text[b])) for a, b in zip(own[every[0][close]].tolist(), own[every[1][close]].tolist())}
+        got = [frozenset((text[a], text[b])) for x, y in line_dedup._met(job, 0.8) for a, b in zip(own[x].tolist(), own[y].tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+        pairs += got
+        linked |= {frozenset((text[a], text[b])) for a, b in zip(*line_dedup._links(job, 0.8))}
+    assert len(compared) < min(1.25 * len(set(compared)), 0.8 * len(pairs)) and set(compared) == set(pairs)
+    assert {frozenset((x, y)) for x, y in zip(lines[:20], lines[50:])} <= linked
+
+
+def test_normalised_lines_are_words_in_lower_case():
+    rng = np.random.default_rng(43)
+    texts = ["", "A b\n\tC_9--d\r\n \x1c\x85E", "".join(map(chr, range(128))), "\u00c9t\u00e9 \u4e2d\u6587!\nplain, TEXT", "\u039f\u03a3\nX"]
+    texts += ["".join(rng.choice(list("aB \n,._9\t\x1f'\u00df"), 40)) for _ in range(50)]
+    for text in texts:
+        want = [" ".join(re.findall(r"\w+", line.lower())) for line in text.split("\n")]
+        assert line_dedup.normalised(text) == want == [line_dedup.normalise(line) for line in text.split("\n")]
+    assert line_dedup.normalised(None) == [""]
+
+
+def test_line_dedup_keeps_few_files_of_shuffles(spark, monkeypatch):
+    """Most of what its shuffles wrote is deleted while it runs; stored tables are compressed well."""
+    importable(spark)
+    tables, seen, plain = [], set(), line_dedup.stored
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {n for d in dirs for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    before = files()
+
+    def stored(df, name):
+        tables.append(plain(df, name))
+        seen.update(files() - before)
+        return tables[-1]
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    docs = spark.createDataFrame([(i, f"{prose(i, 30)}\n{prose(i // 2, 40)}") for i in range(60)], "doc_id long, text string")
+    line_dedup.duplicate_lines(docs)
+    for _ in range(20):
+        if len(left := files() & seen) < len(seen) / 2:
+            break
+        time.sleep(0.5)
+    assert len(left) < len(seen) / 2 and len(seen) > 10
+    assert all(f.endswith(".zstd.parquet") for t in tables for f in t.inputFiles())
+
+
 def test_many_pairs_compared_like_single_ones():
     rng = np.random.default_rng(37)
     lines = ["", "a" * 2100, "a" * 1900]
