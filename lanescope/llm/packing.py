@@ -20,7 +20,7 @@ from .common import shared_path, slices, small_side, stored
 from .pieces import worker_encoder
 
 LENGTH = 2048
-#: Pieces that a worker's encoder remembers: some 60 MB less than by default, for a little more work.
+#: Pieces that a worker's encoder remembers, fewer than by default: less memory beside the executor's, more pieces encoded again.
 REMEMBERED = 400_000
 
 
